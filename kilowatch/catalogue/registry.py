@@ -9,7 +9,7 @@ from kilowatch.operators import documents, gauges, ingest, owners, topics
 from kilowatch.functions import timeaxis as X
 from kilowatch.plans import queries as Q
 from kilowatch.schema import READINGS
-from kilowatch.session import shared_folder, use_utc
+from kilowatch.session import prepare, shared_folder
 from kilowatch.sources import tables
 from kilowatch.streaming import buckets, jobs
 from kilowatch.vocabulary import DISPLAY_TZ, FREQUENCY, PHASE_VOLTAGES
@@ -58,7 +58,7 @@ def voltage_long_hr(spark, sf_dir):
     """Phase means in long form, one row per owner, hour and phase."""
     interval = X.INTERVALS["hr"]
     rows = P.daily(spark, sf_dir).filter(F.col("value_name").isin(*PHASE_VOLTAGES))
-    rows = rows.withColumn("bucket", X.bucket_of(X.local_time(DISPLAY_TZ), interval))
+    rows = rows.withColumn("bucket", X.bucket_of(X.local_seconds(DISPLAY_TZ), interval))
     means = gauges.measure_means(rows, 2, **EXACT)
     return means.select("owner_name", X.label_of(F.col("bucket"), interval).alias("time"), "value_name", "mean_value")
 
@@ -230,12 +230,12 @@ def queries():
         found[f"power_factor_{interval}"] = bucketed(Q.power_factor, interval)
         found[f"current_{interval}"] = bucketed(Q.current_stats, interval)
         found[f"frequency_{interval}"] = bucketed(Q.frequency, interval)
-    return {name: _in_utc(query) for name, query in found.items()}
+    return {name: _prepared(query) for name, query in found.items()}
 
 
-def _in_utc(query):
+def _prepared(query):
     def run(spark, sf_dir):
-        use_utc(spark)
+        prepare(spark)
         return query(spark, sf_dir)
 
     return run

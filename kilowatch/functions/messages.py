@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from kilowatch.schema import NUMERIC_MESSAGE, TEXT_MESSAGE
-from kilowatch.vocabulary import MINUTE_SUFFIX
+from kilowatch.vocabulary import ENERGY_METER, MINUTE_SUFFIX
 
 
 def message_text(value="value"):
@@ -11,38 +11,73 @@ def message_text(value="value"):
     return F.col(value).cast("string")
 
 
+def once(column, use):
+    """`use(column)` with the column evaluated a single time however often `use` refers to it."""
+    return F.get(F.transform(F.array(column), use), F.lit(0))
+
+
 def parsed(text, salvage=False):
     """The message as (ts, params); one value that is no number voids the whole map unless salvaged."""
     if not salvage:
         return F.from_json(text, NUMERIC_MESSAGE)
-    message = F.from_json(text, TEXT_MESSAGE)
-    numbers = F.transform_values(message["params"], lambda _, number: number.try_cast("double"))
-    return F.struct(message["ts"].alias("ts"), numbers.alias("params"))
-
+    return once(
+        F.from_json(text, TEXT_MESSAGE),
+        lambda message: F.struct(
+            message["ts"].alias("ts"),
+            F.transform_values(message["params"], lambda _, number: number.try_cast("double")).alias("params"),
+        ),
+    )
 
-def strict_object(text):
-    """STRUCT<ts> of the one well-formed JSON object in the text, else null.
 
-    The text is read as the first of two array elements, so the parser has to reach its end and notices trailing garbage.
-    """
-    pair = F.from_json(
+def strictly_parsed(text):
+    """The text as the first of two array elements, so the parser has to reach its end and notices trailing garbage."""
+    return F.from_json(
         F.concat(F.lit("["), text, F.lit(',{"_end":true}]')),
         "ARRAY<STRUCT<ts: STRING, _end: BOOLEAN>>",
         {"allowSingleQuotes": "false"},
     )
-    message = F.get(pair, F.lit(0))
-    return F.when(F.get(pair, F.lit(1))["_end"], F.when(message.isNotNull(), F.struct(message["ts"].alias("ts"))))
+
+
+def one_object(pair):
+    """Whether a strictly parsed text is one well-formed JSON object."""
+    return F.coalesce(F.get(pair, F.lit(1))["_end"] & F.get(pair, F.lit(0)).isNotNull(), F.lit(False))
+
+
+def is_object(text):
+    return once(strictly_parsed(text), one_object)
 
 
 def enveloped(text):
     """The text if it is a JSON object, else `{"raw": text}`."""
-    return F.when(strict_object(text).isNotNull(), text).otherwise(F.to_json(F.struct(text.alias("raw"))))
+    return F.when(is_object(text), text).otherwise(F.to_json(F.struct(text.alias("raw"))))
 
 
 def message_time(text):
     """`ts` of the message, empty when it has none or is no JSON object."""
-    return F.coalesce(strict_object(text)["ts"], F.lit(""))
+    return once(
+        strictly_parsed(text), lambda pair: F.coalesce(F.when(one_object(pair), F.get(pair, F.lit(0))["ts"]), F.lit(""))
+    )
+
+
+def on_the_minute(text):
+    """Whether the message's `ts` ends like a full minute.
+
+    Only a text that holds the ending literally or spells characters as escapes can qualify; the rest is not parsed.
+    """
+    possible = text.contains(MINUTE_SUFFIX + '"') | text.contains("\\u")
+    return possible & message_time(text).endswith(MINUTE_SUFFIX)
+
+
+def unusable(text):
+    """Why a message gives no reading, or null if it gives one."""
 
+    def reason(message):
+        params = message["params"]
+        metered = F.exists(F.map_keys(params), lambda key: F.get(F.split(key, "/"), F.lit(7)).eqNullSafe(ENERGY_METER))
+        return (
+            F.when(params.isNull(), F.when(is_object(text), "no_numeric_params").otherwise("not_an_object"))
+            .when(F.size(params) == 0, "empty_params")
+            .when(~metered, "no_energy_meter")
+        )
 
-def on_the_minute(time):
-    return time.endswith(MINUTE_SUFFIX)
+    return once(parsed(text), reason)

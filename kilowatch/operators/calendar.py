@@ -10,7 +10,7 @@ from kilowatch.functions import timeaxis as X
 
 def slots(roster, span, interval):
     """(owner_name, bucket) for a calendar that is the same for all owners."""
-    calendar = X.slot_sequence(X.local_literal(span.first_slot), X.local_literal(span.last_slot), interval)
+    calendar = X.slot_sequence(X.slot_literal(span.first_slot), X.slot_literal(span.last_slot), interval)
     return roster.select("owner_name", F.explode(calendar).alias("bucket"))
 
 
@@ -30,8 +30,8 @@ def per_owner_calendar(buckets, measure, span, interval, local_start):
         F.map_from_entries(F.collect_list(entry)).alias("filled"),
         F.min("earliest").alias("earliest"),
     )
-    first = F.date_trunc(interval.unit, local_start)
-    last = X.local_literal(span.last_slot)
+    first = X.bucket_of(F.unix_seconds(local_start), interval)
+    last = X.slot_literal(span.last_slot)
     calendar = F.when(first <= last, X.slot_sequence(first, last, interval))
     return folded.select("owner_name", "filled", F.explode(calendar).alias("bucket")).select(
         "owner_name", "bucket", F.try_element_at("filled", F.col("bucket")).alias(measure)

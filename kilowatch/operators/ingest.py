@@ -9,7 +9,6 @@ from kilowatch.functions import messages as M
 from kilowatch.schema import READINGS, TEXT_MESSAGE
 from kilowatch.vocabulary import (
     ENERGY_METER,
-    MEASURES,
     PATH_PARTS,
     SAMPLE_SECONDS,
     SOURCE_TZ,
@@ -19,13 +18,6 @@ from kilowatch.vocabulary import (
 STORED = READINGS.fieldNames()
 
 
-def exploded(raw, salvage=False):
-    """One row (ts, full_key, value) per entry of `params`; messages without entries give none."""
-    return raw.select(M.parsed(M.message_text(), salvage).alias("message")).select(
-        F.col("message.ts").alias("ts"), F.explode("message.params").alias("full_key", "value")
-    )
-
-
 def with_event_time(readings, source_tz=SOURCE_TZ, strict=False):
     """Add `event_time` and `reading_date`. Malformed text becomes null, or fails the job when `strict`."""
     written = F.to_timestamp("time") if strict else F.try_to_timestamp("time")
@@ -34,17 +26,23 @@ def with_event_time(readings, source_tz=SOURCE_TZ, strict=False):
 
 
 def flatten(raw, source_tz=SOURCE_TZ, salvage=False, drop_nan=False, meter_class=ENERGY_METER):
-    """Readings of one meter class, in the stored layout."""
+    """Readings of one meter class, in the stored layout: one per entry of `params` whose path names the class.
+
+    Times are parsed per message, before its entries become rows. Short paths give null parts and fall away.
+    """
+    messages = raw.select(M.parsed(M.message_text(), salvage).alias("message"))
+    timed = with_event_time(messages.select(F.col("message.ts").alias("time"), "message"), source_tz)
+    # Entries are sifted before they become rows. Exploding an expression, not a column, also keeps Spark from deriving
+    # a filter that would parse every message a second time.
+    sifted = F.map_filter("message.params", lambda key, _: key.contains(f"/{meter_class}"))
+    entries = timed.select("time", "event_time", "reading_date", F.explode(sifted).alias("full_key", "value"))
     parts = F.split("full_key", "/")
     named = {name: F.get(parts, F.lit(place)) for place, name in enumerate(PATH_PARTS)}
-    readings = (
-        exploded(raw, salvage)
-        .select(F.col("ts").alias("time"), *(part.alias(name) for name, part in named.items()), "value")
-        .filter(F.col("meter_class") == meter_class)
-    )
+    kept = named.pop("meter_class") == meter_class
     if drop_nan:
-        readings = readings.filter(~F.isnan("value"))
-    return with_event_time(readings, source_tz).select(*STORED)
+        kept &= ~F.isnan("value")
+    columns = {**named, **{name: F.col(name) for name in ("time", "event_time", "reading_date", "value")}}
+    return entries.filter(kept).select(*(columns[name].alias(name) for name in STORED))
 
 
 def widen(raw):
@@ -57,7 +55,7 @@ def widen(raw):
 
 def accepted(raw):
     """Messages whose `ts` lies on a full minute; everything that is no JSON object has none and is dropped."""
-    return raw.filter(M.on_the_minute(M.message_time(M.message_text())))
+    return raw.filter(M.on_the_minute(M.message_text()))
 
 
 def envelope(raw):
@@ -79,19 +77,8 @@ def sample_latest(raw, seconds=SAMPLE_SECONDS):
 
 
 def dead_letters(raw):
-    """Messages that yield no reading, with the reason."""
-    text = M.message_text()
-    message = M.parsed(text)
-    reason = (
-        F.when(M.strict_object(text).isNull(), "not_an_object")
-        .when(message["params"].isNull(), "no_numeric_params")
-        .when(F.size(message["params"]) == 0, "empty_params")
-        .when(
-            ~F.exists(F.map_keys(message["params"]), lambda key: F.get(F.split(key, "/"), F.lit(7)).eqNullSafe(ENERGY_METER)),
-            "no_energy_meter",
-        )
-    )
-    return raw.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    """Messages that yield no reading, with the reason. As a generator the reason is worked out once per message."""
+    return raw.select("*", F.explode(F.array_compact(F.array(M.unusable(M.message_text())))).alias("reason"))
 
 
 def deduplicated(readings, delay="10 minutes"):
@@ -100,7 +87,3 @@ def deduplicated(readings, delay="10 minutes"):
     if readings.isStreaming:
         return readings.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys)
     return readings.dropDuplicates(keys)
-
-
-def known_measures(readings):
-    return readings.filter(F.col("value_name").isin(*MEASURES))

@@ -1,7 +1,7 @@
 """Cumulative registers: first and last reading of a group, consumption as their difference.
 
-First and last are found with min_by / max_by, so nothing is sorted by time and every task hands on one row per group,
-however many readings an owner has. Ties on time are ordered by value.
+First and last are the least and greatest (time, value), so nothing is sorted by time and every task hands on one row
+per group, however many readings an owner has. Ties on time are ordered by value.
 """
 
 from pyspark.sql import Window, functions as F
@@ -15,13 +15,21 @@ def register_rows(readings):
     return readings.filter((F.col("value_name") == REGISTER) & F.col("value").isNotNull())
 
 
+def hashed():
+    """An always empty set. With a collection among its results Spark keeps the groups of an aggregation in a hash table
+    of objects; minima of structs alone would make it sort all rows by group first."""
+    return F.collect_set(F.lit(None).cast("int")).alias("_hashed")
+
+
 def first_last(rows, keys, clock="event_time"):
     """First and last value per group, with their order keys so that groups can be merged again.
 
     Rows without a value only keep their group alive.
     """
     tick = F.when(F.col("value").isNotNull(), F.struct(F.col(clock).alias("at"), F.col("value").alias("reading")))
-    return rows.groupBy(*keys).agg(F.min(tick).alias("head"), F.max(tick).alias("tail"), F.count("value").alias("n"))
+    return rows.groupBy(*keys).agg(
+        F.min(tick).alias("head"), F.max(tick).alias("tail"), F.count("value").alias("n"), hashed()
+    )
 
 
 def meter_keys(per_meter):

@@ -86,7 +86,7 @@ def energy_stats(
             F.min(F.when(inside, F.col("head"))).alias(f"{name}_head"),
             F.max(F.when(inside, F.col("tail"))).alias(f"{name}_tail"),
         ]
-    totals = rings.groupBy("owner_name").agg(*merged)
+    totals = rings.groupBy("owner_name").agg(*merged, S.hashed())
     shown = []
     for name in starts:
         energy = _energy_if_two(
@@ -103,8 +103,7 @@ def _register_by_bucket(readings, span, interval, finish, name, wall, options):
     scale, per_meter, method = options["scale"], options["per_meter"], options["method"]
     owner, owners = options["owner"], options["owners"]
     rows = O.of_owner(S.register_rows(readings), owner)
-    local = X.local_time(display_tz, consistent_time)
-    bucket = X.bucket_of(local, interval)
+    bucket = X.bucket_of(X.local_seconds(display_tz, consistent_time), interval)
     meter = S.meter_keys(per_meter)
     keys = ["owner_name", *meter, "bucket"]
     clock = "time" if consistent_time else "event_time"
@@ -113,8 +112,7 @@ def _register_by_bucket(readings, span, interval, finish, name, wall, options):
     rows = rows.filter(X.in_span(readings, span, wall)).select(
         "owner_name", *meter, bucket.alias("bucket"), clock, "value"
     )
-    first, last = X.local_literal(span.first_slot), X.local_literal(span.last_slot)
-    rows = rows.filter(F.col("bucket").between(first, last))
+    rows = rows.filter(F.col("bucket").between(X.slot_literal(span.first_slot), X.slot_literal(span.last_slot)))
     slot_rows = C.slots(O.roster(readings, owner, owners), span, interval)
     buckets = S.first_last(C.seeded(rows, slot_rows), keys, clock)
     used = S.bucket_consumption(buckets, scale, per_meter, method)
@@ -138,7 +136,7 @@ def _register_by_year(rows, span, interval, finish, name, wall, options, keys, b
         F.when(counted, F.struct(F.col(clock).alias("at"), F.col("value").alias("reading"))).alias("tick"),
     )
     buckets = buckets.groupBy(*keys).agg(
-        F.min("tick").alias("head"), F.max("tick").alias("tail"), F.min("seen").alias("earliest")
+        F.min("tick").alias("head"), F.max("tick").alias("tail"), F.min("seen").alias("earliest"), S.hashed()
     )
     used = S.bucket_consumption(buckets, options["scale"], options["per_meter"], options["method"])
     start = F.to_timestamp("earliest") if wall else F.col("earliest")
@@ -222,7 +220,7 @@ def _gauge(readings, span, interval, columns, digits, owner, display_tz, consist
         .filter(wanted & X.in_span(readings, span, wall=consistent_time))
         .select(
             "owner_name",
-            X.bucket_of(X.local_time(display_tz, consistent_time), interval).alias("bucket"),
+            X.bucket_of(X.local_seconds(display_tz, consistent_time), interval).alias("bucket"),
             "value_name",
             "value",
         )

@@ -13,7 +13,6 @@ def local_session(cpus="8", app="kilowatch", **conf):
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("KILOWATCH_DRIVER_MEMORY", "8g"))
     )
@@ -21,12 +20,22 @@ def local_session(cpus="8", app="kilowatch", **conf):
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
     return spark
 
 
-def use_utc(spark):
-    """Zone-less text and `timestamp_ntz` are read as UTC, so the session has to agree."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+# Settings of the session the queries rely on.
+SETTINGS = {
+    # Zone-less text and timestamp_ntz are read as UTC.
+    "spark.sql.session.timeZone": "UTC",
+    # First and last per group stay in a hash table up to this many groups per task; beyond, they are sorted.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+}
+
+
+def prepare(spark):
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
 
 
 def shared_folder(spark, purpose):

@@ -4,39 +4,23 @@ The state holds one row per owner and open bucket. The watermark closes buckets
 `delay`, so the state does not grow with the history.
 """
 
-from datetime import datetime, timezone
-from zoneinfo import ZoneInfo
-
 from pyspark.sql import functions as F
 
 from kilowatch.functions import rounding as R, timeaxis as X
 from kilowatch.operators import registers
 from kilowatch.vocabulary import DISPLAY_TZ
 
-# Lengths of the windows that can be streamed; months and years differ in length.
-WINDOW_SECONDS = {"min": 60, "hr": 3600, "day": 86400}
-
-
-def zone_offset_seconds(display_tz):
-    """Offset of a zone that keeps one all year round."""
-    zone = ZoneInfo(display_tz)
-    offsets = {datetime(2024, month, 1, tzinfo=timezone.utc).astimezone(zone).utcoffset() for month in range(1, 13)}
-    if len(offsets) > 1:
-        raise ValueError(f"{display_tz} changes its offset during the year")
-    return int(offsets.pop().total_seconds())
-
-
 def local_window(interval, display_tz=DISPLAY_TZ):
     """Tumbling window whose edges are the display zone's bucket starts."""
-    if interval.name not in WINDOW_SECONDS:
-        raise ValueError(f"no fixed window for {interval.name}")
-    seconds = WINDOW_SECONDS[interval.name]
-    shift = -zone_offset_seconds(display_tz) % seconds
+    seconds, offset = X.STEP_SECONDS.get(interval.name), X.constant_offset(display_tz)
+    if seconds is None or offset is None:
+        raise ValueError(f"no windows of equal length for {interval.name} in {display_tz}")
+    shift = -offset % seconds
     return F.window("event_time", f"{seconds} seconds", f"{seconds} seconds", f"{shift} seconds")
 
 
 def _labelled(result, interval, display_tz, *columns):
-    start = F.from_utc_timestamp(F.col("window.start"), display_tz)
+    start = F.unix_seconds("window.start") + X.constant_offset(display_tz)
     return result.select("owner_name", X.label_of(start, interval).alias("time"), *columns)
 
 
