@@ -1,0 +1,42 @@
+import sys
+from pathlib import Path
+
+import pytest
+
+ROOT = Path(__file__).resolve().parent.parent
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
+
+from kilowatch.operators.ingest import with_event_time  # noqa: E402
+from kilowatch.session import local_session  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session("4", "kilowatch-tests", spark__sql__shuffle__partitions="4")
+    yield session
+    session.stop()
+
+
+@pytest.fixture(scope="session")
+def readings(spark):
+    """Readings from (time, owner_name, value_name, value) rows, optionally with a floor as a fifth part."""
+
+    def build(rows, source_tz="UTC"):
+        full = [(time, "c", "b", (rest or ["f"])[0], "s", "l", owner, name, value) for time, owner, name, value, *rest in rows]
+        names = "time string, company_name string, building_name string, floor_name string, S0 string, L0 string, "
+        frame = spark.createDataFrame(full, names + "owner_name string, value_name string, value double")
+        return with_event_time(frame, source_tz)
+
+    return build
+
+
+@pytest.fixture(scope="session")
+def messages(spark):
+    """Raw messages from texts, one second apart."""
+
+    def build(texts, topic="t"):
+        rows = [(text, topic, 0, place, 1705750000 + place) for place, text in enumerate(texts)]
+        frame = spark.createDataFrame(rows, "value string, topic string, partition int, offset bigint, s bigint")
+        return frame.selectExpr("value", "topic", "partition", "offset", "timestamp_seconds(s) AS timestamp")
+
+    return build
