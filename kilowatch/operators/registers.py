@@ -15,10 +15,15 @@ def register_rows(readings):
     return readings.filter((F.col("value_name") == REGISTER) & F.col("value").isNotNull())
 
 
-def hashed():
-    """An always empty set. With a collection among its results Spark keeps the groups of an aggregation in a hash table
-    of objects; minima of structs alone would make it sort all rows by group first."""
-    return F.collect_set(F.lit(None).cast("int")).alias("_hashed")
+def least(tick):
+    """The least tick of a group.
+
+    With a collection among its functions Spark keeps the groups of an aggregation in a hash table of objects; minima and
+    maxima of structs alone would make it sort all rows by group first. The collection here is always empty, and the
+    result refers to it so that it is not optimised away.
+    """
+    nothing = F.collect_set(F.lit(None).cast("int"))
+    return F.when(F.size(nothing) == 0, F.min(tick))
 
 
 def first_last(rows, keys, clock="event_time"):
@@ -28,7 +33,7 @@ def first_last(rows, keys, clock="event_time"):
     """
     tick = F.when(F.col("value").isNotNull(), F.struct(F.col(clock).alias("at"), F.col("value").alias("reading")))
     return rows.groupBy(*keys).agg(
-        F.min(tick).alias("head"), F.max(tick).alias("tail"), F.count("value").alias("n"), hashed()
+        least(tick).alias("head"), F.max(tick).alias("tail"), F.count("value").alias("n")
     )
 
 

@@ -5,7 +5,7 @@ local to the display zone. `interval` is one of min, hr, day, month, year or its
 
 Options shared by the queries
     owner            restrict to one owner
-    owners           table of owners for gap-filled results, saves the scan that lists them
+    owners           complete table of owners for gap-filled results, saves the scan that lists them
     consistent_time  read `time` as local to the display zone for ranges and labels alike; otherwise ranges and labels
                      follow `event_time`, or whichever clock the query is specified with
     scale            number of decimals the meters report; makes sums exact and independent of row order
@@ -83,10 +83,10 @@ def energy_stats(
         inside = F.col("ring") <= reach
         merged += [
             F.sum(F.when(inside, F.col("n"))).alias(f"{name}_n"),
-            F.min(F.when(inside, F.col("head"))).alias(f"{name}_head"),
+            S.least(F.when(inside, F.col("head"))).alias(f"{name}_head"),
             F.max(F.when(inside, F.col("tail"))).alias(f"{name}_tail"),
         ]
-    totals = rings.groupBy("owner_name").agg(*merged, S.hashed())
+    totals = rings.groupBy("owner_name").agg(*merged)
     shown = []
     for name in starts:
         energy = _energy_if_two(
@@ -136,7 +136,7 @@ def _register_by_year(rows, span, interval, finish, name, wall, options, keys, b
         F.when(counted, F.struct(F.col(clock).alias("at"), F.col("value").alias("reading"))).alias("tick"),
     )
     buckets = buckets.groupBy(*keys).agg(
-        F.min("tick").alias("head"), F.max("tick").alias("tail"), F.min("seen").alias("earliest"), S.hashed()
+        S.least(F.col("tick")).alias("head"), F.max("tick").alias("tail"), F.min("seen").alias("earliest")
     )
     used = S.bucket_consumption(buckets, options["scale"], options["per_meter"], options["method"])
     start = F.to_timestamp("earliest") if wall else F.col("earliest")

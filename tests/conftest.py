@@ -1,6 +1,7 @@
 import sys
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -23,8 +24,10 @@ def readings(spark):
 
     def build(rows, source_tz="UTC"):
         full = [(time, "c", "b", (rest or ["f"])[0], "s", "l", owner, name, value) for time, owner, name, value, *rest in rows]
-        names = "time string, company_name string, building_name string, floor_name string, S0 string, L0 string, "
-        frame = spark.createDataFrame(full, names + "owner_name string, value_name string, value double")
+        names = ["time", "company_name", "building_name", "floor_name", "S0", "L0", "owner_name", "value_name", "value"]
+        columns = zip(*full) if full else [()] * len(names)
+        arrays = [pa.array(list(column), pa.float64() if name == "value" else pa.string()) for name, column in zip(names, columns)]
+        frame = spark.createDataFrame(pa.table(arrays, names=names))
         return with_event_time(frame, source_tz)
 
     return build

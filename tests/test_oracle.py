@@ -1,0 +1,36 @@
+"""Every registered query against its SQL."""
+
+import oracle_check
+import pytest
+
+import __spark_entry__ as entry_points
+
+SF_DIR = "/root/testdata/sf0.001"
+QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def con():
+    return oracle_check.connect(SF_DIR)
+
+
+def test_every_sql_has_its_query():
+    assert set(SQL) <= set(QUERIES) and set(QUERIES) - set(SQL) == {"response_documents"}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, con, name):
+    assert oracle_check.differences(QUERIES[name](spark, SF_DIR), con, SQL[name]) == ""
+
+
+def test_response_documents_hold_the_entries(spark):
+    import json
+
+    docs = [json.loads(row.value) for row in QUERIES["response_documents"](spark, SF_DIR).collect()]
+    rows = {tuple(row) for row in QUERIES["energy_day"](spark, SF_DIR).collect()}
+    assert {(doc["owner_name"], entry["time"], entry["energy"]) for doc in docs for entry in doc["data"]} == rows
+    assert all([entry["time"] for entry in doc["data"]] == sorted(entry["time"] for entry in doc["data"]) for doc in docs)
+
+
+def test_entry(spark):
+    assert entry_points.entry(spark).columns == ["owner_name", "time", "energy"]

@@ -1,0 +1,35 @@
+import json
+
+from kilowatch.functions.timeaxis import as_local
+from kilowatch.operators import topics
+
+
+def test_envelopes(messages):
+    raw = messages(['{"schema":{"type":"string"},"payload":"hello"}', '{"payload":{"a":1}}', "broken"])
+    assert [row.payload for row in topics.unwrapped(raw).orderBy("offset").collect()] == ["hello", '{"a":1}', None]
+    sealed = topics.wrapped(messages(["hi"]), "string").collect()[0].value
+    assert json.loads(sealed) == {"schema": "string", "payload": "hi"}
+    number = topics.unwrapped(messages(['{"schema":"x","payload":3}']), "INT").collect()[0]
+    assert number.payload == 3
+
+
+def test_mirroring_takes_whole_names(messages):
+    raw = messages(["a"], "iot").union(messages(["b"], "iot_raw")).union(messages(["c"], "other"))
+    assert [row.value for row in topics.mirrored(raw, "iot|other").collect()] == ["a", "c"]
+    assert topics.mirrored(raw, "iot.*").count() == 2
+
+
+def test_offsets_and_retention(messages):
+    raw = messages(list("abc")).union(messages(list("xy"), "u"))
+    ranges = {row.topic: tuple(row)[1:] for row in topics.offset_ranges(raw).collect()}
+    assert ranges == {"t": (0, 0, 2, 3), "u": (0, 0, 1, 2)}
+    # The messages arrive at 11:26:40, :41 and :42 UTC on 2024-01-20.
+    moment = as_local("2024-01-27 16:56:41")
+    assert [row.value for row in topics.retained(messages(list("abc")), moment).collect()] == ["b", "c"]
+    assert topics.retained(messages(list("abc")), moment, hours=1).count() == 0
+
+
+def test_rows_as_messages(spark):
+    frame = spark.createDataFrame([("a", 1.5)], "name string, value double")
+    assert json.loads(topics.to_messages(frame).collect()[0].value) == {"name": "a", "value": 1.5}
+    assert topics.to_messages(frame, "name").collect()[0].value == "a"
