@@ -254,6 +254,13 @@ SELECT time, substr(time, 1, 10) AS reading_date, {METER.format(m='user_id')},
        CAST(7 + user_id % 14 AS VARCHAR) AS owner_name, value_name, reading AS value
 FROM entries"""
 
+REDELIVERED = f"""
+SELECT DISTINCT * EXCLUDE (reading_date, value) FROM ({FLATTEN})"""
+
+ENERGY_DAY_STREAM = f"""
+WITH {MONTHLY}, {buckets('day', 'true', 330)}
+SELECT owner_name, time, (last_cents - first_cents) / 100.0 AS energy FROM buckets"""
+
 WIDE = """
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, CAST(value AS VARCHAR) AS voltage,
        CASE WHEN event_type <> 'view' THEN CAST(user_id AS VARCHAR) END AS current,
@@ -337,6 +344,8 @@ def oracle_sql():
         ),
         "flatten_readings": FLATTEN,
         "flatten_readings_stream": FLATTEN,
+        "redelivered_readings": REDELIVERED,
+        "energy_day_stream": ENERGY_DAY_STREAM,
         "wide_params": WIDE,
         "raw_envelope": WIDE,
         "props_explode": PROPS,

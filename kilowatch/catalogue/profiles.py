@@ -5,8 +5,6 @@ The register is a rising count per row plus the row's own value, so it mostly ri
 do when they are reset.
 """
 
-from pyspark.sql import functions as F
-
 from kilowatch.vocabulary import MEASURES, REGISTER, TIME_PATTERN
 
 AS_OF = "2024-01-20 12:34:56"
@@ -17,91 +15,76 @@ WALL_DAY_START = "2024-01-20 00:00:00"
 DAY_SECONDS = 86400
 DENSE_FIRST_SECOND = 37800
 
+NAMES = ", ".join(f"'{name}'" for name in MEASURES)
+SECOND_OF_DAY = f"(event_id + {DENSE_FIRST_SECOND}) % {DAY_SECONDS}"
+
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _measure(number):
-    return F.element_at(F.array(*(F.lit(name) for name in MEASURES)), (number % len(MEASURES) + 1).cast("int"))
-
-
-def _meter(number):
-    return {
-        "company_name": F.lit("c1"),
-        "building_name": F.concat(F.lit("b"), (number % 3).cast("string")),
-        "floor_name": F.concat(F.lit("f"), (number % 2).cast("string")),
-        "S0": F.lit("s"),
-        "L0": F.lit("l"),
-    }
-
-
-def _readings(rows, event_time, owner, number, meter_number, value, register):
-    measure = _measure(number)
-    return rows.select(
-        F.date_format(event_time, TIME_PATTERN).alias("time"),
-        event_time.alias("event_time"),
-        *(column.alias(name) for name, column in _meter(meter_number).items()),
-        owner.cast("string").alias("owner_name"),
-        measure.alias("value_name"),
-        F.when(measure == REGISTER, register).otherwise(value).alias("value"),
-    )
+    return f"element_at(array({NAMES}), CAST({number} % {len(MEASURES)} + 1 AS INT))"
+
+
+def _folded(day_start):
+    return f"timestamp_seconds(unix_timestamp('{day_start}') + {SECOND_OF_DAY})"
+
+
+def _readings(rows, event_time, owner, number, meter, value, register):
+    return rows.selectExpr(
+        f"{event_time} AS event_time",
+        f"concat('b', {meter} % 3) AS building_name",
+        f"concat('f', {meter} % 2) AS floor_name",
+        f"CAST({owner} AS STRING) AS owner_name",
+        f"{_measure(number)} AS value_name",
+        f"CASE WHEN {_measure(number)} = '{REGISTER}' THEN {register} ELSE {value} END AS value",
+    ).selectExpr(f"date_format(event_time, '{TIME_PATTERN}') AS time", "'c1' AS company_name", "'s' AS S0", "'l' AS L0", "*")
 
 
 def monthly(spark, sf_dir):
     """One month of readings of 14 owners, at the events' own times."""
-    events = table(spark, sf_dir, "events")
-    return monthly_of(events)
+    return monthly_of(table(spark, sf_dir, "events"))
 
 
 def monthly_of(events):
     return _readings(
         events,
-        F.date_trunc("SECOND", F.col("ts").cast("timestamp")),
-        7 + F.col("user_id") % 14,
-        F.col("event_id"),
-        F.col("user_id"),
-        F.col("value"),
-        F.col("event_id") * 2.0 + F.col("value"),
+        event_time="date_trunc('SECOND', CAST(ts AS TIMESTAMP))",
+        owner="7 + user_id % 14",
+        number="event_id",
+        meter="user_id",
+        value="value",
+        register="event_id * 2D + value",
     )
 
 
-def _fold():
-    return (F.col("event_id") + DENSE_FIRST_SECOND) % DAY_SECONDS
-
-
-def _day_second(day_start):
-    return F.unix_timestamp(F.lit(day_start)) + _fold()
-
-
 def daily(spark, sf_dir, day_start=DAY_START):
     """One day of readings of two owners: events folded onto the seconds of a day that starts at `day_start`.
 
     The more events there are, the more readings share a second.
     """
-    events = table(spark, sf_dir, "events")
     return _readings(
-        events,
-        F.timestamp_seconds(_day_second(day_start)),
-        F.expr(f"7 + event_id div {len(MEASURES)} % 2"),
-        F.col("event_id"),
-        F.col("user_id"),
-        F.col("value"),
-        _fold() * 2.0 + F.col("value"),
+        table(spark, sf_dir, "events"),
+        event_time=_folded(day_start),
+        owner=f"7 + event_id div {len(MEASURES)} % 2",
+        number="event_id",
+        meter="user_id",
+        value="value",
+        register=f"{SECOND_OF_DAY} * 2D + value",
     )
 
 
 def yearly(spark, sf_dir):
     """Years of readings of 14 owners from orders; many share a time."""
-    orders = table(spark, sf_dir, "orders")
     return _readings(
-        orders,
-        F.col("o_orderdate").cast("timestamp"),
-        7 + F.col("o_custkey") % 14,
-        F.col("o_orderkey"),
-        F.col("o_custkey"),
-        F.col("o_totalprice"),
-        F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")) * 5000.0 + F.col("o_totalprice"),
+        table(spark, sf_dir, "orders"),
+        event_time="CAST(o_orderdate AS TIMESTAMP)",
+        owner="7 + o_custkey % 14",
+        number="o_orderkey",
+        meter="o_custkey",
+        value="o_totalprice",
+        register="datediff(o_orderdate, DATE'1995-01-01') * 5000D + o_totalprice",
     )
 
 
@@ -115,40 +98,27 @@ def raw_messages_of(events, folded=False):
     Events of type `error` are plain text, `view` belongs to another meter class, `signup` has a path that is cut short;
     the rest carry two readings. A third of all messages lie on a full minute.
     """
-    minute = F.date_format(F.date_trunc("MINUTE", F.col("ts")), TIME_PATTERN)
-    second = F.date_format("ts", TIME_PATTERN)
-    time = F.when(F.col("event_id") % 3 == 0, minute).otherwise(second)
-    place = F.concat_ws("/", *_meter(F.col("user_id")).values(), (7 + F.col("user_id") % 14).cast("string"))
-    kind = F.when(F.col("event_type") == "view", "/WM").when(F.col("event_type") == "signup", "").otherwise("/EM")
-    params = F.create_map(
-        F.concat(place, F.lit("/"), _measure(F.col("event_id")), kind),
-        F.col("value"),
-        F.concat(place, F.lit("/spare"), kind),
-        F.col("event_id") * 0.5,
-    )
-    message = F.to_json(F.struct(time.alias("ts"), params.alias("params")))
-    arrival = F.timestamp_seconds(_day_second(DAY_START)) if folded else F.col("ts").cast("timestamp")
-    return events.select(
-        F.when(F.col("event_type") == "error", F.concat(F.lit("error at "), second)).otherwise(message).alias("value"),
-        F.concat(F.lit("meters_"), F.col("event_type")).alias("topic"),
-        (F.col("event_id") % 4).cast("int").alias("partition"),
-        F.expr("event_id div 4").alias("offset"),
-        arrival.alias("timestamp"),
+    time = f"date_format(CASE WHEN event_id % 3 = 0 THEN date_trunc('MINUTE', ts) ELSE ts END, '{TIME_PATTERN}')"
+    place = "concat_ws('/', 'c1', concat('b', user_id % 3), concat('f', user_id % 2), 's', 'l', 7 + user_id % 14)"
+    kind = "CASE event_type WHEN 'view' THEN '/WM' WHEN 'signup' THEN '' ELSE '/EM' END"
+    first = f"concat({place}, '/', {_measure('event_id')}, {kind}), value"
+    second = f"concat({place}, '/spare', {kind}), event_id * 0.5D"
+    message = f"to_json(named_struct('ts', {time}, 'params', map({first}, {second})))"
+    plain = f"concat('error at ', date_format(ts, '{TIME_PATTERN}'))"
+    return events.selectExpr(
+        f"CASE WHEN event_type = 'error' THEN {plain} ELSE {message} END AS value",
+        "concat('meters_', event_type) AS topic",
+        "CAST(event_id % 4 AS INT) AS partition",
+        "event_id div 4 AS offset",
+        f"{_folded(DAY_START) if folded else 'CAST(ts AS TIMESTAMP)'} AS timestamp",
     )
 
 
 def wide_messages(spark, sf_dir):
     """One message per event with the three live parameters; some lack the current."""
-    params = F.map_filter(
-        F.create_map(
-            F.lit("voltage"),
-            F.col("value").cast("string"),
-            F.lit("current"),
-            F.when(F.col("event_type") != "view", F.col("user_id").cast("string")),
-            F.lit("pf"),
-            (F.col("event_id") % 100).cast("string"),
-        ),
-        lambda _, value: value.isNotNull(),
+    voltage, factor = "CAST(value AS STRING)", "CAST(event_id % 100 AS STRING)"
+    all_three = f"map('voltage', {voltage}, 'current', CAST(user_id AS STRING), 'pf', {factor})"
+    params = f"CASE WHEN event_type = 'view' THEN map('voltage', {voltage}, 'pf', {factor}) ELSE {all_three} END"
+    return table(spark, sf_dir, "events").selectExpr(
+        f"to_json(named_struct('ts', date_format(ts, '{TIME_PATTERN}'), 'params', {params})) AS value"
     )
-    message = F.to_json(F.struct(F.date_format("ts", TIME_PATTERN).alias("ts"), params.alias("params")))
-    return table(spark, sf_dir, "events").select(message.alias("value"))

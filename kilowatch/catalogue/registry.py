@@ -12,7 +12,7 @@ from kilowatch.schema import READINGS
 from kilowatch.session import prepare, shared_folder
 from kilowatch.sources import tables
 from kilowatch.streaming import buckets, jobs
-from kilowatch.vocabulary import DISPLAY_TZ, FREQUENCY, PHASE_VOLTAGES
+from kilowatch.vocabulary import DISPLAY_TZ, FREQUENCY, PATH_PARTS, PHASE_VOLTAGES
 
 EXACT = {"scale": 2}
 RANGE = ("2024-01-05 00:00:00", P.AS_OF)
@@ -170,7 +170,8 @@ def energy_day_stored(spark, sf_dir):
 
 def _event_stream(spark, sf_dir):
     events = P.table(spark, sf_dir, "events")
-    return spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1000)
+    return reader.parquet(f"{sf_dir}/events.parquet*")
 
 
 def flatten_readings_stream(spark, sf_dir):
@@ -190,6 +191,21 @@ def frequency_day_stream(spark, sf_dir):
     return buckets.read_latest(spark, path, live.schema)
 
 
+def energy_day_stream(spark, sf_dir):
+    """Daily consumption kept by a stream."""
+    path, checkpoint = shared_folder(spark, "buckets"), shared_folder(spark, "positions")
+    live = buckets.live_consumption(P.monthly_of(_event_stream(spark, sf_dir)), "day", delay="31 days", **EXACT)
+    jobs.wait(buckets.store_updates(live, path, checkpoint, available_now=True))
+    return buckets.read_latest(spark, path, live.schema)
+
+
+def redelivered_readings(spark, sf_dir):
+    """What is left of readings that were all delivered twice."""
+    raw = P.raw_messages(spark, sf_dir)
+    left = ingest.deduplicated(ingest.flatten(raw.unionByName(raw)))
+    return left.select("time", *(name for name in PATH_PARTS if name != "meter_class"))
+
+
 def queries():
     found = {
         "owners_ordered": owners_ordered,
@@ -222,6 +238,8 @@ def queries():
         "energy_day_stored": energy_day_stored,
         "flatten_readings_stream": flatten_readings_stream,
         "frequency_day_stream": frequency_day_stream,
+        "energy_day_stream": energy_day_stream,
+        "redelivered_readings": redelivered_readings,
     }
     for interval in X.INTERVALS:
         found[f"voltage_{interval}"] = bucketed(Q.voltage_stats, interval)

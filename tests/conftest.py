@@ -13,7 +13,7 @@ from kilowatch.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "kilowatch-tests", spark__sql__shuffle__partitions="4")
+    session = local_session("4", "kilowatch-tests", spark__sql__shuffle__partitions="4", spark__sql__maxMetadataStringLength="4000")
     yield session
     session.stop()
 
