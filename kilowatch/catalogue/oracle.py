@@ -319,9 +319,6 @@ def oracle_sql():
         "energy_stats_to_date": ENERGY_STATS,
         "earliest_by_owner": EARLIEST,
         "voltage_long_hr": VOLTAGE_LONG,
-        "ghg_hr_compat": ghg("hr", consistent=False),
-        "ghg_day_compat": ghg("day", consistent=False),
-        "ghg_year_compat": ghg("year", consistent=False),
         "energy_day_lag": ENERGY_DAY_LAG,
         "energy_day_per_meter": per_meter("day"),
         "energy_year_per_meter": per_meter("year"),
@@ -366,6 +363,7 @@ SELECT owner_name, 'day' AS interval, CAST(row_number() OVER (PARTITION BY owner
     for interval in FORMATS:
         found[f"voltage_{interval}"] = voltage(interval)
         found[f"ghg_{interval}"] = ghg(interval)
+        found[f"ghg_{interval}_compat"] = ghg(interval, consistent=False)
         found[f"energy_{interval}"] = energy(interval)
         found[f"power_factor_{interval}"] = means(interval, {"powerfactor": "power_factor"}, 3, in_period(interval))
         phases = {"current1": "a1", "current2": "a2", "current3": "a3"}

@@ -213,9 +213,6 @@ def queries():
         "energy_stats_to_date": energy_stats_to_date,
         "earliest_by_owner": earliest_by_owner,
         "voltage_long_hr": voltage_long_hr,
-        "ghg_hr_compat": bucketed(Q.ghg_emission, "hr", consistent_time=False),
-        "ghg_day_compat": bucketed(Q.ghg_emission, "day", consistent_time=False),
-        "ghg_year_compat": bucketed(Q.ghg_emission, "year", consistent_time=False),
         "energy_day_lag": bucketed(Q.energy_consumption, "day", method="lag"),
         "energy_day_per_meter": bucketed(Q.energy_consumption, "day", per_meter=True),
         "energy_year_per_meter": bucketed(Q.energy_consumption, "year", per_meter=True),
@@ -244,6 +241,7 @@ def queries():
     for interval in X.INTERVALS:
         found[f"voltage_{interval}"] = bucketed(Q.voltage_stats, interval)
         found[f"ghg_{interval}"] = bucketed(Q.ghg_emission, interval, wall=True)
+        found[f"ghg_{interval}_compat"] = bucketed(Q.ghg_emission, interval, consistent_time=False)
         found[f"energy_{interval}"] = bucketed(Q.energy_consumption, interval)
         found[f"power_factor_{interval}"] = bucketed(Q.power_factor, interval)
         found[f"current_{interval}"] = bucketed(Q.current_stats, interval)

@@ -6,6 +6,7 @@ All but the sampler are narrow: they add no shuffle and serve batch and streamin
 from pyspark.sql import functions as F
 
 from kilowatch.functions import messages as M
+from kilowatch.functions.grouping import hashed
 from kilowatch.schema import READINGS, TEXT_MESSAGE
 from kilowatch.vocabulary import (
     ENERGY_METER,
@@ -67,7 +68,7 @@ def newest(raw, *keys):
     """The last message to arrive, per `keys` or overall. Pre-aggregates, so one row per task and key is shuffled."""
     message = F.struct(*(F.col(name) for name in raw.columns if name not in keys))
     arrival = F.struct("timestamp", "partition", "offset")
-    return raw.groupBy(*keys).agg(F.max_by(message, arrival).alias("message")).select(*keys, "message.*")
+    return raw.groupBy(*keys).agg(hashed(F.max_by(message, arrival)).alias("message")).select(*keys, "message.*")
 
 
 def sample_latest(raw, seconds=SAMPLE_SECONDS):

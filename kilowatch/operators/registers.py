@@ -7,6 +7,7 @@ per group, however many readings an owner has. Ties on time are ordered by value
 from pyspark.sql import Window, functions as F
 
 from kilowatch.functions import rounding as R
+from kilowatch.functions.grouping import hashed
 from kilowatch.vocabulary import METER_PARTS, REGISTER
 
 
@@ -15,17 +16,6 @@ def register_rows(readings):
     return readings.filter((F.col("value_name") == REGISTER) & F.col("value").isNotNull())
 
 
-def least(tick):
-    """The least tick of a group.
-
-    With a collection among its functions Spark keeps the groups of an aggregation in a hash table of objects; minima and
-    maxima of structs alone would make it sort all rows by group first. The collection here is always empty, and the
-    result refers to it so that it is not optimised away.
-    """
-    nothing = F.collect_set(F.lit(None).cast("int"))
-    return F.when(F.size(nothing) == 0, F.min(tick))
-
-
 def first_last(rows, keys, clock="event_time"):
     """First and last value per group, with their order keys so that groups can be merged again.
 
@@ -33,7 +23,7 @@ def first_last(rows, keys, clock="event_time"):
     """
     tick = F.when(F.col("value").isNotNull(), F.struct(F.col(clock).alias("at"), F.col("value").alias("reading")))
     return rows.groupBy(*keys).agg(
-        least(tick).alias("head"), F.max(tick).alias("tail"), F.count("value").alias("n")
+        hashed(F.min(tick)).alias("head"), F.max(tick).alias("tail"), F.count("value").alias("n")
     )
 
 

@@ -15,6 +15,7 @@ Options shared by the queries
 from pyspark.sql import functions as F
 
 from kilowatch.functions import rounding as R, timeaxis as X
+from kilowatch.functions.grouping import hashed
 from kilowatch.operators import calendar as C, gauges as G, owners as O, registers as S
 from kilowatch.vocabulary import (
     DISPLAY_TZ,
@@ -83,7 +84,7 @@ def energy_stats(
         inside = F.col("ring") <= reach
         merged += [
             F.sum(F.when(inside, F.col("n"))).alias(f"{name}_n"),
-            S.least(F.when(inside, F.col("head"))).alias(f"{name}_head"),
+            hashed(F.min(F.when(inside, F.col("head")))).alias(f"{name}_head"),
             F.max(F.when(inside, F.col("tail"))).alias(f"{name}_tail"),
         ]
     totals = rings.groupBy("owner_name").agg(*merged)
@@ -136,7 +137,7 @@ def _register_by_year(rows, span, interval, finish, name, wall, options, keys, b
         F.when(counted, F.struct(F.col(clock).alias("at"), F.col("value").alias("reading"))).alias("tick"),
     )
     buckets = buckets.groupBy(*keys).agg(
-        S.least(F.col("tick")).alias("head"), F.max("tick").alias("tail"), F.min("seen").alias("earliest")
+        hashed(F.min("tick")).alias("head"), F.max("tick").alias("tail"), F.min("seen").alias("earliest")
     )
     used = S.bucket_consumption(buckets, options["scale"], options["per_meter"], options["method"])
     start = F.to_timestamp("earliest") if wall else F.col("earliest")

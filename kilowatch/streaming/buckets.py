@@ -7,9 +7,11 @@ The state holds one row per owner and open bucket. The watermark closes buckets
 from pyspark.sql import functions as F
 
 from kilowatch.functions import rounding as R, timeaxis as X
+from kilowatch.functions.grouping import hashed
 from kilowatch.operators import registers
 from kilowatch.vocabulary import DISPLAY_TZ
 
+
 def local_window(interval, display_tz=DISPLAY_TZ):
     """Tumbling window whose edges are the display zone's bucket starts."""
     seconds, offset = X.STEP_SECONDS.get(interval.name), X.constant_offset(display_tz)
@@ -67,7 +69,7 @@ def read_latest(spark, path, schema):
     names = [name for name in schema.fieldNames() if name not in ("owner_name", "time")]
     updates = spark.read.schema(f"{_ddl(schema)}, batch_id BIGINT").parquet(path)
     newest = updates.groupBy("owner_name", "time").agg(
-        F.max_by(F.struct(*names), F.col("batch_id")).alias("state")
+        hashed(F.max_by(F.struct(*names), F.col("batch_id"))).alias("state")
     )
     return newest.select("owner_name", "time", "state.*")
 

@@ -27,8 +27,12 @@ def query_id(spark, checkpoint):
 def _per_batch(stream, checkpoint, write, every, available_now):
     """foreachBatch with the stream's identity, so that two streams into one table never share a folder."""
 
+    identity = []
+
     def run(batch, batch_id):
-        write(batch, query_id(batch.sparkSession, checkpoint), batch_id)
+        if not identity:
+            identity.append(query_id(batch.sparkSession, checkpoint))
+        write(batch, identity[0], batch_id)
 
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
     return _paced(writer, every, available_now).start()

@@ -3,6 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from kilowatch.operators import ingest
 from kilowatch.plans import queries as Q
 from kilowatch.sources import streams, tables
 
@@ -107,6 +108,18 @@ def test_no_query_sorts_readings_or_joins(spark, stored):
         assert "SortAggregate" not in text and "Sort [" not in text and "Join" not in text and "Window" not in text
 
 
+def test_sampling_sorts_no_messages(messages):
+    raw = messages(["a", "b"])
+    assert "Sort" not in plan(ingest.sample_latest(raw)) and "Sort" not in plan(ingest.newest(raw))
+
+
+def test_each_message_is_parsed_once(spark, messages, tmp_path):
+    path = str(tmp_path / "raw")
+    messages(["a", "b"]).write.parquet(path)
+    text = plan(ingest.flatten(spark.read.parquet(path)))
+    assert text.count("from_json") == 1 and "ReadSchema: struct<value:string>" in text
+
+
 def test_a_date_with_most_of_the_rows_is_split(spark, readings, tmp_path):
     rows = [("2024-01-20 12:00:00", str(number), "volt1", number * 1.1) for number in range(20000)]
     rows += [("2024-01-21 12:00:00", "1", "volt1", 1.0)]
