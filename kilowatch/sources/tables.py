@@ -1,14 +1,17 @@
-"""The readings table: Parquet, one folder per writer and batch, partitioned by date below.
+"""The readings table: Parquet folders by date, and below by writer and batch.
 
-A batch that is written again replaces its own folder, so a retry neither loses nor repeats rows. Files are clustered by
-measure and owner: row-group statistics then skip most of a file for a query on one measure.
+A batch that is written again replaces its own folders, so a retry neither loses nor repeats rows. Files are clustered by
+measure and owner: statistics then skip most of a file for a query on one measure.
 """
 
-from pyspark.sql import types as T
+from datetime import timedelta
+
+from pyspark.sql import functions as F, types as T
 
 from kilowatch.schema import READINGS
 
-CLUSTERED_BY = ("reading_date", "value_name", "owner_name", "event_time")
+FOLDERS = ("reading_date", "writer", "batch_id")
+CLUSTERED_BY = (*FOLDERS, "value_name", "owner_name", "event_time")
 LAYOUT = T.StructType(
     [
         *READINGS.fields,
@@ -19,6 +22,7 @@ LAYOUT = T.StructType(
 
 
 def batch_folder(path, writer, batch_id):
+    """Where a batch of anything but readings goes."""
     return f"{path.rstrip('/')}/writer={writer}/batch_id={int(batch_id)}"
 
 
@@ -31,13 +35,26 @@ def write_batch(readings, path, writer, batch_id):
     (
         readings.select(*READINGS.fieldNames())
         .hint("rebalance", "reading_date")
+        .withColumns({"writer": F.lit(writer), "batch_id": F.lit(int(batch_id)).cast("bigint")})
         .sortWithinPartitions(*CLUSTERED_BY)
         .write.mode("overwrite")
-        .partitionBy("reading_date")
-        .parquet(batch_folder(path, writer, batch_id))
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*FOLDERS)
+        .parquet(path)
     )
 
 
-def read_readings(spark, path):
-    """The table, in the stored layout. Its schema is known, so no file is opened to infer it."""
-    return spark.read.schema(LAYOUT).parquet(path).select(*READINGS.fieldNames())
+def read_readings(spark, path, first_day=None, last_day=None):
+    """The table, in the stored layout. Its schema is known, so no file is opened to infer it.
+
+    Queries prune dates by themselves, after all folders were listed. With `first_day` and `last_day` given, other days
+    are not even listed, which matters once years of batches have piled up.
+    """
+    reader = spark.read.schema(LAYOUT)
+    where = path.rstrip("/")
+    if first_day and last_day:
+        count = (last_day - first_day).days + 1
+        days = ",".join(str(first_day + timedelta(days=place)) for place in range(count))
+        reader = reader.option("basePath", where)
+        where = f"{where}/reading_date={{{days}}}"
+    return reader.parquet(where).select(*READINGS.fieldNames())

@@ -1,4 +1,5 @@
 import re
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +49,17 @@ def test_a_batch_written_again_replaces_itself(spark, month, tmp_path):
     assert tables.read_readings(spark, path).count() == month.count() + 10
 
 
+def test_only_the_days_asked_for_are_listed(spark, stored):
+    week = tables.read_readings(spark, stored, date(2024, 1, 28), date(2024, 2, 3))
+    assert sorted({str(row.reading_date) for row in week.select("reading_date").distinct().collect()}) == [
+        "2024-01-28",
+        "2024-01-29",
+        "2024-01-30",
+    ]
+    assert all("reading_date=2024-01-2" in name or "reading_date=2024-01-30" in name for name in week.inputFiles())
+    assert week.count() == 3 * 24 * 2 * len(NAMES)
+
+
 def test_queries_over_the_table_equal_those_over_the_readings(spark, month, stored):
     table = tables.read_readings(spark, stored)
     for query in (Q.energy_consumption, Q.ghg_emission, Q.voltage_stats, Q.frequency):
