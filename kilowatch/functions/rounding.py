@@ -16,15 +16,17 @@ def rounded(column, digits, rounding="half_up"):
 
 
 def units(column, scale):
-    return F.rint(column * F.lit(float(10**scale))).cast("bigint")
+    """Null for what cannot be counted, such as NaN."""
+    return F.rint(column * F.lit(float(10**scale))).try_cast("bigint")
 
 
 def mean(column, digits, scale=None, rounding="half_up"):
     """Rounded mean of a group; nulls do not count, a group without values gives null."""
     if scale is None:
         return rounded(F.avg(column), digits, rounding)
-    total = F.sum(units(column, scale)).cast("decimal(20,0)")
-    divisor = (F.count(column) * F.lit(10**scale)).cast("decimal(20,0)")
+    counted = units(column, scale)
+    total = F.sum(counted).cast("decimal(20,0)")
+    divisor = (F.count(counted) * F.lit(10**scale)).cast("decimal(20,0)")
     return rounded(F.try_divide(total, divisor), digits, rounding)
 
 

@@ -187,12 +187,13 @@ def constant_offset(display_tz):
 
 
 def local_seconds(display_tz, consistent_time=False):
-    """Wall clock of the display zone in seconds: `time` as written, or `event_time` moved to the zone.
+    """Wall clock of the display zone in seconds: `time` as written, or `event_time` moved to the zone. Null where the
+    text is malformed.
 
     Moving by a constant is a fraction of the cost of a zone lookup per reading; it is used where it gives the same.
     """
     if consistent_time:
-        return F.unix_seconds(F.to_timestamp("time"))
+        return F.unix_seconds(F.try_to_timestamp("time"))
     looked_up = F.unix_seconds(F.from_utc_timestamp("event_time", display_tz))
     offset = constant_offset(display_tz)
     if offset is None:

@@ -1,6 +1,8 @@
 """Gap filling: every owner gets every slot of the calendar.
 
-Slots are a literal sequence exploded per owner, so there is neither a calendar table to broadcast nor a cross join.
+An owner's buckets, at most one per slot, are folded into a map; the slots are a literal sequence exploded per owner and
+looked up there. Empty slots therefore arise after the last shuffle, there is no calendar table to broadcast and no cross
+join, and buckets outside the slots fall away.
 """
 
 from pyspark.sql import functions as F
@@ -8,31 +10,19 @@ from pyspark.sql import functions as F
 from kilowatch.functions import timeaxis as X
 
 
-def slots(roster, span, interval):
-    """(owner_name, bucket) for a calendar that is the same for all owners."""
-    calendar = X.slot_sequence(X.slot_literal(span.first_slot), X.slot_literal(span.last_slot), interval)
-    return roster.select("owner_name", F.explode(calendar).alias("bucket"))
+def filled(buckets, measure, first, last, interval, shown=None, carried=()):
+    """(owner_name, bucket, measure) for all slots from `first` to `last`, null where there is no bucket.
 
-
-def seeded(rows, slot_rows):
-    """Let empty slots ride along with the readings, so the aggregation that follows fills the gaps in its own shuffle."""
-    return rows.unionByName(slot_rows, allowMissingColumns=True)
-
-
-def per_owner_calendar(buckets, measure, span, interval, local_start):
-    """Fill gaps from each owner's own first slot to the last of the span.
-
-    `buckets` holds (owner_name, bucket, `measure`, earliest); an owner's buckets, one per calendar period, are folded
-    into a map and its slots are looked up there. Buckets outside the slots fall away.
+    `first` and `last` are columns in local seconds; `first` may refer to the aggregates in `carried`. Owners without
+    any bucket appear when the table `shown` lists them.
     """
-    entry = F.when(F.col(measure).isNotNull(), F.struct("bucket", measure))
-    folded = buckets.groupBy("owner_name").agg(
-        F.map_from_entries(F.collect_list(entry)).alias("filled"),
-        F.min("earliest").alias("earliest"),
+    entries = buckets.withColumn("entry", F.when(F.col(measure).isNotNull(), F.struct("bucket", measure)))
+    if shown is not None:
+        entries = entries.unionByName(shown.select("owner_name"), allowMissingColumns=True)
+    folded = entries.groupBy("owner_name").agg(
+        F.map_from_entries(F.collect_list("entry")).alias("found"), *carried
     )
-    first = X.bucket_of(F.unix_seconds(local_start), interval)
-    last = X.slot_literal(span.last_slot)
-    calendar = F.when(first <= last, X.slot_sequence(first, last, interval))
-    return folded.select("owner_name", "filled", F.explode(calendar).alias("bucket")).select(
-        "owner_name", "bucket", F.try_element_at("filled", F.col("bucket")).alias(measure)
+    slots = F.when(first <= last, X.slot_sequence(first, last, interval))
+    return folded.select("owner_name", "found", F.explode(slots).alias("bucket")).select(
+        "owner_name", "bucket", F.try_element_at("found", F.col("bucket")).alias(measure)
     )

@@ -1,7 +1,7 @@
 """Cumulative registers: first and last reading of a group, consumption as their difference.
 
-First and last are the least and greatest (time, value), so nothing is sorted by time and every task hands on one row
-per group, however many readings an owner has. Ties on time are ordered by value.
+First and last are the readings with the least and greatest (time, value), so nothing is sorted by time and every task
+hands on one row per group, however many readings an owner has. Ties on time are ordered by value.
 """
 
 from pyspark.sql import Window, functions as F
@@ -10,14 +10,38 @@ from kilowatch.functions import rounding as R
 from kilowatch.functions.grouping import hashed
 from kilowatch.vocabulary import METER_PARTS, REGISTER
 
+# Share of a 64-bit order key that breaks ties on time; the rest holds the seconds of a year and more.
+TIE_BITS = 38
+TIE_LIMIT = float(2 ** (TIE_BITS - 1))
+DEFAULT_SCALE = 3
+
 
 def register_rows(readings):
     """Readings of the energy register; a row without a value is no reading."""
     return readings.filter((F.col("value_name") == REGISTER) & F.col("value").isNotNull())
 
 
-def first_last(rows, keys, clock="event_time"):
-    """First and last value per group, with their order keys so that groups can be merged again.
+def order_key(seconds, scale):
+    """(time, value) of a reading as one number that sorts alike, for use within a bucket of at most a year.
+
+    With a number as its order, Spark finds first and last in its hash aggregation; ordering by a struct or by text makes
+    it sort all rows by group first. `seconds` counts from the bucket's start, as meters write whole seconds. Values
+    beyond 2^37 units, more than a thousand million with two decimals, no longer break ties among themselves.
+    """
+    unit = F.lit(float(10 ** (DEFAULT_SCALE if scale is None else scale)))
+    bounded = F.greatest(F.least(F.col("value") * unit, F.lit(TIE_LIMIT - 1)), F.lit(-TIE_LIMIT))
+    return F.shiftleft(seconds, TIE_BITS) + F.rint(bounded).cast("bigint")
+
+
+def bucket_ends(rows, keys, *more):
+    """First and last value per group by the column `order`; rows without an order only keep their group alive."""
+    return rows.groupBy(*keys).agg(
+        F.min_by("value", "order").alias("first_value"), F.max_by("value", "order").alias("last_value"), *more
+    )
+
+
+def first_last(rows, keys, clock):
+    """First and last value per group by the text in `clock`, with that text, so that groups can be merged again.
 
     Rows without a value only keep their group alive.
     """
@@ -39,15 +63,15 @@ def bucket_consumption(buckets, scale, per_meter=False, method="within"):
     """
     if method not in ("within", "lag"):
         raise ValueError(f"unknown method: {method!r}")
-    base = F.col("head.reading")
+    base = F.col("first_value")
     if method == "lag":
         earlier = (
             Window.partitionBy("owner_name", *meter_keys(per_meter))
             .orderBy("bucket")
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        base = F.coalesce(F.last("tail.reading", ignorenulls=True).over(earlier), base)
-    used = buckets.withColumn("used", R.difference(F.col("tail.reading"), base, scale))
+        base = F.coalesce(F.last("last_value", ignorenulls=True).over(earlier), base)
+    used = buckets.withColumn("used", R.difference(F.col("last_value"), base, scale))
     if not per_meter:
         return used
     since = [F.min("earliest").alias("earliest")] if "earliest" in buckets.columns else []

@@ -44,7 +44,7 @@ def range_consumption(readings, start, stop, owner=None, owners=None, scale=None
         rows = rows.filter(F.col("reading_date").between(F.lit(start[:10]).cast("date"), F.lit(stop[:10]).cast("date")))
     rows = rows.select("owner_name", "time", "value")
     shown = O.roster(readings, owner, owners)
-    totals = S.first_last(C.seeded(rows, shown), ["owner_name"], clock="time")
+    totals = S.first_last(rows.unionByName(shown, allowMissingColumns=True), ["owner_name"], clock="time")
     used = _energy_if_two(F.col("n"), F.col("tail.reading"), F.col("head.reading"), scale, rounding)
     return totals.select("owner_name", used.alias("energy"))
 
@@ -78,7 +78,8 @@ def energy_stats(
         .filter(X.in_span(readings, year, wall=True))
         .select("owner_name", "time", "value", ring.alias("ring"))
     )
-    rings = S.first_last(C.seeded(rows, O.roster(readings, owner, owners)), ["owner_name", "ring"], clock="time")
+    shown = O.roster(readings, owner, owners)
+    rings = S.first_last(rows.unionByName(shown, allowMissingColumns=True), ["owner_name", "ring"], clock="time")
     merged = []
     for reach, name in enumerate(starts):
         inside = F.col("ring") <= reach
@@ -100,49 +101,34 @@ def energy_stats(
 
 def _register_by_bucket(readings, span, interval, finish, name, wall, options):
     """Register consumption per bucket with all slots filled; `finish` turns a difference into the shown figure."""
-    display_tz, consistent_time = options["display_tz"], options["consistent_time"]
-    scale, per_meter, method = options["scale"], options["per_meter"], options["method"]
-    owner, owners = options["owner"], options["owners"]
+    consistent_time, owner, scale = options["consistent_time"], options["owner"], options["scale"]
     rows = O.of_owner(S.register_rows(readings), owner)
-    bucket = X.bucket_of(X.local_seconds(display_tz, consistent_time), interval)
-    meter = S.meter_keys(per_meter)
-    keys = ["owner_name", *meter, "bucket"]
-    clock = "time" if consistent_time else "event_time"
-    if span.start is None:
-        return _register_by_year(rows, span, interval, finish, name, wall, options, keys, bucket, clock)
-    rows = rows.filter(X.in_span(readings, span, wall)).select(
-        "owner_name", *meter, bucket.alias("bucket"), clock, "value"
-    )
-    rows = rows.filter(F.col("bucket").between(X.slot_literal(span.first_slot), X.slot_literal(span.last_slot)))
-    slot_rows = C.slots(O.roster(readings, owner, owners), span, interval)
-    buckets = S.first_last(C.seeded(rows, slot_rows), keys, clock)
-    used = S.bucket_consumption(buckets, scale, per_meter, method)
-    return used.select(
-        "owner_name", X.label_of(F.col("bucket"), interval).alias("time"), finish(F.col("used")).alias(name)
-    )
-
-
-def _register_by_year(rows, span, interval, finish, name, wall, options, keys, bucket, clock):
-    """Yearly buckets from each owner's first reading on, in one scan.
-
-    The upper bound decides which readings count, not which owners exist, so it is applied inside the aggregation.
-    """
-    display_tz, consistent_time = options["display_tz"], options["consistent_time"]
-    counted = X.in_span(rows.select("time", "event_time"), span, wall)
-    first_seen = F.col("time") if wall else F.col("event_time")
-    buckets = rows.select(
-        *keys[:-1],
-        bucket.alias("bucket"),
-        first_seen.alias("seen"),
-        F.when(counted, F.struct(F.col(clock).alias("at"), F.col("value").alias("reading"))).alias("tick"),
-    )
-    buckets = buckets.groupBy(*keys).agg(
-        hashed(F.min("tick")).alias("head"), F.max("tick").alias("tail"), F.min("seen").alias("earliest")
-    )
-    used = S.bucket_consumption(buckets, options["scale"], options["per_meter"], options["method"])
-    start = F.to_timestamp("earliest") if wall else F.col("earliest")
-    filled = C.per_owner_calendar(used, "used", span, interval, start)
-    return filled.select(
+    local = X.local_seconds(options["display_tz"], consistent_time)
+    instant = local if consistent_time else F.unix_seconds("event_time")
+    rows = rows.withColumn("bucket", X.bucket_of(local, interval))
+    order = S.order_key(instant - F.col("bucket"), scale)
+    keys = ["owner_name", *S.meter_keys(options["per_meter"]), "bucket"]
+    last = X.slot_literal(span.last_slot)
+    if span.start is not None:
+        # What has no slot is dropped before it is aggregated.
+        first = X.slot_literal(span.first_slot)
+        rows = rows.filter(X.in_span(readings, span, wall) & F.col("bucket").between(first, last))
+        ends = S.bucket_ends(rows.select(*keys, "value", order.alias("order")), keys)
+        shown, carried = O.roster(readings, owner, options["owners"]), ()
+    else:
+        # Years start with an owner's first register reading; an owner without one has no years. The upper bound
+        # decides which readings count, not which owners exist, so it is applied inside the aggregation.
+        seen = X.local_seconds(options["display_tz"], True) if wall else instant
+        counted = F.when(X.in_span(rows.select("time", "event_time"), span, wall), order)
+        rows = rows.filter(F.col("bucket").isNotNull()).select(
+            *keys, "value", counted.alias("order"), seen.alias("seen")
+        )
+        ends = S.bucket_ends(rows, keys, F.min("seen").alias("earliest"))
+        first = X.bucket_of(F.col("earliest"), interval)
+        shown, carried = None, [F.min("earliest").alias("earliest")]
+    used = S.bucket_consumption(ends, scale, options["per_meter"], options["method"])
+    dense = C.filled(used, "used", first, last, interval, shown, carried)
+    return dense.select(
         "owner_name", X.label_of(F.col("bucket"), interval).alias("time"), finish(F.col("used")).alias(name)
     )
 

@@ -44,9 +44,11 @@ def live_means(
 def live_consumption(readings, interval, delay="1 hour", display_tz=DISPLAY_TZ, scale=None, rounding="half_up"):
     """Register consumption per owner and bucket, as far as it has arrived."""
     interval = X.resolve_interval(interval)
-    rows = registers.register_rows(readings).withWatermark("event_time", delay)
-    result = registers.first_last(rows, ["owner_name", local_window(interval, display_tz)])
-    used = R.difference(F.col("tail.reading"), F.col("head.reading"), scale)
+    window = local_window(interval, display_tz)
+    order = registers.order_key(F.unix_seconds("event_time") - F.unix_seconds(window["start"]), scale)
+    rows = registers.register_rows(readings).withWatermark("event_time", delay).withColumn("order", order)
+    result = registers.bucket_ends(rows, ["owner_name", window])
+    used = R.difference(F.col("last_value"), F.col("first_value"), scale)
     return _labelled(result, interval, display_tz, R.rounded(used, 6, rounding).alias("energy"))
 
 

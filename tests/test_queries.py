@@ -105,9 +105,9 @@ def test_a_named_owner(spark, readings):
     frame = readings([("2024-01-20 01:00:00", "11", E, 1.0), ("2024-01-20 02:00:00", "11", E, 2.0)])
     assert energy(frame, "day", owner="11")["11", "2024-01-20"] == 1.0
     assert len(energy(frame, "hr", owner="99")) == 24 and energy(frame, "year", owner="99") == {}
-    # A table of owners is taken at its word: owners it lacks show the buckets they have and no empty ones.
+    # Owners the table lacks are shown when they have a bucket, and whoever is shown has all slots.
     listed = energy(frame, "hr", owners=spark.createDataFrame([("a",), ("b",), ("b",)], "owner_name string"))
-    assert len(listed) == 2 * 24 + 2
+    assert len(listed) == 3 * 24 and listed["11", "2024-01-20 03:00"] == 0.0
     with pytest.raises(ValueError):
         energy(frame, "day", owner="")
 
@@ -224,6 +224,9 @@ def test_a_malformed_time_fails_only_strict_readings(readings, spark):
 
     frame = readings([("2024-01-20 01:00:00", "11", E, 1.0), ("2024-01-20 02:00:00", "11", E, 3.0), ("bad", "11", E, 1.0)])
     assert energy(frame, "day")["11", "2024-01-20"] == 2.0
+    assert energy(frame, "year") == {("11", "2024"): 2.0}
+    assert ghg(frame, "day", scale=2)["11", "2024-01-20"] == 0.00116
+    assert ghg(frame, "year", scale=2) == {("11", "2024"): 0.00116}
     with pytest.raises(PySparkException):
         energy(with_event_time(frame, strict=True), "day")
 
@@ -261,6 +264,28 @@ def test_means_ignore_nulls(readings):
         assert shown(Q.frequency(frame, AS_OF, "hr", scale=scale)) == {("11", "2024-01-20 12:00"): 50.0}
 
 
+def test_what_is_no_number_does_not_count_when_values_are_exact(readings):
+    nan = float("nan")
+    frame = readings([("2024-01-20 06:30:00", "11", "frequency", 50.0), ("2024-01-20 06:31:00", "11", "frequency", nan)])
+    assert shown(Q.frequency(frame, AS_OF, "hr", scale=2)) == {("11", "2024-01-20 12:00"): 50.0}
+    assert str(shown(Q.frequency(frame, AS_OF, "hr"))["11", "2024-01-20 12:00"]) == "nan"
+
+
+def test_registers_of_any_size(readings):
+    big = [("2024-01-20 06:30:00", "11", E, 1e300), ("2024-01-20 06:31:00", "11", E, 7e12), ("2024-01-20 06:32:00", "11", E, 7e12 + 8)]
+    assert energy(readings(big[1:]), "day", scale=2)["11", "2024-01-20"] == 8.0
+    assert energy(readings(big), "day")["11", "2024-01-20"] == 7e12 + 8 - 1e300
+    ties = [("2024-01-20 06:30:00", "11", E, value) for value in (-1e9, 1e9, -1.3e9, 1.3e9)]
+    for interval, slot in (("hr", "2024-01-20 12:00"), ("month", "2024-01"), ("year", "2024")):
+        assert energy(readings(ties), interval, scale=2)["11", slot] == 2.6e9
+
+
+def test_the_first_second_of_a_long_year(readings):
+    ends = [("2023-12-31 18:30:00", "11", E, 5.0), ("2024-12-31 18:29:59", "11", E, 3.0), ("2024-06-01 00:00:00", "11", E, 9.0)]
+    frame = readings(ends)
+    assert shown(Q.energy_consumption(frame, "2025-06-01 00:00:00", "year"))["11", "2024"] == -2.0
+
+
 def test_owner_order(readings):
     names = ["7", "20", "11", "9", "12", "abc", None, "16"]
     frame = readings([("2024-01-20 06:30:00", name, "volt1", 1.0) for name in names * 2])
