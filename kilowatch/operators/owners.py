@@ -12,7 +12,7 @@ def display_name(owner="owner_name"):
 def display_rank(owner):
     """Place in the display order; owners it does not list share the place after the last."""
     place = F.array_position(F.array(*(F.lit(name) for name in OWNER_ORDER)), owner)
-    return F.when(place > 0, place).otherwise(F.lit(len(OWNER_ORDER) + 1))
+    return F.when(place > 0, place).otherwise(F.lit(len(OWNER_ORDER) + 1)).cast("int")
 
 
 def distinct_owners(readings):
