@@ -5,7 +5,6 @@ from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from kilowatch.operators import documents, owners
 from kilowatch.plans import queries as Q
