@@ -1,0 +1,14 @@
+import pytest
+
+DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    """Documents from (doc_id, text) rows, with columns whose names clash with those the operators use."""
+
+    def build(rows):
+        full = [(i, t, "en", "s", None if t is None else len(t), 1, "x", 2, 3) for i, t in rows]
+        return spark.createDataFrame(full, f"{DOCUMENT}, fp int, fingerprint string, component_id int, cell int")
+
+    return build

@@ -1,0 +1,99 @@
+import random
+
+import numpy as np
+import xxhash
+
+from kilowatch.llm import simhash_dedup as S
+
+
+def plain_fingerprint(text):
+    raw = "".join(c.lower() if c.isascii() else c for c in text)
+    words = [w for w in raw.translate({c: " " for c in (9, 10, 11, 12, 13)}).split(" ") if w]
+    if not words:
+        return 0
+    size = min(4, len(words))
+    hashes = [xxhash.xxh64(" ".join(words[k : k + size]), 42).intdigest() for k in range(len(words) - size + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints):
+    """Smallest id reachable, by comparing everything with everything."""
+    group = {i: i for i in prints}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids = sorted(prints)
+    for a in ids:
+        for b in ids:
+            if a < b and bin(prints[a] ^ prints[b]).count("1") <= 4 and find(a) != find(b):
+                group[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in ids}
+
+
+def corpus():
+    r = random.Random(4)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(0, "Ünï Code x\tyes\nNO yes no"), (1, ""), (2, None), (3, " \n\t"), (4, "one two"), (5, "ONE\x0btwo"), (6, "a " * 20000)]
+    for i in range(7, 120):
+        text = [r.choice(words) for _ in range(r.randrange(3, 400))]
+        rows.append((i * 3, " ".join(text)))
+        for copy in range(r.choice((0, 0, 1, 3))):
+            if copy and len(text) > 20:
+                text[r.randrange(len(text))] = "edit"
+            rows.append((i * 3 + 1 + copy * 1000, " ".join(text)))
+    return rows
+
+
+def test_equals_brute_force(documents):
+    rows = corpus()
+    found = {r["doc_id"]: r for r in S.near_duplicates(documents(rows)).collect()}
+    prints = {i: plain_fingerprint(t or "") for i, t in rows}
+    assert {i: r["fingerprint"] for i, r in found.items()} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {i: r["component_id"] for i, r in found.items()} == plain_components(prints)
+
+
+def test_every_pair_within_the_threshold_meets_at_an_anchor():
+    r = random.Random(7)
+    for max_bits in (1, 2, 3, 4):
+        upper, lower = S.shares(max_bits)
+        sides = [(32, S.Anchors(upper)), *([(0, S.Anchors(lower))] if lower >= 0 else [])]
+        for _ in range(300):
+            a = r.getrandbits(64)
+            b = a
+            for bit in r.sample(range(64), max_bits):
+                b ^= 1 << bit
+            met = False
+            for shift, anchors in sides:
+                at = [set(anchors.of(np.array([(x >> shift) & 0xFFFFFFFF]))[1].tolist()) for x in (a, b)]
+                met |= bool(at[0] & at[1])
+            assert met
+
+
+def test_large_cells_are_compared_in_blocks(spark):
+    r = random.Random(2)
+    centre = r.getrandbits(62)
+    prints = {centre ^ (1 << a) ^ (1 << b) for a in range(62) for b in range(a)} | {r.getrandbits(62) for _ in range(200)}
+    frame = spark.createDataFrame([(p,) for p in prints], "fp bigint")
+    whole = {r["node"]: r["root"] for r in S.components(S.links(frame, 4)).collect()}
+    parts = {r["node"]: r["root"] for r in S.components(S.links(frame, 4, limit=50)).collect()}
+    assert whole == parts and len(set(parts.values())) == 1 and len(parts) >= 62 * 61 // 2
+
+
+def test_chains_become_one_component(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(500, 501), (7, 7)], "a bigint, b bigint")
+    found = {r["node"]: r["root"] for r in S.components(edges).collect()}
+    assert found == {k: 0 for k in range(101)} | {500: 500, 501: 500}
+
+
+def test_nulls_ties_repeats_and_empty_tables(documents):
+    same = "the same words in the same order again"
+    rows = [(None, same), (5, same), (5, same), (9, same), (None, "alone in the world it is"), (None, None)]
+    found = sorted(((r["doc_id"], r["component_id"]) for r in S.near_duplicates(documents(rows)).collect()), key=str)
+    assert found == sorted([(None, 5), (5, 5), (5, 5), (9, 5), (None, None), (None, None)], key=str)
+    kept = S.deduplicated(documents(rows))
+    assert kept.columns == documents(rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, same), (None, rows[4][1]), (None, None)], key=str)
+    assert S.near_duplicates(documents([])).collect() == [] and S.deduplicated(documents([])).collect() == []
