@@ -1,19 +1,40 @@
 """The registered query of every operator, and SQL where SQL can express it."""
 
-from kilowatch.llm import simhash_dedup
+from kilowatch.llm import fingerprints, secrets, simhash_dedup, token_files
+from kilowatch.session import shared_folder
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_document_fingerprints(spark, sf_dir):
+    """Sketches of all documents and of their edited texts."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark, sf_dir):
     """Near-duplicate classes of all documents: 4-word shingles, at most 4 differing bits."""
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, max_bits=4)
 
 
+def op9_token_files(spark, sf_dir):
+    """All documents as files of 16-bit token ids, read back."""
+    import public_tokenizers
+
+    path = shared_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_documents(spark, path)
+
+
+def op10_secret_scans(spark, sf_dir):
+    """Secrets in all documents."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op4_simhash_dedup,)}
+    found = (op2_document_fingerprints, op4_simhash_dedup, op9_token_files, op10_secret_scans)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():

@@ -1,0 +1,80 @@
+import hashlib
+import random
+
+import numpy as np
+
+from kilowatch.llm import fingerprints as P
+
+
+def shingles(text):
+    words = text.lower().split()
+    size = min(5, len(words))
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if words else set()
+
+
+def prose(r, n):
+    return " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+
+
+def test_estimates_are_close_to_the_truth():
+    r = random.Random(3)
+    for share in (0.0, 0.2, 0.5, 0.9, 1.0):
+        common = prose(r, int(4000 * share))
+        a, b = common + " " + prose(r, 4000 - int(4000 * share)), common + " " + prose(r, 8000 - int(4000 * share))
+        x, y, sa, sb = P.sketch(a), P.sketch(b), shingles(a), shingles(b)
+        assert abs(P.resemblance(x, y) - len(sa & sb) / len(sa | sb)) < 0.15
+        assert abs(P.containment(x, y) - len(sa & sb) / len(sa)) < 0.3
+        assert abs(P.distinct(x) / len(sa) - 1) < 0.3
+
+
+def test_small_texts_are_exact():
+    a, b = "a b c d e f g", "a b c d e f h"
+    assert P.resemblance(P.sketch(a), P.sketch(b)) == 2 / 4 and P.containment(P.sketch(a), P.sketch(b)) == 2 / 3
+    assert P.distinct(P.sketch(a)) == 3 and P.distinct(P.sketch("A b")) == 1 and P.distinct(P.sketch(" \n")) == 0
+    assert P.resemblance(P.sketch(""), P.sketch("")) == 1 and P.resemblance(P.sketch(""), P.sketch("a")) == 0
+
+
+def test_parts_merge_into_the_whole(spark, documents, monkeypatch):
+    text = prose(random.Random(1), 5000)
+    whole = P.sketch(text)
+    assert (P.decode(P.encode(whole)) == whole).all()
+    monkeypatch.setattr(P, "_PART", 64)
+    assert (P.sketch(text) == whole).all()
+    monkeypatch.undo()
+    r = random.Random(5)
+    rows = [(k, prose(r, 300)) for k in range(60)] + [(60, None)]
+    found = P.fingerprints(documents(rows)).selectExpr("CASE WHEN doc_id < 50 THEN 'hot' WHEN doc_id < 60 THEN 'b' END AS g", "fingerprint")
+    got = {x["g"]: x["fingerprint"] for x in P.merged(found, "g").collect()}
+    parts = {"hot": rows[:50], "b": rows[50:60], None: rows[60:]}
+    assert got == {g: P.encode(P.merge(*(P.sketch(t or "") for _, t in part))) for g, part in parts.items()}
+
+
+def expected(rows):
+    ordered = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    out = []
+    for k, (i, t) in enumerate(ordered):
+        other = ordered[(k + 1) % len(ordered)][1]
+        cut = len(t) // 4
+        new = t[: len(t) - cut] + other[:cut]
+        a, b, c = P.sketch(t), P.sketch(new), P.sketch(other)
+        out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), P.encode(a), P.encode(b), P.resemblance(a, b), P.resemblance(a, c)))
+    return sorted(out, key=str)
+
+
+COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+
+
+def test_edited_texts_follow_the_ids(documents):
+    r = random.Random(9)
+    rows = [(r.randrange(10**6), prose(r, r.randrange(0, 60)) + "é" * r.randrange(3)) for _ in range(200)] + [(-5, None), (7, "ñ" * 50_000)]
+    for case in (rows, rows[:1], rows[:2], rows[:40] + [(None, "no id"), (None, None), rows[0], rows[1]], []):
+        found = P.edited_fingerprints(documents(case).repartition(5)).select(*COLUMNS).collect()
+        assert sorted((tuple(x) for x in found), key=str) == expected(case)
+
+
+def test_many_ranges(spark):
+    ids = spark.range(0, 3000, 3)
+    ranges = P.IdRanges(ids.withColumnRenamed("id", "doc_id"), 100)
+    found = ids.select("id", ranges.of(ids["id"]).alias("k")).collect()
+    assert all(ranges.bounds[x["k"]] <= x["id"] < [*ranges.bounds, 10**9][x["k"] + 1] for x in found) and len(ranges) > 90
+    assert np.bincount([x["k"] for x in found]).max() < 30
