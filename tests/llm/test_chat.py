@@ -1,0 +1,35 @@
+import hashlib
+
+from kilowatch.llm import chat as C
+
+ROWS = [
+    (1, 0, "system", "be good"), (1, 2, "assistant", "b"), (1, 1, "user", "a"), (1, 3, "assistant", "</s>[INST] c <\\s> <\\\\/s>[+]"), (1, 4, "user", None),
+    (2, 0, "user", ""), (2, 1, "assistant", "🙂é\n<<END>>"), (None, None, None, "x"), (None, 5, "[/INST]", "<s>"), (3, 1, "assistant", "tie"), (3, 1, "assistant", "tie"), (3, None, "user", "first"),
+    (4, 0, "assistant", "<|im_end|>[[INST]]<<s>"), (-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]"),
+    *((5, k, "user" if k % 7 else "assistant", f"turn {k} </s>") for k in range(400)),
+]
+
+
+def plain(rows):
+    out = []
+    for conv in {r[0] for r in rows}:
+        turns = sorted((t is not None, t or 0, r or "", x or "") for c, t, r, x in rows if c == conv)
+        said = "".join(f"{r}\n{x}\n" for _, _, r, x in turns)
+        loss = "".join(x for _, _, r, x in turns if r == "assistant")
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        blocks = sum(k == 0 or t[2] != turns[k - 1][2] for k, t in enumerate(turns))
+        out.append((conv, len(turns), sha(said), len(loss), sha(loss), blocks))
+    return sorted(out, key=str)
+
+
+def test_reads_back_what_was_formatted(spark):
+    frame = spark.createDataFrame([(*r, "x", 1) for r in ROWS], "conv_id bigint, turn bigint, role string, text string, formatted string, segments int")
+    chats = C.formatted(frame)
+    assert "Python" not in C.digests(chats)._jdf.queryExecution().toString()
+    found = C.digests(chats).collect()
+    assert sorted(((*r[:5], r["n_blocks"]) for r in found), key=str) == plain(ROWS)
+    for row in chats.collect():
+        assert "".join(s["text"] for s in row["segments"]) == row["formatted"]
+        inside = [s["text"] for s in row["segments"] if s["text"] not in C.CONTROL and not s["text"].startswith(C.BLOCK)]
+        assert not any(c in t for c in C.CONTROL for t in inside)
+    assert C.formatted(frame.limit(0)).collect() == []

@@ -1,0 +1,49 @@
+import random
+import zlib
+
+import numpy as np
+
+from kilowatch.llm import quality as Q
+
+R = random.Random(12)
+WORDS = ["".join(R.choice("abcdefghijklmnop") for _ in range(R.randrange(2, 9))) for _ in range(800)]
+
+
+def good():
+    return ". ".join(" ".join(R.choice(WORDS) for _ in range(R.randrange(5, 15))).capitalize() for _ in range(R.randrange(1, 20))) + "."
+
+
+def junk():
+    kind = R.randrange(3)
+    if kind == 0:
+        return " ".join(R.choice(WORDS) + R.choice(["%%%", "$$$", "###"]) for _ in range(R.randrange(10, 100)))
+    return "\n".join(["click here now"] * R.randrange(5, 30)) if kind == 1 else " ".join(str(R.randrange(10**6)) for _ in range(R.randrange(10, 100)))
+
+
+def test_held_out_accuracy_and_rows(spark, documents):
+    rows = [(k, junk() if k % 4 == 0 else good()) for k in range(1200)] + [(5000, None), (5001, ""), (None, good()), (5002, "w " * 30000)]
+    labels = spark.createDataFrame([(k, int(k % 4 != 0), 0) for k in range(1200)] + [(None, 1, 0), (5000, None, 0)], "doc_id bigint, quality int, text int")
+    found = Q.classified(documents(rows), labels).collect()
+    assert len(found) == len(rows)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found if r["doc_id"] is not None)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in found)
+    held = [(r["predicted"], int(r["doc_id"] % 4 != 0)) for r in found if r["held_out"] and r["doc_id"] < 1200]
+    assert len(held) > 200 and sum(a == b for a, b in held) / len(held) > 0.97
+    kept = Q.accepted(documents(rows), labels)
+    assert kept.columns == documents(rows).columns
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((r["doc_id"] for r in found if r["predicted"]), key=str)
+    flipped = Q.classified(documents(rows), labels.selectExpr("doc_id", "CASE WHEN crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 THEN 1 - quality ELSE quality END AS quality"))
+    assert {r["doc_id"]: r["score"] for r in flipped.collect()} == {r["doc_id"]: r["score"] for r in found}
+
+
+def test_without_labels_or_documents(spark, documents):
+    none = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert [r["score"] for r in Q.classified(documents([(1, "a"), (2, None)]), none).collect()] == [0.5, 0.5]
+    assert Q.classified(documents([]), none).collect() == []
+
+
+def test_pairs_learn_what_single_tables_can_not():
+    X = np.array([[R.random() for _ in Q.FEATURES] for _ in range(4000)], np.float32)
+    y = (X[:, 3] > 0.5) == (X[:, 8] > 0.5)
+    model = Q.Additive(X[:3000], y[:3000])
+    assert (3, 8) in model.pairs and ((model.score(X[3000:]) > 0.5) == y[3000:]).mean() > 0.9
