@@ -19,7 +19,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from kilowatch.llm.common import WHITE, _spans, shingle_hashes, texts, word_hashes
 
@@ -220,7 +220,7 @@ def scored(docs, model, text_col="text"):
             found = model.score(matrix(batch[text_col].to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "score"])
 
-    return rows.mapInArrow(run, rows.schema.add("score", "double"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def classified(docs, labels, threshold=THRESHOLD, sample=SAMPLE, id_col="doc_id", text_col="text"):
