@@ -34,6 +34,26 @@ def emit(rows, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+class Memory:
+    """Results by key, of bounded size: what was used lately stays, the rest is forgotten in halves."""
+
+    def __init__(self, find, size):
+        self.find, self.size, self.now, self.before = find, size // 2, {}, {}
+
+    def __call__(self, key):
+        """For keys that are not in `now`, which callers look at first."""
+        found = self.before.get(key)
+        if found is None:
+            found = self.now.get(key)
+            if found is None:
+                found = self.find(key)
+        if len(self.now) >= self.size:
+            self.before = dict(self.now)
+            self.now.clear()
+        self.now[key] = found
+        return found
+
+
 # ---- hashes of words and shingles, many at a time -------------------------------------------------------------------
 
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2^64

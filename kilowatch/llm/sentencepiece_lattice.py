@@ -20,11 +20,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from kilowatch.llm.common import texts
+from kilowatch.llm.common import Memory, texts
 
 SPACE = "▁"
 _OWN_SPACE = "\ud800"  # stands for a U+2581 of the text; no valid text has it
-CACHE = 200_000
+CACHE = 600_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -53,7 +53,7 @@ class Lattice:
         self.raw = [byte_of.get(i, b"") for i in range(len(model))]
         for i in plain:
             self.raw[i] = self.pieces[i].replace(SPACE, " ").encode()
-        self.known = {}
+        self.parts = Memory(self._part, CACHE)
 
     def _bytes(self, char):
         return [self.byte_ids[b] for b in (SPACE if char == _OWN_SPACE else char).encode()]
@@ -89,12 +89,7 @@ class Lattice:
         return [i for ids in reversed(out) for i in ids]
 
     def _part(self, part):
-        ids = np.array(self.best(part), "<i4").tobytes()
-        if len(part) < 48:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[part] = ids
-        return ids
+        return np.array(self.best(part), "<i4").tobytes()
 
     def encode(self, text):
         """Ids as little-endian 32-bit integers."""
@@ -102,8 +97,8 @@ class Lattice:
             return b""
         if SPACE in text:
             text = text.replace(SPACE, _OWN_SPACE)
-        known, part = self.known, self._part
-        return b"".join([known[p] if p in known else part(p) for p in _parts(text)])
+        known, part = self.parts.now, self.parts
+        return b"".join([known[p] if p in known else part(p) if len(p) < 48 else self._part(p) for p in _parts(text)])
 
     def decode(self, ids):
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""

@@ -21,8 +21,11 @@ ids go by a hash of the text. An empty table gives files without ids.
 """
 
 import glob
+import json
 import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,68 +36,112 @@ from kilowatch.llm.common import IdRanges, emit, shuffle_partitions, texts
 END_ID = 0
 NO_ID = -(1 << 63)
 LIMIT = 1 << 48
-CACHE = 200_000
+# Pieces and words a task remembers, twice.
+PIECES, WORDS = 250_000, 400_000
 
 
 # ---- tokens ---------------------------------------------------------------------------------------------------------
 
 
+# Fixed value: the splitter of byte-level BPE.
+SPLITTER = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Encoder:
-    """Ids of whole texts by a byte-level BPE of the tokenizers library, with a memory of bounded size for repeated pieces.
+    """Ids of whole texts by a byte-level BPE of the tokenizers library, remembering pieces and words up to a bound.
 
     The splitter of such a BPE never joins what lies on both sides of a single space between two characters that are not
-    white space, and no merge crosses its splits. So a text is cut there, and each piece, with its space, is encoded
-    once as long as it is remembered. Pieces not remembered are cut further by the tokenizer's own splitter. The result
-    is the tokenizer's own on the whole text.
+    white space, and no merge crosses its splits. So texts are cut there, and the new pieces of many texts are split into
+    words in one go, with a white space character between them that none of them has. The tokenizer's model encodes each
+    new word. Pieces with white space inside are left to the tokenizer as they are. The result is the tokenizer's own on
+    the whole texts.
     """
 
+    MARK = "\x0b"
+
     def __init__(self, path, width):
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        if self.tokenizer.normalizer is not None:
-            raise ValueError("a tokenizer that rewrites texts can't be applied piece by piece")
-        self.kind = f"<u{width}"
-        self.splitter, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
-        self.pieces, self.words = {}, {}
+        parts = json.loads(self.tokenizer.to_str())
+        splitter = parts["pre_tokenizer"] or {}
+        if parts["normalizer"] or splitter.get("type") != "ByteLevel" or not splitter.get("use_regex") or splitter.get("add_prefix_space"):
+            raise ValueError("not a plain byte-level BPE")
+        self.model, self.split = self.tokenizer.model, regex.compile(SPLITTER).findall
+        self.odd = regex.compile(r"[^\S\n]").search
+        self.kind = {2: "H", 4: "I"}[width]  # the little-endian machines that Spark runs on
+        self.pieces, self.old_pieces, self.words, self.old_words = {}, {}, {}, {}
+        # The model's characters for bytes: printable ones stand for themselves, the others are numbered from 256 on.
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(printable)]
+        self.chars = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+    def _bytes(self, ids):
+        return array(self.kind, ids).tobytes()
 
     def _word(self, word):
-        found = np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
-        if len(self.words) >= CACHE:
-            self.words.clear()
-        self.words[word] = found
-        return found
-
-    def _piece(self, piece):
-        words = self.words
-        found = b"".join([words[w] if w in words else self._word(w) for w, _ in self.splitter.pre_tokenize_str(piece)])
-        if len(piece) < 64:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
-
-    def __call__(self, text):
-        """The ids as little-endian bytes."""
-        pieces, known = self.pieces, self._piece
-        return b"".join([pieces[p] if p in pieces else known(p) for p in cut(text)])
+        return self._bytes([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.chars))])
+
+    def _learn(self, new):
+        again = new & self.old_pieces.keys()
+        self.pieces.update({p: self.old_pieces[p] for p in again})
+        fresh = [p for p in new - again if type(p) is str and len(p) < 64]
+        if self.odd("".join(fresh)):
+            fresh = [p for p in fresh if not self.odd(p)]
+        for piece in (new - again).difference(fresh):
+            whole = " " + piece if type(piece) is str else piece[0]
+            self.pieces[piece] = self._bytes(self.tokenizer.encode(whole, add_special_tokens=False).ids)
+        if not fresh:
+            return
+        words = self.split(self.MARK.join([" " + p for p in fresh]))
+        known, old = self.words, self.old_words
+        missing = set(words) - known.keys()
+        missing.discard(self.MARK)
+        known[self.MARK] = b""
+        for word in missing:
+            known[word] = old[word] if word in old else self._word(word)
+        ids = [known[w] for w in words]
+        ends = [k for k, w in enumerate(words) if w == self.MARK]
+        self.pieces.update(zip(fresh, [b"".join(ids[a:b]) for a, b in zip([0, *ends], [*ends, len(ids)], strict=True)], strict=True))
+
+    def __call__(self, texts):
+        """The ids of each text as little-endian bytes."""
+        out = []
+        for at in range(0, len(texts), 256):
+            cuts = [cut(t) for t in texts[at : at + 256]]
+            self._learn(set().union(*cuts) - self.pieces.keys())
+            ids = self.pieces.__getitem__
+            out += [b"".join(map(ids, pieces)) for pieces in cuts]
+            if len(self.pieces) > PIECES:
+                self.old_pieces, self.pieces = {p: v for p, v in self.pieces.items() if len(v) < 128}, {}
+            if len(self.words) > WORDS:
+                self.old_words, self.words = self.words, {}
+        return out
+
+
+_SPACES = re.compile(r" \s"), re.compile(r"[^\S ] ")
 
 
 def cut(text):
-    """The text in pieces, each from a single space between characters that are no white space to the next."""
+    """The text in pieces, each from a single space between characters that are no white space to the next.
+
+    A piece is a string without its space; the first piece, and those with runs of white space, are tuples of the whole.
+    """
     parts = text.split(" ")
-    if len(parts) == 1:
+    if parts[0] and parts[-1] and not any(run.search(text) for run in _SPACES):
+        parts[0] = (parts[0],)
         return parts
     out = [parts[0]]
     for part in parts[1:]:
         last = out[-1]
-        if part and not part[0].isspace() and last and last != " " and not last[-1].isspace():
+        if part and not part[0].isspace() and last and not last[-1].isspace():
             out.append(" " + part)
         else:  # part of a run of white space
             out[-1] = last + " " + part
-    return out
+    return [(p,) for p in out]
 
 
 _encoders = {}
@@ -114,7 +161,7 @@ def tokenized(rows, tokenizer, width):
     def run(batches):
         own = encoder(tokenizer, width)
         for batch in batches:
-            ids = pa.array([own(t) for t in batch["text"].to_pylist()], pa.binary())
+            ids = pa.array(own(batch["text"].to_pylist()), pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), ids], [*kept, "ids"])
 
     types = dict(rows.dtypes)

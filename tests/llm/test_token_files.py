@@ -28,9 +28,13 @@ def test_pieces_give_the_ids_of_the_whole_text(plain):
     own = T.Encoder(PATH, 2)
     r = random.Random(1)
     mixed = ["".join(r.choice([" ", " ", "\n", "\t", "a", "Be", "'s", "é", ".", "12", " ", "!", "東"]) for _ in range(60)) for _ in range(500)]
-    for text in AWKWARD + mixed:
-        assert "".join(T.cut(text)) == text
-        assert np.frombuffer(own(text), "<u2").tolist() == plain(text), repr(text)
+    words = [" ".join(r.choice(["the.", "Ünï", "a,b", "x\ny", "(q)", "it's", "12%", "zz" * 40, "n\0l", "--"]) for _ in range(30)) for _ in range(300)]
+    for text in AWKWARD + mixed + words:
+        pieces = T.cut(text)
+        assert "".join(p[0] if type(p) is tuple else " " + p for p in pieces) == text
+    texts = AWKWARD + mixed + words
+    for text, ids in zip(texts * 2, own(texts) + own(texts[::-1])[::-1], strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == plain(text), repr(text)
 
 
 def test_files_hold_all_documents_in_order(spark, documents, plain, tmp_path):
