@@ -1,6 +1,6 @@
 """The registered query of every operator, and SQL where SQL can express it."""
 
-from kilowatch.llm import chat, decontamination, fingerprints, quality, secrets, sentencepiece_lattice, simhash_dedup, token_files
+from kilowatch.llm import chat, decontamination, fingerprints, licences, quality, secrets, sentencepiece_lattice, simhash_dedup, token_files, warc
 from kilowatch.session import shared_folder
 
 
@@ -43,6 +43,20 @@ def op6_quality_classifier(spark, sf_dir):
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op7_warc(spark, sf_dir):
+    """All pages as WARC archives, read back through the merged index."""
+    path = shared_folder(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    index = warc.capture_index(spark, path)
+    first = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return index.select(*first, "urlkey", "captured_at", "file", "offset", "length")
+
+
+def op8_licence_scans(spark, sf_dir):
+    """Licences stated in all documents."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark, sf_dir):
     """All documents as files of 16-bit token ids, read back."""
     import public_tokenizers
@@ -65,6 +79,8 @@ def queries():
         op4_simhash_dedup,
         op5_sentencepiece,
         op6_quality_classifier,
+        op7_warc,
+        op8_licence_scans,
         op9_token_files,
         op10_secret_scans,
     )
