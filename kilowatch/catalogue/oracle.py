@@ -118,14 +118,14 @@ def voltage(interval):
     return means(interval, columns, 2, f"event_time >= TIMESTAMP '{ROLLING[interval]}'")
 
 
-def buckets(interval, where, minutes, extra=""):
+def buckets(interval, where, minutes, extra="", source=None):
     """First and last register reading per owner and label; ties on time are ordered by value."""
     tick = "{'at': event_time, 'reading': cents}"
     return f"""
 buckets AS (
   SELECT owner_name{extra}, {label(interval, minutes)} AS time,
          arg_min(cents, {tick}) AS first_cents, arg_max(cents, {tick}) AS last_cents
-  FROM {SOURCES[interval]} WHERE value_name = 'energy_consumption' AND {where}
+  FROM {source or SOURCES[interval]} WHERE value_name = 'energy_consumption' AND {where}
   GROUP BY ALL)"""
 
 
@@ -255,12 +255,16 @@ SELECT time, substr(time, 1, 10) AS reading_date, {METER.format(m='user_id')},
 FROM entries"""
 
 REDELIVERED = f"""
-SELECT DISTINCT * EXCLUDE (reading_date, value) FROM ({FLATTEN})"""
+SELECT DISTINCT * FROM ({FLATTEN})"""
 
-ENERGY_DAY_STREAM = f"""
-WITH {MONTHLY}, {buckets('day', 'true', 330)}
+
+
+def energy_stream(interval):
+    return f"""
+WITH {MONTHLY}, {buckets(interval, 'true', 330, source=SOURCES['day'])}
 SELECT owner_name, time, (last_cents - first_cents) / 100.0 AS energy FROM buckets"""
 
+
 WIDE = """
 SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, CAST(value AS VARCHAR) AS voltage,
        CASE WHEN event_type <> 'view' THEN CAST(user_id AS VARCHAR) END AS current,
@@ -342,7 +346,10 @@ def oracle_sql():
         "flatten_readings": FLATTEN,
         "flatten_readings_stream": FLATTEN,
         "redelivered_readings": REDELIVERED,
-        "energy_day_stream": ENERGY_DAY_STREAM,
+        "energy_day_stream": energy_stream("day"),
+        "energy_month_stream": energy_stream("month"),
+        "energy_year_stream": energy_stream("year"),
+        "energy_day_watermark": energy_stream("day"),
         "wide_params": WIDE,
         "raw_envelope": WIDE,
         "props_explode": PROPS,

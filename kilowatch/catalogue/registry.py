@@ -182,17 +182,36 @@ def flatten_readings_stream(spark, sf_dir):
     return _shown(tables.read_readings(spark, path))
 
 
-def frequency_day_stream(spark, sf_dir):
-    """Daily means kept by a stream; the written updates hold each bucket's last state in the latest batch."""
+def _parts_stream(spark, sf_dir, parts):
+    """The parts a stream of readings leaves, in files of no particular order of time."""
     path, checkpoint = shared_folder(spark, "buckets"), shared_folder(spark, "positions")
     readings = P.monthly_of(_event_stream(spark, sf_dir))
-    live = buckets.live_means(readings, "day", {FREQUENCY: "frequency"}, delay="31 days", **EXACT)
-    jobs.wait(buckets.store_updates(live, path, checkpoint, available_now=True))
-    return buckets.read_latest(spark, path, live.schema)
+    jobs.wait(buckets.store_parts(readings, parts, path, checkpoint, available_now=True))
+    return buckets.read_parts(spark, path, parts(P.monthly(spark, sf_dir)).schema)
+
+
+def frequency_stream(interval):
+    """Means per bucket kept by a stream."""
+
+    def query(spark, sf_dir):
+        parts = _parts_stream(spark, sf_dir, lambda r: buckets.mean_parts(r, interval, {FREQUENCY: "frequency"}, scale=EXACT["scale"]))
+        return buckets.means(parts, interval, **EXACT)
+
+    return query
+
+
+def energy_stream(interval):
+    """Consumption per bucket kept by a stream."""
+
+    def query(spark, sf_dir):
+        parts = _parts_stream(spark, sf_dir, lambda r: buckets.consumption_parts(r, interval, scale=EXACT["scale"]))
+        return buckets.consumption(parts, interval, **EXACT)
+
+    return query
 
 
-def energy_day_stream(spark, sf_dir):
-    """Daily consumption kept by a stream."""
+def energy_day_watermark(spark, sf_dir):
+    """Daily consumption kept by a stream with state and a watermark."""
     path, checkpoint = shared_folder(spark, "buckets"), shared_folder(spark, "positions")
     live = buckets.live_consumption(P.monthly_of(_event_stream(spark, sf_dir)), "day", delay="31 days", **EXACT)
     jobs.wait(buckets.store_updates(live, path, checkpoint, available_now=True))
@@ -203,7 +222,7 @@ def redelivered_readings(spark, sf_dir):
     """What is left of readings that were all delivered twice."""
     raw = P.raw_messages(spark, sf_dir)
     left = ingest.deduplicated(ingest.flatten(raw.unionByName(raw)))
-    return left.select("time", *(name for name in PATH_PARTS if name != "meter_class"))
+    return _shown(left)
 
 
 def queries():
@@ -234,8 +253,11 @@ def queries():
         "response_entries": response_entries,
         "energy_day_stored": energy_day_stored,
         "flatten_readings_stream": flatten_readings_stream,
-        "frequency_day_stream": frequency_day_stream,
-        "energy_day_stream": energy_day_stream,
+        "frequency_day_stream": frequency_stream("day"),
+        "energy_day_stream": energy_stream("day"),
+        "energy_month_stream": energy_stream("month"),
+        "energy_year_stream": energy_stream("year"),
+        "energy_day_watermark": energy_day_watermark,
         "redelivered_readings": redelivered_readings,
     }
     for interval in X.INTERVALS:

@@ -146,6 +146,13 @@ def full_period_span(as_of, interval):
     return Span(start, stop, False, start, last)
 
 
+def require_utc(frame):
+    """Texts and instants are turned into each other in the session's zone; another one than UTC would shift buckets."""
+    zone = frame.sparkSession.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Z", "GMT", "Etc/UTC", "+00:00"):
+        raise ValueError(f"spark.sql.session.timeZone has to be UTC, not {zone}; kilowatch.session.prepare sets it")
+
+
 def wall_text(moment):
     """A bound in the text form of `time`."""
     return moment.strftime("%Y-%m-%d %H:%M:%S")

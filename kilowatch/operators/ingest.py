@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kilowatch.functions import messages as M
 from kilowatch.functions.grouping import hashed
+from kilowatch.functions.timeaxis import require_utc
 from kilowatch.schema import READINGS, TEXT_MESSAGE
 from kilowatch.vocabulary import (
     ENERGY_METER,
@@ -21,6 +22,7 @@ STORED = READINGS.fieldNames()
 
 def with_event_time(readings, source_tz=SOURCE_TZ, strict=False):
     """Add `event_time` and `reading_date`. Malformed text becomes null, or fails the job when `strict`."""
+    require_utc(readings)
     written = F.to_timestamp("time") if strict else F.try_to_timestamp("time")
     instant = written if source_tz == "UTC" else F.to_utc_timestamp(written, source_tz)
     return readings.withColumns({"event_time": instant, "reading_date": written.cast("date")})
@@ -83,8 +85,12 @@ def dead_letters(raw):
 
 
 def deduplicated(readings, delay="10 minutes"):
-    """Drop repeated deliveries of a reading, on a stream within the watermark."""
-    keys = [*PATH_PARTS[:-1], "event_time"]
+    """Drop repeated deliveries of a reading, on a stream within the watermark.
+
+    A reading is repeated if path, time as written and value are the same, so different values at one time all stay, and
+    malformed times are told apart by their text.
+    """
+    keys = [*PATH_PARTS[:-1], "time", "value"]
     if readings.isStreaming:
         return readings.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(keys)
     return readings.dropDuplicates(keys)

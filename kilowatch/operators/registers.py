@@ -10,33 +10,29 @@ from kilowatch.functions import rounding as R
 from kilowatch.functions.grouping import hashed
 from kilowatch.vocabulary import METER_PARTS, REGISTER
 
-# Share of a 64-bit order key that breaks ties on time; the rest holds the seconds of a year and more.
-TIE_BITS = 38
-TIE_LIMIT = float(2 ** (TIE_BITS - 1))
-DEFAULT_SCALE = 3
 
+def register_rows(readings, scale=None):
+    """Readings of the energy register. A row without a finite value is no reading, nor, where the scale is known, is one
+    that 64 bits can't count."""
+    value = F.col("value")
+    held = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < F.lit(float("inf")))
+    if scale is not None:
+        held &= R.units(value, scale).isNotNull()
+    return readings.filter((F.col("value_name") == REGISTER) & held)
 
-def register_rows(readings):
-    """Readings of the energy register; a row without a value is no reading."""
-    return readings.filter((F.col("value_name") == REGISTER) & F.col("value").isNotNull())
 
-
-def order_key(seconds, scale):
-    """(time, value) of a reading as one number that sorts alike, for use within a bucket of at most a year.
-
-    With a number as its order, Spark finds first and last in its hash aggregation; ordering by a struct or by text makes
-    it sort all rows by group first. `seconds` counts from the bucket's start, as meters write whole seconds. Values
-    beyond 2^37 units, more than a thousand million with two decimals, no longer break ties among themselves.
-    """
-    unit = F.lit(float(10 ** (DEFAULT_SCALE if scale is None else scale)))
-    bounded = F.greatest(F.least(F.col("value") * unit, F.lit(TIE_LIMIT - 1)), F.lit(-TIE_LIMIT))
-    return F.shiftleft(seconds, TIE_BITS) + F.rint(bounded).cast("bigint")
+def ordered(clock):
+    """A reading as (time, value), whole: least and greatest are the first and the last."""
+    return F.struct(clock.alias("at"), F.col("value").alias("reading"))
 
 
 def bucket_ends(rows, keys, *more):
     """First and last value per group by the column `order`; rows without an order only keep their group alive."""
-    return rows.groupBy(*keys).agg(
-        F.min_by("value", "order").alias("first_value"), F.max_by("value", "order").alias("last_value"), *more
+    ends = rows.groupBy(*keys).agg(hashed(F.min("order")).alias("head"), F.max("order").alias("tail"), *more)
+    return ends.select(
+        *(c for c in ends.columns if c not in ("head", "tail")),
+        F.col("head.reading").alias("first_value"),
+        F.col("tail.reading").alias("last_value"),
     )
 
 
@@ -45,7 +41,7 @@ def first_last(rows, keys, clock):
 
     Rows without a value only keep their group alive.
     """
-    tick = F.when(F.col("value").isNotNull(), F.struct(F.col(clock).alias("at"), F.col("value").alias("reading")))
+    tick = F.when(F.col("value").isNotNull(), ordered(F.col(clock)))
     return rows.groupBy(*keys).agg(
         hashed(F.min(tick)).alias("head"), F.max(tick).alias("tail"), F.count("value").alias("n")
     )

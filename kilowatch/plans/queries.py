@@ -38,8 +38,12 @@ def display_order(owners):
 
 
 def range_consumption(readings, start, stop, owner=None, owners=None, scale=None, rounding="half_up"):
-    """Register consumption between two wall-clock texts, both included; 0 with fewer than two readings."""
-    rows = O.of_owner(S.register_rows(readings), owner).filter(F.col("time").between(start, stop))
+    """Register consumption between two wall-clock times, both included; 0 with fewer than two readings.
+
+    Times are texts or datetimes; a datetime with a zone is moved to the display zone.
+    """
+    start, stop = (t if isinstance(t, str) else X.wall_text(X.as_local(t, DISPLAY_TZ)) for t in (start, stop))
+    rows = O.of_owner(S.register_rows(readings, scale), owner).filter(F.col("time").between(start, stop))
     if "reading_date" in readings.columns:
         rows = rows.filter(F.col("reading_date").between(F.lit(start[:10]).cast("date"), F.lit(stop[:10]).cast("date")))
     rows = rows.select("owner_name", "time", "value")
@@ -74,7 +78,7 @@ def energy_stats(
         ring = F.when(time >= X.wall_text(start), F.lit(depth)).otherwise(ring)
     year = X.Span(starts["one_year"], now, True)
     rows = (
-        O.of_owner(S.register_rows(readings), owner)
+        O.of_owner(S.register_rows(readings, scale), owner)
         .filter(X.in_span(readings, year, wall=True))
         .select("owner_name", "time", "value", ring.alias("ring"))
     )
@@ -102,26 +106,26 @@ def energy_stats(
 def _register_by_bucket(readings, span, interval, finish, name, wall, options):
     """Register consumption per bucket with all slots filled; `finish` turns a difference into the shown figure."""
     consistent_time, owner, scale = options["consistent_time"], options["owner"], options["scale"]
-    rows = O.of_owner(S.register_rows(readings), owner)
+    rows = O.of_owner(S.register_rows(readings, scale), owner)
     local = X.local_seconds(options["display_tz"], consistent_time)
-    instant = local if consistent_time else F.unix_seconds("event_time")
+    clock = F.try_to_timestamp("time") if consistent_time else F.col("event_time")
     rows = rows.withColumn("bucket", X.bucket_of(local, interval))
-    order = S.order_key(instant - F.col("bucket"), scale)
+    order = S.ordered(clock)
     keys = ["owner_name", *S.meter_keys(options["per_meter"]), "bucket"]
     last = X.slot_literal(span.last_slot)
     if span.start is not None:
         # What has no slot is dropped before it is aggregated.
         first = X.slot_literal(span.first_slot)
         rows = rows.filter(X.in_span(readings, span, wall) & F.col("bucket").between(first, last))
-        ends = S.bucket_ends(rows.select(*keys, "value", order.alias("order")), keys)
+        ends = S.bucket_ends(rows.select(*keys, order.alias("order")), keys)
         shown, carried = O.roster(readings, owner, options["owners"]), ()
     else:
         # Years start with an owner's first register reading; an owner without one has no years. The upper bound
         # decides which readings count, not which owners exist, so it is applied inside the aggregation.
-        seen = X.local_seconds(options["display_tz"], True) if wall else instant
+        seen = X.local_seconds(options["display_tz"], True) if wall else F.unix_seconds(clock)
         counted = F.when(X.in_span(rows.select("time", "event_time"), span, wall), order)
         rows = rows.filter(F.col("bucket").isNotNull()).select(
-            *keys, "value", counted.alias("order"), seen.alias("seen")
+            *keys, counted.alias("order"), seen.alias("seen")
         )
         ends = S.bucket_ends(rows, keys, F.min("seen").alias("earliest"))
         first = X.bucket_of(F.col("earliest"), interval)
@@ -164,6 +168,7 @@ def ghg_emission(
     The range is always taken on `time` as written. With `consistent_time=False` the labels follow `event_time`, which
     shifts them against the slots and drops what falls outside.
     """
+    X.require_utc(readings)
     interval = X.resolve_interval(interval)
     span = X.to_date_span(X.as_local(as_of, display_tz), interval)
 
@@ -189,6 +194,7 @@ def energy_consumption(
     method="within",
 ):
     """Energy per bucket of the current hour, day, month, year, or of all years; resets pass through as negatives."""
+    X.require_utc(readings)
     interval = X.resolve_interval(interval)
     span = X.full_period_span(X.as_local(as_of, display_tz), interval)
 
@@ -227,6 +233,7 @@ def voltage_stats(
     rounding="half_up",
 ):
     """Mean voltage per phase over the rolling range; later readings than `as_of` are included."""
+    X.require_utc(readings)
     interval = X.resolve_interval(interval)
     span = X.rolling_span(X.as_local(as_of, display_tz), interval)
     columns = {phase: phase for phase in PHASE_VOLTAGES}
@@ -244,6 +251,7 @@ def current_stats(
     rounding="half_up",
 ):
     """Mean current per phase in the current period."""
+    X.require_utc(readings)
     interval = X.resolve_interval(interval)
     span = X.full_period_span(X.as_local(as_of, display_tz), interval)
     columns = {phase: f"a{number}" for number, phase in enumerate(PHASE_CURRENTS, 1)}
@@ -261,6 +269,7 @@ def power_factor(
     rounding="half_up",
 ):
     """Mean power factor in the current period."""
+    X.require_utc(readings)
     interval = X.resolve_interval(interval)
     span = X.full_period_span(X.as_local(as_of, display_tz), interval)
     columns = {POWER_FACTOR: "power_factor"}
@@ -278,6 +287,7 @@ def frequency(
     rounding="half_up",
 ):
     """Mean frequency in the current period."""
+    X.require_utc(readings)
     interval = X.resolve_interval(interval)
     span = X.full_period_span(X.as_local(as_of, display_tz), interval)
     columns = {FREQUENCY: "frequency"}

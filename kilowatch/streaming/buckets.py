@@ -1,7 +1,8 @@
-"""Bucket results kept up to date while readings arrive.
+"""Bucket results kept up to date while readings arrive, in two ways.
 
-The state holds one row per owner and open bucket. The watermark closes buckets and drops readings that come later than
-`delay`, so the state does not grow with the history.
+With a watermark (`live_...`), the state holds one row per owner and open bucket, the watermark closes buckets, and readings
+that come later than `delay` are not counted. Without one (`..._parts`), batches leave parts that merge, and every reading
+counts.
 """
 
 from pyspark.sql import functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from kilowatch.functions import rounding as R, timeaxis as X
 from kilowatch.functions.grouping import hashed
 from kilowatch.operators import registers
+from kilowatch.sources.tables import batch_folder
+from kilowatch.streaming.jobs import per_batch
 from kilowatch.vocabulary import DISPLAY_TZ
 
 
@@ -45,36 +48,114 @@ def live_consumption(readings, interval, delay="1 hour", display_tz=DISPLAY_TZ,
     """Register consumption per owner and bucket, as far as it has arrived."""
     interval = X.resolve_interval(interval)
     window = local_window(interval, display_tz)
-    order = registers.order_key(F.unix_seconds("event_time") - F.unix_seconds(window["start"]), scale)
-    rows = registers.register_rows(readings).withWatermark("event_time", delay).withColumn("order", order)
+    rows = registers.register_rows(readings, scale).withWatermark("event_time", delay)
+    rows = rows.withColumn("order", registers.ordered(F.col("event_time")))
     result = registers.bucket_ends(rows, ["owner_name", window])
     used = R.difference(F.col("last_value"), F.col("first_value"), scale)
     return _labelled(result, interval, display_tz, R.rounded(used, 6, rounding).alias("energy"))
 
 
 def store_updates(live, path, checkpoint, every=None, available_now=False):
-    """Write the buckets each batch has changed, one folder per batch."""
+    """Write the buckets each batch has changed, a folder per stream and batch. A stream of its own needs a path of its own."""
 
-    def run(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    def write(batch, writer, batch_id):
+        batch.write.mode("overwrite").parquet(batch_folder(path, writer, batch_id))
 
-    writer = live.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(run)
-    if available_now:
-        writer = writer.trigger(availableNow=True)
-    elif every:
-        writer = writer.trigger(processingTime=every)
-    return writer.start()
+    return per_batch(live, checkpoint, write, every, available_now, mode="update")
 
 
 def read_latest(spark, path, schema):
-    """The last written state of every bucket."""
+    """The last written state of every bucket; of several streams into one path, that of the one with the later batch."""
     names = [name for name in schema.fieldNames() if name not in ("owner_name", "time")]
-    updates = spark.read.schema(f"{_ddl(schema)}, batch_id BIGINT").parquet(path)
+    updates = spark.read.schema(f"{_ddl(schema)}, writer STRING, batch_id BIGINT").parquet(path)
     newest = updates.groupBy("owner_name", "time").agg(
-        hashed(F.max_by(F.struct(*names), F.col("batch_id"))).alias("state")
+        hashed(F.max_by(F.struct(*names), F.struct("batch_id", "writer"))).alias("state")
     )
     return newest.select("owner_name", "time", "state.*")
 
 
+# ---- buckets without a watermark ------------------------------------------------------------------------------------
+#
+# A batch leaves, for each owner and bucket it touches, what later batches can be merged with: the first and last reading,
+# or count and sum. Nothing is held in state, so a reading counts however late it comes, and calendar months and years work
+# like any other bucket. Reading merges; `compact` merges for good.
+
+
+def consumption_parts(readings, interval, display_tz=DISPLAY_TZ, scale=None):
+    """First and last register reading per owner and bucket."""
+    interval = X.resolve_interval(interval)
+    X.require_utc(readings)
+    bucket = X.bucket_of(X.local_seconds(display_tz), interval)
+    rows = registers.register_rows(readings, scale).filter(F.col("event_time").isNotNull())
+    rows = rows.select("owner_name", bucket.alias("bucket"), registers.ordered(F.col("event_time")).alias("order"))
+    return rows.groupBy("owner_name", "bucket").agg(hashed(F.min("order")).alias("head"), F.max("order").alias("tail"))
+
+
+def merge_consumption(parts):
+    return parts.groupBy("owner_name", "bucket").agg(hashed(F.min("head")).alias("head"), F.max("tail").alias("tail"))
+
+
+def consumption(parts, interval, scale=None, rounding="half_up"):
+    """Consumption per owner and bucket of merged parts."""
+    used = R.difference(F.col("tail.reading"), F.col("head.reading"), scale)
+    label = X.label_of(F.col("bucket"), X.resolve_interval(interval))
+    merged = merge_consumption(parts)
+    return merged.select("owner_name", label.alias("time"), R.rounded(used, 6, rounding).alias("energy"))
+
+
+def mean_parts(readings, interval, columns, display_tz=DISPLAY_TZ, scale=None):
+    """Count and sum per owner and bucket of the measures in `columns` (measure -> output name)."""
+    interval = X.resolve_interval(interval)
+    X.require_utc(readings)
+    bucket = X.bucket_of(X.local_seconds(display_tz), interval)
+    rows = readings.filter(F.col("value_name").isin(*columns) & F.col("event_time").isNotNull())
+    found = []
+    for measure, name in columns.items():
+        value = F.when(F.col("value_name") == measure, F.col("value") if scale is None else R.units(F.col("value"), scale))
+        found += [F.count(value).alias(f"{name}_n"), F.sum(value).alias(f"{name}_sum")]
+    return rows.groupBy("owner_name", bucket.alias("bucket")).agg(*found)
+
+
+def merge_means(parts):
+    names = [name for name in parts.columns if name not in ("owner_name", "bucket")]
+    return parts.groupBy("owner_name", "bucket").agg(*(F.sum(name).alias(name) for name in names))
+
+
+def means(parts, interval, digits=2, scale=None, rounding="half_up"):
+    """Means per owner and bucket of merged parts."""
+    merged = merge_means(parts)
+    shown = []
+    for name in (c.removesuffix("_n") for c in merged.columns if c.endswith("_n")):
+        total, count = F.col(f"{name}_sum"), F.col(f"{name}_n")
+        if scale is not None:
+            total, count = total.cast("decimal(20,0)"), (count * F.lit(10**scale)).cast("decimal(20,0)")
+        shown.append(R.rounded(F.try_divide(total, count), digits, rounding).alias(name))
+    label = X.label_of(F.col("bucket"), X.resolve_interval(interval))
+    return merged.select("owner_name", label.alias("time"), *shown)
+
+
+def store_parts(readings, parts, path, checkpoint, every=None, available_now=False):
+    """Write `parts(batch)` of each batch of a stream of readings, a folder per stream and batch."""
+
+    def write(batch, writer, batch_id):
+        parts(batch).write.mode("overwrite").parquet(batch_folder(path, writer, batch_id))
+
+    return per_batch(readings, checkpoint, write, every, available_now)
+
+
+def read_parts(spark, path, schema):
+    """All written parts; the schema is that of `parts(readings)`."""
+    return spark.read.schema(_plain(schema)).parquet(path)
+
+
+def compact(spark, path, schema, merge, target):
+    """Merge the parts of all batches into a new path; writing it again gives the same."""
+    merge(read_parts(spark, path, schema)).write.mode("overwrite").parquet(target)
+
+
+def _plain(schema):
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
+
+
 def _ddl(schema):
     return ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema)

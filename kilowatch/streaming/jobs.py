@@ -1,7 +1,8 @@
 """Streaming jobs. Each starts a query and returns it; `wait` blocks until it ends.
 
-Positions live in the checkpoint of the stream. Sinks write one folder per batch and replace it when a batch is run
-again, so that a restart after losing the driver or executors gives every message exactly once.
+Positions live in the checkpoint of the stream. Sinks that are folders get one per batch, replaced when a batch is run
+again, so that a restart after losing the driver or executors gives every message exactly once. A topic has no such
+folders: there a batch that is run again repeats its messages (at least once).
 """
 
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def query_id(spark, checkpoint):
     return metadata.select(F.get_json_object("value", "$.id").alias("id")).first()["id"]
 
 
-def _per_batch(stream, checkpoint, write, every, available_now):
+def per_batch(stream, checkpoint, write, every, available_now, mode="append"):
     """foreachBatch with the stream's identity, so that two streams into one table never share a folder."""
 
     identity = []
@@ -34,7 +35,7 @@ def _per_batch(stream, checkpoint, write, every, available_now):
             identity.append(query_id(batch.sparkSession, checkpoint))
         write(batch, identity[0], batch_id)
 
-    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(run)
     return _paced(writer, every, available_now).start()
 
 
@@ -47,7 +48,7 @@ def store_readings(
     def write(batch, writer, batch_id):
         write_batch(batch, path, writer, batch_id)
 
-    return _per_batch(readings, checkpoint, write, every, available_now)
+    return per_batch(readings, checkpoint, write, every, available_now)
 
 
 def store_dead_letters(raw, path, checkpoint, every=None, available_now=False):
@@ -56,7 +57,7 @@ def store_dead_letters(raw, path, checkpoint, every=None, available_now=False):
     def write(batch, writer, batch_id):
         batch.write.mode("overwrite").parquet(batch_folder(path, writer, batch_id))
 
-    return _per_batch(ingest.dead_letters(raw), checkpoint, write, every, available_now)
+    return per_batch(ingest.dead_letters(raw), checkpoint, write, every, available_now)
 
 
 def show_wide(raw, sink="console", name=None, checkpoint=None, every=None, available_now=False):
@@ -81,7 +82,7 @@ def forward_latest(raw, target, checkpoint, servers=None, every=f"{SAMPLE_SECOND
         latest = ingest.newest(batch).filter(F.col("value").isNotNull())
         publish(latest, target if servers else batch_folder(target, writer, batch_id), servers)
 
-    return _per_batch(ingest.accepted(raw), checkpoint, write, every, available_now)
+    return per_batch(ingest.accepted(raw), checkpoint, write, every, available_now)
 
 
 def lines_to_topic(lines, target, checkpoint, servers=None, every=None, available_now=False):
@@ -90,7 +91,7 @@ def lines_to_topic(lines, target, checkpoint, servers=None, every=None, availabl
     def write(batch, writer, batch_id):
         publish(batch, target if servers else batch_folder(target, writer, batch_id), servers)
 
-    return _per_batch(topics.to_messages(lines, "value"), checkpoint, write, every, available_now)
+    return per_batch(topics.to_messages(lines, "value"), checkpoint, write, every, available_now)
 
 
 def topic_to_lines(raw, path, checkpoint, every=None, available_now=False):
@@ -115,7 +116,7 @@ def mirror_topics(raw, topic_pattern, path, checkpoint, servers=None, every=None
         else:
             batch.write.mode("overwrite").partitionBy("topic").parquet(batch_folder(path, writer, batch_id))
 
-    return _per_batch(topics.mirrored(raw, topic_pattern), checkpoint, write, every, available_now)
+    return per_batch(topics.mirrored(raw, topic_pattern), checkpoint, write, every, available_now)
 
 
 def wait(query, timeout=None):

@@ -4,9 +4,10 @@ import oracle_check
 import pytest
 
 import __spark_entry__ as entry_points
+from kilowatch.catalogue import oracle, registry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, SQL = registry.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +16,7 @@ def con():
 
 
 def test_every_sql_has_its_query():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(SQL) <= set(entry_points.oracle_sql())
     assert set(SQL) <= set(QUERIES) and set(QUERIES) - set(SQL) == {"response_documents"}
 
 
