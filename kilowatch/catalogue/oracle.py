@@ -196,12 +196,19 @@ SELECT DISTINCT owner_name,
 FROM monthly"""
 
 
-def spread(low):
+OWNERS_WITH_NULL = f"""
+WITH {MONTHLY}, named AS (SELECT DISTINCT coalesce(nullif(owner_name, '7'), 'None') AS owner_name FROM monthly)
+SELECT owner_name,
+       coalesce(list_position(['11','12','16','17','18','13','10','7','8','9'], owner_name), 11) AS position
+FROM named"""
+
+
+def spread(low, high="2024-01-20 12:34:56"):
     """Last minus first in cents, 0 with fewer than two readings."""
     tick = "{'at': event_time, 'reading': cents}"
     kept = (
         "FILTER (WHERE value_name = 'energy_consumption' "
-        f"AND event_time BETWEEN TIMESTAMP '{low}' AND TIMESTAMP '2024-01-20 12:34:56')"
+        f"AND event_time BETWEEN TIMESTAMP '{low}' AND TIMESTAMP '{high}')"
     )
     return (
         f"CASE WHEN count(*) {kept} >= 2 "
@@ -218,17 +225,35 @@ def cost(cents):
     return f"sign({cents}) * ((abs({cents}) * 825 + 50) // 100) / 100.0"
 
 
-ENERGY_STATS = f"""
-WITH {MONTHLY},
+
+def energy_stats(profile, name, now, day, month, year):
+    return f"""
+WITH {profile},
 spreads AS (
-  SELECT owner_name, {spread('2024-01-20 00:00:00')} AS d, {spread('2024-01-01 00:00:00')} AS m,
-         {spread('2024-01-01 00:00:00')} AS y
-  FROM monthly GROUP BY owner_name)
+  SELECT owner_name, {spread(day, now)} AS d, {spread(month, now)} AS m, {spread(year, now)} AS y
+  FROM {name} GROUP BY owner_name)
 SELECT owner_name, d / 100.0 AS one_day_energy, {cost('d')} AS one_day_cost,
        m / 100.0 AS one_month_energy, {cost('m')} AS one_month_cost,
        y / 100.0 AS one_year_energy, {cost('y')} AS one_year_cost
 FROM spreads"""
 
+
+ENERGY_STATS = energy_stats(
+    MONTHLY, "monthly", "2024-01-20 12:34:56", "2024-01-20 00:00:00", "2024-01-01 00:00:00", "2024-01-01 00:00:00"
+)
+ENERGY_STATS_MARCH = energy_stats(
+    YEARLY, "yearly", "2001-03-15 12:00:00", "2001-03-15 00:00:00", "2001-03-01 00:00:00", "2001-01-01 00:00:00"
+)
+
+
+def energy_day_from(changed, figure=ENERGY):
+    """Energy per day over `changed`, a SELECT from the monthly readings."""
+    return f"""
+WITH {MONTHLY}, changed AS ({changed}), {buckets('day', in_period('day'), 330, source='changed')},
+{slots('day', PERIOD_SLOTS, 2024)}
+SELECT owner_name, time, {figure} AS energy FROM slots LEFT JOIN buckets USING (owner_name, time)"""
+
+
 EARLIEST = f"""
 WITH {YEARLY}
 SELECT owner_name, strftime(min(event_time), '%Y-%m-%d %H:%M:%S') AS earliest
@@ -321,6 +346,22 @@ def oracle_sql():
         "owners_ordered": OWNERS,
         "range_consumption": RANGE_CONSUMPTION,
         "energy_stats_to_date": ENERGY_STATS,
+        "energy_stats_in_march": ENERGY_STATS_MARCH,
+        "range_consumption_datetimes": RANGE_CONSUMPTION,
+        "owners_with_null": OWNERS_WITH_NULL,
+        "energy_day_default": energy("day"),
+        "energy_day_large": energy_day_from(
+            "SELECT * REPLACE (date_trunc('hour', event_time) AS event_time, cents * 1000000 AS cents) FROM monthly"
+        ),
+        "energy_day_nan": energy_day_from("SELECT * FROM monthly WHERE second(event_time) % 5 <> 0"),
+        "energy_day_of_owner": f"SELECT * FROM ({energy('day')}) WHERE owner_name = '11'",
+        "response_owners": f"""
+WITH {MONTHLY},
+held AS (
+  SELECT owner_name, count(DISTINCT {label('day')}) AS entries FROM monthly
+  WHERE value_name = 'frequency' AND owner_name <> '11' AND {in_period('day')} GROUP BY owner_name)
+SELECT owner_name, 'day' AS interval, coalesce(entries, 0) AS entries
+FROM (SELECT DISTINCT owner_name FROM monthly) LEFT JOIN held USING (owner_name)""",
         "earliest_by_owner": EARLIEST,
         "voltage_long_hr": VOLTAGE_LONG,
         "energy_day_lag": ENERGY_DAY_LAG,

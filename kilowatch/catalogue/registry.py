@@ -1,5 +1,6 @@
 """Registered queries: name -> function of (spark, sf_dir)."""
 
+from datetime import datetime
 from functools import partial
 
 from pyspark.sql import functions as F
@@ -49,6 +50,45 @@ def energy_stats_to_date(spark, sf_dir):
     return Q.energy_stats(P.monthly(spark, sf_dir), P.AS_OF, **EXACT)
 
 
+def energy_stats_in_march(spark, sf_dir):
+    return Q.energy_stats(P.yearly(spark, sf_dir), "2001-03-15 12:00:00", **EXACT)
+
+
+def range_consumption_datetimes(spark, sf_dir):
+    start, stop = (datetime.fromisoformat(t) for t in RANGE)
+    return Q.range_consumption(P.monthly(spark, sf_dir), start, stop, **EXACT)
+
+
+def owners_with_null(spark, sf_dir):
+    """Owners in display order where one has no name."""
+    return Q.unique_owners(P.monthly(spark, sf_dir).withColumn("owner_name", F.nullif("owner_name", F.lit("7"))))
+
+
+def energy_day_default(spark, sf_dir):
+    """Without the number of decimals: plain doubles."""
+    return Q.energy_consumption(P.monthly(spark, sf_dir), P.AS_OF, "day")
+
+
+def energy_day_large(spark, sf_dir):
+    """Registers beyond 10^8 that share their seconds: all readings of an hour carry its start."""
+    coarse = {"event_time": F.date_trunc("hour", "event_time"), "value": F.col("value") * 1e6}
+    return Q.energy_consumption(P.monthly(spark, sf_dir).withColumns(coarse), P.AS_OF, "day")
+
+
+def energy_day_nan(spark, sf_dir):
+    """Readings that are no numbers among others."""
+    value = F.when(F.second("event_time") % 5 == 0, float("nan")).otherwise(F.col("value"))
+    return Q.energy_consumption(P.monthly(spark, sf_dir).withColumn("value", value), P.AS_OF, "day", **EXACT)
+
+
+def response_owners(spark, sf_dir):
+    """Number of entries in the documents of all owners, some of whom have no readings."""
+    frame = P.monthly(spark, sf_dir)
+    some = Q.frequency(frame.filter("owner_name <> '11'"), P.AS_OF, "day", **EXACT)
+    docs = documents.documents(some, "day", owners=frame)
+    return docs.select("owner_name", "interval", F.size("data").cast("bigint").alias("entries"))
+
+
 def earliest_by_owner(spark, sf_dir):
     first = owners.earliest(P.yearly(spark, sf_dir), "energy_consumption")
     return first.select("owner_name", F.date_format("earliest", "yyyy-MM-dd HH:mm:ss").alias("earliest"))
@@ -230,6 +270,14 @@ def queries():
         "owners_ordered": owners_ordered,
         "range_consumption": range_consumption,
         "energy_stats_to_date": energy_stats_to_date,
+        "energy_stats_in_march": energy_stats_in_march,
+        "range_consumption_datetimes": range_consumption_datetimes,
+        "owners_with_null": owners_with_null,
+        "energy_day_default": energy_day_default,
+        "energy_day_large": energy_day_large,
+        "energy_day_nan": energy_day_nan,
+        "energy_day_of_owner": bucketed(Q.energy_consumption, "day", owner="11"),
+        "response_owners": response_owners,
         "earliest_by_owner": earliest_by_owner,
         "voltage_long_hr": voltage_long_hr,
         "energy_day_lag": bucketed(Q.energy_consumption, "day", method="lag"),
