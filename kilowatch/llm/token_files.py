@@ -23,7 +23,6 @@ ids go by a hash of the text. An empty table gives files without ids.
 import glob
 import json
 import os
-import re
 import zlib
 from array import array
 
@@ -37,7 +36,7 @@ END_ID = 0
 NO_ID = -(1 << 63)
 LIMIT = 1 << 48
 # Pieces and words a task remembers, twice.
-PIECES, WORDS = 250_000, 400_000
+PIECES, WORDS = 250_000, 350_000
 
 
 # ---- tokens ---------------------------------------------------------------------------------------------------------
@@ -111,10 +110,22 @@ class Encoder:
         """The ids of each text as little-endian bytes."""
         out = []
         for at in range(0, len(texts), 256):
-            cuts = [cut(t) for t in texts[at : at + 256]]
-            self._learn(set().union(*cuts) - self.pieces.keys())
-            ids = self.pieces.__getitem__
-            out += [b"".join(map(ids, pieces)) for pieces in cuts]
+            block, new = [], set()
+            known = self.pieces.get
+            for text in texts[at : at + 256]:
+                pieces = split(text)
+                ids = list(map(known, pieces))
+                if None in ids:
+                    missing = [p for p, i in zip(pieces, ids) if i is None]
+                    if any(map(loose, missing)):
+                        pieces = cut(text)
+                        ids = list(map(known, pieces))
+                        missing = pieces
+                    new.update(missing)
+                block.append((pieces, ids))
+            self._learn(new - self.pieces.keys())
+            known = self.pieces
+            out += [b"".join(ids if None not in ids else [known[p] if i is None else i for p, i in zip(pieces, ids)]) for pieces, ids in block]
             if len(self.pieces) > PIECES:
                 self.old_pieces, self.pieces = {p: v for p, v in self.pieces.items() if len(v) < 128}, {}
             if len(self.words) > WORDS:
@@ -122,7 +133,18 @@ class Encoder:
         return out
 
 
-_SPACES = re.compile(r" \s"), re.compile(r"[^\S ] ")
+def loose(part):
+    """Whether a part between single spaces belongs to a run of white space."""
+    return type(part) is str and (not part or part[0].isspace() or part[-1].isspace())
+
+
+def split(text):
+    """Pieces as `cut` gives them, if no part is loose."""
+    parts = text.split(" ")
+    if len(parts) > 1 and loose(parts[0]):
+        return cut(text)
+    parts[0] = (parts[0],)
+    return parts
 
 
 def cut(text):
@@ -131,17 +153,14 @@ def cut(text):
     A piece is a string without its space; the first piece, and those with runs of white space, are tuples of the whole.
     """
     parts = text.split(" ")
-    if parts[0] and parts[-1] and not any(run.search(text) for run in _SPACES):
-        parts[0] = (parts[0],)
-        return parts
-    out = [parts[0]]
-    for part in parts[1:]:
-        last = out[-1]
-        if part and not part[0].isspace() and last and not last[-1].isspace():
-            out.append(" " + part)
-        else:  # part of a run of white space
-            out[-1] = last + " " + part
-    return [(p,) for p in out]
+    out, last = [], (parts[0],)
+    for part, before in zip(parts[1:], parts):
+        if not part or part[0].isspace() or not before or before[-1].isspace():
+            last = (last[0] + " " + part if type(last) is tuple else " " + last + " " + part,)
+        else:
+            out.append(last)
+            last = part
+    return [*out, (" " + last,) if loose(last) else last]
 
 
 _encoders = {}
