@@ -97,8 +97,11 @@ class Lattice:
             return b""
         if SPACE in text:
             text = text.replace(SPACE, _OWN_SPACE)
-        known, part = self.parts.now, self.parts
-        return b"".join([known[p] if p in known else part(p) if len(p) < 48 else self._part(p) for p in _parts(text)])
+        parts, find = _parts(text), self.parts
+        found = list(map(find.now.get, parts))
+        if None in found:
+            found = [ids if ids is not None else find(p) if len(p) < 48 else self._part(p) for p, ids in zip(parts, found)]
+        return b"".join(found)
 
     def decode(self, ids):
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
