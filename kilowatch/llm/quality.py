@@ -31,7 +31,7 @@ THRESHOLD = 0.7
 
 FEATURES = (
     "log_chars log_words mean_word sd_word longest_word letters digits spaces punctuation symbols upper lines odd_words unlike_words "
-    "distinct_words top_word repeated_lines repeated_shingles words_a_sentence entropy short_words capitals accents"
+    "distinct_words top_word repeated_lines repeated_shingles words_a_sentence entropy short_words capitals accents doubled_words"
 ).split()
 
 _KIND = np.zeros((256, 8), bool)
@@ -74,6 +74,7 @@ def features(text):
         np.log1p(len(text)), np.log1p(len(words)), size.mean(), size.std(), np.log1p(size.max()), kinds[0], kinds[1], kinds[2], kinds[3], kinds[4], kinds[5],
         kinds[6], counts[0] / m, counts[1] / m, len(often) / m, often.max() / m, 1 - len(set(lines)) / max(1, len(lines)), 1 - len(np.unique(runs)) / max(1, len(runs)),
         np.log1p(m / max(1, int(counts[3]))), float(-(share * np.log2(share)).sum()), (size < 4).mean(), counts[2] / m, histogram[128:].sum() / n,
+        (words[1:] == words[:-1]).sum() / m,
     ]
 
 
