@@ -205,7 +205,8 @@ def energy_day_stored(spark, sf_dir):
     path = shared_folder(spark, "readings")
     readings = P.monthly(spark, sf_dir).withColumn("reading_date", F.to_date("event_time"))
     tables.write_batch(readings, path, "catalogue", 0)
-    return Q.energy_consumption(tables.read_readings(spark, path), P.AS_OF, "day", **EXACT)
+    owners = tables.read_owners(spark, path)
+    return Q.energy_consumption(tables.read_readings(spark, path), P.AS_OF, "day", owners=owners, **EXACT)
 
 
 def _event_stream(spark, sf_dir):

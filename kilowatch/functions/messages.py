@@ -68,16 +68,22 @@ def on_the_minute(text):
     return possible & message_time(text).endswith(MINUTE_SUFFIX)
 
 
-def unusable(text):
-    """Why a message gives no reading, or null if it gives one."""
+def unusable(text, salvage=False, drop_nan=False, keep_malformed=True, meter_class=ENERGY_METER):
+    """Why a message gives no reading, or null if it gives one; the options are those of `ingest.flatten`."""
 
     def reason(message):
         params = message["params"]
-        metered = F.exists(F.map_keys(params), lambda key: F.get(F.split(key, "/"), F.lit(7)).eqNullSafe(ENERGY_METER))
-        return (
+        of_class = F.map_filter(params, lambda key, _: F.get(F.split(key, "/"), F.lit(7)).eqNullSafe(meter_class))
+        why = (
             F.when(params.isNull(), F.when(is_object(text), "no_numeric_params").otherwise("not_an_object"))
             .when(F.size(params) == 0, "empty_params")
-            .when(~metered, "no_energy_meter")
+            .when(F.size(of_class) == 0, "no_energy_meter")
         )
-
-    return once(parsed(text), reason)
+        if drop_nan:
+            numbers = F.map_filter(of_class, lambda _, value: ~F.coalesce(F.isnan(value), F.lit(False)))
+            why = F.coalesce(why, F.when(F.size(numbers) == 0, "only_nan"))
+        if not keep_malformed:
+            why = F.coalesce(why, F.when(F.try_to_timestamp(message["ts"]).isNull(), "malformed_time"))
+        return why
+
+    return once(parsed(text, salvage), reason)

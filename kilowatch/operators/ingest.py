@@ -28,10 +28,12 @@ def with_event_time(readings, source_tz=SOURCE_TZ, strict=False):
     return readings.withColumns({"event_time": instant, "reading_date": written.cast("date")})
 
 
-def flatten(raw, source_tz=SOURCE_TZ, salvage=False, drop_nan=False, meter_class=ENERGY_METER):
+def flatten(raw, source_tz=SOURCE_TZ, salvage=False, drop_nan=False, meter_class=ENERGY_METER, keep_malformed=True):
     """Readings of one meter class, in the stored layout: one per entry of `params` whose path names the class.
 
-    Times are parsed per message, before its entries become rows. Short paths give null parts and fall away.
+    Times are parsed per message, before its entries become rows. Short paths give null parts and fall away. Messages with
+    a malformed time give readings with a null instant, or none unless `keep_malformed`. With the same options,
+    `dead_letters` has exactly the messages that give no reading.
     """
     messages = raw.select(M.parsed(M.message_text(), salvage).alias("message"))
     timed = with_event_time(messages.select(F.col("message.ts").alias("time"), "message"), source_tz)
@@ -43,7 +45,9 @@ def flatten(raw, source_tz=SOURCE_TZ, salvage=False, drop_nan=False, meter_class
     named = {name: F.get(parts, F.lit(place)) for place, name in enumerate(PATH_PARTS)}
     kept = named.pop("meter_class") == meter_class
     if drop_nan:
-        kept &= ~F.isnan("value")
+        kept &= ~F.coalesce(F.isnan("value"), F.lit(False))
+    if not keep_malformed:
+        kept &= F.col("event_time").isNotNull()
     columns = {**named, **{name: F.col(name) for name in ("time", "event_time", "reading_date", "value")}}
     return entries.filter(kept).select(*(columns[name].alias(name) for name in STORED))
 
@@ -79,9 +83,10 @@ def sample_latest(raw, seconds=SAMPLE_SECONDS):
     return newest(arrived, "arrival")
 
 
-def dead_letters(raw):
+def dead_letters(raw, salvage=False, drop_nan=False, meter_class=ENERGY_METER, keep_malformed=True):
     """Messages that yield no reading, with the reason. As a generator the reason is worked out once per message."""
-    return raw.select("*", F.explode(F.array_compact(F.array(M.unusable(M.message_text())))).alias("reason"))
+    reason = M.unusable(M.message_text(), salvage, drop_nan, keep_malformed, meter_class)
+    return raw.select("*", F.explode(F.array_compact(F.array(reason))).alias("reason"))
 
 
 def deduplicated(readings, delay="10 minutes"):

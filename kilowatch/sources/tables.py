@@ -26,8 +26,19 @@ def batch_folder(path, writer, batch_id):
     return f"{path.rstrip('/')}/writer={writer}/batch_id={int(batch_id)}"
 
 
+def owners_path(path):
+    """The list of owners beside the readings; names with an underscore are no part of the readings table."""
+    return f"{path.rstrip('/')}/_owners"
+
+
+def read_owners(spark, path):
+    """All owners of a stored table, for `owners=` of the gap-filled queries: a few rows a batch instead of a scan of all
+    readings."""
+    return spark.read.schema("owner_name STRING").parquet(owners_path(path)).distinct()
+
+
 def write_batch(readings, path, writer, batch_id):
-    """Write one batch of readings.
+    """Write one batch of readings and its owners. Written again, both are replaced.
 
     The rebalance hint gathers a date's rows into files of the advisory size, and adaptive execution splits a date that
     holds most of the batch.
@@ -42,6 +53,8 @@ def write_batch(readings, path, writer, batch_id):
         .partitionBy(*FOLDERS)
         .parquet(path)
     )
+    owners = readings.select("owner_name").distinct().coalesce(1)
+    owners.write.mode("overwrite").parquet(batch_folder(owners_path(path), writer, batch_id))
 
 
 def read_readings(spark, path, first_day=None, last_day=None):

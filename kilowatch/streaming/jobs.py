@@ -40,10 +40,18 @@ def per_batch(stream, checkpoint, write, every, available_now, mode="append"):
 
 
 def store_readings(
-    raw, path, checkpoint, source_tz=SOURCE_TZ, salvage=False, drop_nan=False, every=None, available_now=False
+    raw,
+    path,
+    checkpoint,
+    source_tz=SOURCE_TZ,
+    salvage=False,
+    drop_nan=False,
+    every=None,
+    available_now=False,
+    keep_malformed=True,
 ):
-    """Flatten energy-meter messages and append them to the readings table."""
-    readings = ingest.flatten(raw, source_tz, salvage, drop_nan)
+    """Flatten energy-meter messages and append them to the readings table and, by name, to its list of owners."""
+    readings = ingest.flatten(raw, source_tz, salvage, drop_nan, keep_malformed=keep_malformed)
 
     def write(batch, writer, batch_id):
         write_batch(batch, path, writer, batch_id)
@@ -51,13 +59,16 @@ def store_readings(
     return per_batch(readings, checkpoint, write, every, available_now)
 
 
-def store_dead_letters(raw, path, checkpoint, every=None, available_now=False):
-    """Keep the messages that give no reading, with the reason."""
+def store_dead_letters(
+    raw, path, checkpoint, every=None, available_now=False, salvage=False, drop_nan=False, keep_malformed=True
+):
+    """Keep the messages that give no reading, with the reason. Takes the options given to `store_readings`, so that every
+    message is either stored or reported."""
 
     def write(batch, writer, batch_id):
         batch.write.mode("overwrite").parquet(batch_folder(path, writer, batch_id))
 
-    return per_batch(ingest.dead_letters(raw), checkpoint, write, every, available_now)
+    return per_batch(ingest.dead_letters(raw, salvage, drop_nan, keep_malformed=keep_malformed), checkpoint, write, every, available_now)
 
 
 def show_wide(raw, sink="console", name=None, checkpoint=None, every=None, available_now=False):

@@ -83,3 +83,21 @@ def test_parts_of_any_order_give_the_batch_result(readings, interval):
         sums = [buckets.mean_parts(f, interval, columns, scale=scale) for f in late_last]
         means = buckets.means(sums[0].unionByName(sums[1]).unionByName(sums[2]), interval, scale=scale)
         assert sorted(means.collect()) == sorted(buckets.means(buckets.mean_parts(whole, interval, columns, scale=scale), interval, scale=scale).collect())
+
+
+PATH = "c/b/f/s/l/11/volt1/{}"
+
+
+@pytest.mark.parametrize(("salvage", "drop_nan", "keep_malformed"), [(False, False, True), (False, True, False), (True, True, True)])
+def test_every_message_is_either_stored_or_reported(messages, salvage, drop_nan, keep_malformed):
+    em, wm = PATH.format("EM"), PATH.format("WM")
+    bodies = ["x", "[]", "{}", '{"ts":"t","params":{}}', '{"ts":"t","params":null}', '{"ts":"2024-01-20 01:00:00","params":{"%s":1}}' % em]
+    for ts in ("2024-01-20 01:00:00", "t"):
+        for values in ('"%s":NaN' % em, '"%s":"x"' % em, '"%s":1,"%s":NaN' % (em, em.replace("11", "12")), '"%s":1' % wm, '"%s":null' % em, '"a/b":2,"%s":3' % em):
+            bodies.append('{"ts":"%s","params":{%s}}' % (ts, values))
+    options = {"salvage": salvage, "drop_nan": drop_nan, "keep_malformed": keep_malformed}
+    raw = messages(bodies)
+    reported = {row.offset for row in ingest.dead_letters(raw, **options).collect()}
+    for place in range(len(bodies)):
+        stored = ingest.flatten(raw.filter(f"offset = {place}"), **options).count()
+        assert (stored > 0) != (place in reported), bodies[place]
