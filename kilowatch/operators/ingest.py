@@ -71,9 +71,10 @@ def envelope(raw):
 
 
 def newest(raw, *keys):
-    """The last message to arrive, per `keys` or overall. Pre-aggregates, so one row per task and key is shuffled."""
+    """The last message to arrive, per `keys` or overall; of several with one arrival the one with the greatest text.
+    Pre-aggregates, so one row per task and key is shuffled."""
     message = F.struct(*(F.col(name) for name in raw.columns if name not in keys))
-    arrival = F.struct("timestamp", "partition", "offset")
+    arrival = F.struct("timestamp", "partition", "offset", M.message_text())
     return raw.groupBy(*keys).agg(hashed(F.max_by(message, arrival)).alias("message")).select(*keys, "message.*")
 
 

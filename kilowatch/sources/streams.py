@@ -10,17 +10,22 @@ from kilowatch.schema import RAW_MESSAGE
 from kilowatch.vocabulary import RAW_TOPIC
 
 
-def kafka_messages(spark, servers, topic=RAW_TOPIC, starting="latest", **options):
-    """Stream of a topic. `maxOffsetsPerTrigger` and `minPartitions` can be given as options."""
+def _columns(with_key):
+    return [*(["key"] if with_key else []), *RAW_MESSAGE.fieldNames()]
+
+
+def kafka_messages(spark, servers, topic=RAW_TOPIC, starting="latest", with_key=False, **options):
+    """Stream of a topic, with the messages' keys if asked for. `maxOffsetsPerTrigger` and `minPartitions` can be given as
+    options."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-    return reader.option("startingOffsets", starting).options(**options).load().select(*RAW_MESSAGE.fieldNames())
+    return reader.option("startingOffsets", starting).options(**options).load().select(*_columns(with_key))
 
 
-def kafka_matching(spark, servers, topic_pattern, starting="latest", **options):
-    """Stream of all topics whose name matches."""
+def kafka_matching(spark, servers, topic_pattern, starting="latest", with_key=True, **options):
+    """Stream of all topics whose name matches, with the messages' keys, so that a mirror keeps the partitioning."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
     reader = reader.option("subscribePattern", topic_pattern).option("startingOffsets", starting)
-    return reader.options(**options).load().select(*RAW_MESSAGE.fieldNames())
+    return reader.options(**options).load().select(*_columns(with_key))
 
 
 def stored_messages(spark, path, files_per_trigger=None):
@@ -48,11 +53,19 @@ def text_messages(spark, path, topic=RAW_TOPIC, files_per_trigger=None, streamin
     )
 
 
+def sent(messages):
+    """What goes out of a message: its value, and its key and topic where it has them."""
+    return messages.select(*(name for name in ("key", "topic", "value") if name in messages.columns))
+
+
 def publish(messages, target, servers=None):
-    """Write a batch of messages to a topic when servers are given, else as text lines to a folder."""
+    """Write a batch of messages to a topic when servers are given, else as Parquet to a folder of its own.
+
+    Payloads are kept whole, line ends included; keys are kept where there are any. A batch written again replaces itself;
+    each batch needs a folder of its own (`tables.batch_folder`).
+    """
+    kept = sent(messages).drop("topic")
     if servers:
-        messages.select("value").write.format("kafka").option("kafka.bootstrap.servers", servers).option(
-            "topic", target
-        ).save()
+        kept.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", target).save()
     else:
-        messages.select("value").write.mode("overwrite").text(target)
+        kept.write.mode("overwrite").parquet(target)

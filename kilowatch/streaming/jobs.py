@@ -8,7 +8,7 @@ folders: there a batch that is run again repeats its messages (at least once).
 from pyspark.sql import functions as F
 
 from kilowatch.operators import ingest, topics
-from kilowatch.sources.streams import publish
+from kilowatch.sources.streams import publish, sent
 from kilowatch.sources.tables import batch_folder, write_batch
 from kilowatch.vocabulary import SAMPLE_SECONDS, SOURCE_TZ
 
@@ -123,7 +123,7 @@ def mirror_topics(raw, topic_pattern, path, checkpoint, servers=None, every=None
 
     def write(batch, writer, batch_id):
         if servers:
-            batch.select("topic", "value").write.format("kafka").option("kafka.bootstrap.servers", servers).save()
+            sent(batch).write.format("kafka").option("kafka.bootstrap.servers", servers).save()
         else:
             batch.write.mode("overwrite").partitionBy("topic").parquet(batch_folder(path, writer, batch_id))
 

@@ -91,14 +91,14 @@ def test_newest_accepted_message_of_each_batch_is_forwarded(spark, folder, tmp_p
         frame.coalesce(1).write.mode("append").parquet(folder.path)
     raw = streams.stored_messages(spark, folder.path, files_per_trigger=1)
     assert jobs.wait(jobs.forward_latest(raw, folder.out, folder.checkpoint, available_now=True), 120)
-    assert sorted(row.value for row in spark.read.text(folder.out).collect()) == [text(3), text(7)]
+    assert sorted(row.value for row in spark.read.parquet(folder.out).collect()) == [text(3), text(7)]
 
 
 def test_lines_to_topic_and_back(spark, folder, tmp_path):
     folder("p", ["one", "two"])
     lines = streams.text_messages(spark, folder.path)
     assert jobs.wait(jobs.lines_to_topic(lines, folder.out, folder.checkpoint, available_now=True), 120)
-    assert sorted(row.value for row in spark.read.text(folder.out).collect()) == ["one", "two"]
+    assert sorted(row.value for row in spark.read.parquet(folder.out).collect()) == ["one", "two"]
     back, positions = str(tmp_path / "lines"), str(tmp_path / "positions")
     assert jobs.wait(jobs.topic_to_lines(lines, back, positions, available_now=True), 120)
     assert sorted(row.value for row in spark.read.text(back).collect()) == ["one", "two"]

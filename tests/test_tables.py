@@ -150,7 +150,12 @@ def test_a_date_with_most_of_the_rows_is_split(spark, readings, tmp_path):
 
 def test_publishing_to_a_folder(spark, messages, tmp_path):
     target = str(tmp_path / "out")
-    streams.publish(messages(["a", "b"]), target)
-    assert sorted(row.value for row in spark.read.text(target).collect()) == ["a", "b"]
+    payloads = ["a", "b\nc", "\r\n"]
+    keyed = messages(payloads).selectExpr("CAST(offset AS STRING) AS key", "*")
+    streams.publish(keyed, target)
+    streams.publish(keyed, target)
+    assert sorted(tuple(row) for row in spark.read.parquet(target).select("key", "value").collect()) == [(str(k), t) for k, t in enumerate(payloads)]
+    target = str(tmp_path / "lines")
+    messages(["a", "b"]).select("value").write.text(target)
     lines = streams.text_messages(spark, target, topic="x", streaming=False).collect()
     assert {(row.value, row.topic) for row in lines} == {("a", "x"), ("b", "x")} and lines[0].timestamp is not None
