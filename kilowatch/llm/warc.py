@@ -3,7 +3,8 @@
 Archives are WARC/1.0 files written by Spark's text writer: a record is its headers, an HTTP header block and the payload,
 and the separator of the writer is the two line ends that close a record. Of the records with equal payloads the one with
 the greatest page_id is a response, the others are revisits that refer to it and carry the HTTP headers only (payloads
-shorter than `min_bytes` are all responses). Which it is comes from a pre-aggregated grouping by digest and a join on it.
+shorter than `min_bytes` are all responses). Payloads that occur more than once come from a pre-aggregated grouping by
+digest; pages are joined with those only, in a join Spark can split where one payload has very many pages.
 
 Reading goes file by file, record by record by Content-Length, so payloads may hold anything. What a file says in its
 headers becomes index entries, sorted in the task: a run. Runs are dealt out by ranges of (URL key, timestamp, page_id),
@@ -23,12 +24,13 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
-from kilowatch.llm.common import emit, shuffle_partitions
+from kilowatch.llm.common import emit, shuffle_partitions, written
 
 MIN_BYTES = 0
 EPOCH = 1_704_067_200
 MONTHS = 10 * 365 * 86400  # page_id is taken modulo ten years for its time
 RECORD_END = "\r\n\r\n"
+RECORDS, FILE_BYTES = 2000, 256 << 20
 
 
 # ---- writing --------------------------------------------------------------------------------------------------------
@@ -47,8 +49,10 @@ def captures(pages, min_bytes=MIN_BYTES, time_col=None):
         (F.col(time_col).cast("timestamp") if time_col else _capture_time(page_id)).alias("at"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     ).withColumns({"digest": F.sha1("html"), "bytes": F.octet_length("html").cast("bigint")})
-    greatest = rows.groupBy("digest", "bytes").agg(F.max("page_id").alias("response_id"))
-    of = rows.join(greatest, ["digest", "bytes"])
+    groups = rows.groupBy("digest", "bytes").agg(F.max("page_id").alias("greatest"), F.count("*").alias("n"))
+    repeated = written(groups.filter("n > 1"), "repeated-payloads").select("digest", "bytes", "greatest", F.lit(True).alias("again"))
+    of = rows.join(repeated, ["digest", "bytes"], "left")
+    of = of.withColumn("response_id", F.when(F.col("again"), F.col("greatest")).otherwise(F.col("page_id"))).drop("greatest", "again")
     first = F.col("page_id").eqNullSafe(F.col("response_id")) | (F.col("bytes") < min_bytes)
     return of.withColumn("is_response", first)
 
@@ -82,10 +86,21 @@ def records(found):
     return found.select(F.concat(*parts).alias("value"))
 
 
-def write_archives(pages, path, min_bytes=MIN_BYTES, time_col=None, records_per_file=20_000):
-    """Write all pages as archives below the path."""
-    rows = records(captures(pages, min_bytes, time_col))
-    rows.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file).text(path)
+def write_archives(pages, path, min_bytes=MIN_BYTES, time_col=None, records_per_file=RECORDS, file_bytes=FILE_BYTES):
+    """Write all pages as archives below the path, of `file_bytes` payload bytes at most (or one record).
+
+    A file of ordinary pages takes `records_per_file` records; if there are pages too long for that, they go to files of
+    their own, of as few records as the longest of them asks for.
+    """
+    found = captures(pages, min_bytes, time_col)
+    short = file_bytes // records_per_file
+    longest = pages.agg(F.max(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
+    parts = [(found, records_per_file)]
+    if longest > short:
+        parts = [(found.filter(F.col("bytes") <= short), records_per_file), (found.filter(F.col("bytes") > short), max(1, file_bytes // longest))]
+    for part, count in parts:
+        writer = records(part).write.mode("append").option("lineSep", RECORD_END).option("maxRecordsPerFile", count)
+        writer.text(path)
 
 
 # ---- reading --------------------------------------------------------------------------------------------------------

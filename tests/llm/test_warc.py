@@ -34,7 +34,7 @@ def test_pages_come_back_from_their_archives(spark, tmp_path):
         last = max(ids, default=None)
         want.append((page, len(raw), digest(raw), "response" if page == last else "revisit", None if page == last else last, W.url_key(url or "")))
     path = str(tmp_path / "w")
-    W.write_archives(frame, path, records_per_file=40)
+    W.write_archives(frame, path, records_per_file=40, file_bytes=40 * 1000)
     index = W.capture_index(spark, path, 7)
     found = index.collect()
     assert sorted((tuple(x[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey")) for x in found), key=str) == sorted(want, key=str)
