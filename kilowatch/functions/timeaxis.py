@@ -11,7 +11,7 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
-from kilowatch.vocabulary import DISPLAY_TZ
+from kilowatch.vocabulary import CONSTANT_ZONES, DISPLAY_TZ
 
 
 @dataclass(frozen=True)
@@ -186,11 +186,8 @@ def in_span(readings, span, wall):
 
 
 def constant_offset(display_tz):
-    """Seconds a zone is ahead of UTC if that has not changed since 1970, else None."""
-    zone = ZoneInfo(display_tz)
-    months = (datetime(year, month, 1, tzinfo=timezone.utc) for year in range(1970, 2038) for month in range(1, 13))
-    offsets = {moment.astimezone(zone).utcoffset() for moment in months}
-    return int(offsets.pop().total_seconds()) if len(offsets) == 1 else None
+    """Seconds a zone is ahead of UTC at all times from 1970 on, for the zones known to have such an offset, else None."""
+    return CONSTANT_ZONES.get(display_tz)
 
 
 def local_seconds(display_tz, consistent_time=False):

@@ -28,6 +28,8 @@ OWNER_ORDER = ("11", "12", "16", "17", "18", "13", "10", "7", "8", "9")
 # Zone of labels and calendar periods, text form of a reading's time, topic, retention, sampling period.
 DISPLAY_TZ = "Asia/Kolkata"
 SOURCE_TZ = "UTC"
+# Seconds ahead of UTC of zones whose law has one offset since 1970 and plans no other.
+CONSTANT_ZONES = {"Asia/Kolkata": 19800, "UTC": 0}
 TIME_PATTERN = "yyyy-MM-dd HH:mm:ss"
 RAW_TOPIC = "iot_raw_data"
 RETENTION_HOURS = 168
