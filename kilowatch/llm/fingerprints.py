@@ -116,12 +116,9 @@ def merged(prints, group_col, k=K, fingerprint_col="fingerprint"):
         whole = merge(*(decode(t) for t in table["fingerprint"].to_pylist()), k=k)
         return pa.table([table["grouping"][:1], pa.array([encode(whole)])], names=["grouping", "fingerprint"])
 
-    def some(table):
-        return together(table)
-
     schema = f"grouping {kind}, fingerprint string"
     partial = rows.mapInArrow(local, schema).withColumn("salt", F.spark_partition_id() % 64)
-    halves = partial.groupBy("grouping", "salt").applyInArrow(some, schema)
+    halves = partial.groupBy("grouping", "salt").applyInArrow(together, schema)
     return halves.groupBy("grouping").applyInArrow(together, schema).withColumnRenamed("grouping", group_col)
 
 
