@@ -4,7 +4,7 @@ A batch that is written again replaces its own folders, so a retry neither loses
 measure and owner: statistics then skip most of a file for a query on one measure.
 """
 
-from datetime import timedelta
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F, types as T
 
@@ -71,3 +71,22 @@ def read_readings(spark, path, first_day=None, last_day=None):
         reader = reader.option("basePath", where)
         where = f"{where}/reading_date={{{days}}}"
     return reader.parquet(where).select(*READINGS.fieldNames())
+
+
+def compact_days(spark, path, target, first_day, last_day):
+    """Write the readings of closed days, from however many batches, to the table `target` in files of the advisory size.
+
+    Nothing is deleted from `path`, and run again for the same days it replaces what it wrote. Days without any folder may
+    be among them, but not only those.
+    """
+    days = read_readings(spark, path, first_day, last_day)
+    write_batch(days, target, "compacted", (first_day - date(1970, 1, 1)).days)
+
+
+def read_with_compacted(spark, path, target, closed_until, last_day):
+    """Readings of both tables: days up to `closed_until` from the compacted one, later ones up to `last_day` from `path`.
+
+    Of `path` only the folders of the open days are listed, however many batches the closed ones had.
+    """
+    closed = read_readings(spark, target).filter(F.col("reading_date") <= F.lit(closed_until))
+    return closed.unionByName(read_readings(spark, path, closed_until + timedelta(days=1), last_day))

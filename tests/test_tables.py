@@ -159,3 +159,21 @@ def test_publishing_to_a_folder(spark, messages, tmp_path):
     messages(["a", "b"]).select("value").write.text(target)
     lines = streams.text_messages(spark, target, topic="x", streaming=False).collect()
     assert {(row.value, row.topic) for row in lines} == {("a", "x"), ("b", "x")} and lines[0].timestamp is not None
+
+
+def test_compacted_days_read_like_their_batches(spark, readings, tmp_path):
+    from datetime import date
+    from pathlib import Path
+
+    path, target = str(tmp_path / "many"), str(tmp_path / "few")
+    for batch in range(40):
+        rows = [(f"2024-01-{day:02} 01:{batch:02}:00", str(batch % 3), "volt1", float(batch)) for day in (5, 6, 7)]
+        tables.write_batch(readings(rows), path, "w", batch)
+    before = sorted(map(str, tables.read_readings(spark, path).collect()))
+    for _ in range(2):
+        tables.compact_days(spark, path, target, date(2024, 1, 4), date(2024, 1, 6))
+    both = tables.read_with_compacted(spark, path, target, date(2024, 1, 6), date(2024, 1, 9))
+    assert sorted(map(str, both.collect())) == before
+    files = lambda where, day: len(list(Path(where).glob(f"reading_date=2024-01-0{day}/*/*/*.parquet")))
+    assert files(path, 5) >= 40 and files(target, 5) == files(target, 6) == 1 and files(target, 7) == 0
+    assert {row.owner_name for row in tables.read_owners(spark, target).collect()} == {"0", "1", "2"}
