@@ -28,6 +28,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from kilowatch.llm.common import IdRanges, emit, shuffle_partitions, texts
@@ -35,8 +36,9 @@ from kilowatch.llm.common import IdRanges, emit, shuffle_partitions, texts
 END_ID = 0
 NO_ID = -(1 << 63)
 LIMIT = 1 << 48
+RANGE_BYTES = 128 << 20  # of text, on average; a range's file is read as a whole
 # Pieces and words a task remembers, twice.
-PIECES, WORDS = 250_000, 350_000
+PIECES, WORDS = 350_000, 400_000
 
 
 # ---- tokens ---------------------------------------------------------------------------------------------------------
@@ -106,31 +108,53 @@ class Encoder:
         ends = [k for k, w in enumerate(words) if w == self.MARK]
         self.pieces.update(zip(fresh, [b"".join(ids[a:b]) for a, b in zip([0, *ends], [*ends, len(ids)], strict=True)], strict=True))
 
+    def _pieces(self, pieces):
+        """The ids of different pieces."""
+        known = self.pieces.get
+        ids = list(map(known, pieces))
+        if None in ids:
+            self._learn({p for p, i in zip(pieces, ids) if i is None})
+            ids = [self.pieces[p] if i is None else i for p, i in zip(pieces, ids)]
+        if len(self.pieces) > PIECES:
+            self.old_pieces, self.pieces = {p: v for p, v in self.pieces.items() if len(v) < 128}, {}
+        if len(self.words) > WORDS:
+            self.old_words, self.words = self.words, {}
+        return ids
+
+    def _whole(self, text):
+        return b"".join(self._pieces(cut(text)))
+
     def __call__(self, texts):
-        """The ids of each text as little-endian bytes."""
-        out = []
-        for at in range(0, len(texts), 256):
-            block, new = [], set()
-            known = self.pieces.get
-            for text in texts[at : at + 256]:
-                pieces = split(text)
-                ids = list(map(known, pieces))
-                if None in ids:
-                    missing = [p for p, i in zip(pieces, ids) if i is None]
-                    if any(map(loose, missing)):
-                        pieces = cut(text)
-                        ids = list(map(known, pieces))
-                        missing = pieces
-                    new.update(missing)
-                block.append((pieces, ids))
-            self._learn(new - self.pieces.keys())
-            known = self.pieces
-            out += [b"".join(ids if None not in ids else [known[p] if i is None else i for p, i in zip(pieces, ids)]) for pieces, ids in block]
-            if len(self.pieces) > PIECES:
-                self.old_pieces, self.pieces = {p: v for p, v in self.pieces.items() if len(v) < 128}, {}
-            if len(self.words) > WORDS:
-                self.old_words, self.words = self.words, {}
-        return out
+        """The ids of each text of an Arrow array as little-endian bytes, in an Arrow array.
+
+        Texts are cut at all spaces; each different part is looked up once, and the ids of all texts are gathered from
+        those. A text's first part has no space before it, and a text with a part that belongs to a run of white space
+        is cut again on its own: both are entries of their own in place of the first part.
+        """
+        parts = pc.split_pattern(texts, " ")
+        offsets = parts.offsets.to_numpy().astype(np.int64)
+        at, count = offsets[:-1] - offsets[0], np.diff(offsets)
+        coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+        index, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        slack = np.array([loose(p) for p in different], bool)
+        torn = (np.add.reduceat(slack[index], at) > 0) & (count > 1) if len(at) else np.zeros(0, bool)
+        first = [self._whole(t.as_py()) if bad else (different[k],) for t, bad, k in zip(texts, torn.tolist(), index[at].tolist())]
+        own = iter(self._pieces([f for f in first if type(f) is tuple]))
+        entries = self._pieces([p for p, bad in zip(different, slack.tolist()) if not bad])
+        place = np.where(slack, len(entries), np.cumsum(~slack) - 1)  # loose parts stand for nothing by themselves
+        entries.append(b"")
+        index = place[index]
+        index[np.repeat(torn, count)] = len(entries) - 1
+        index[at] = len(entries) + np.arange(len(at))
+        entries += [next(own) if type(f) is tuple else f for f in first]
+
+        flat = np.frombuffer(b"".join(entries), np.dtype(self.kind))
+        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // flat.itemsize
+        starts, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
+        ends = np.cumsum(lengths)
+        ids = flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate(([0], ends))[np.append(at, len(index))] * flat.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
 
 
 def loose(part):
@@ -138,15 +162,6 @@ def loose(part):
     return type(part) is str and (not part or part[0].isspace() or part[-1].isspace())
 
 
-def split(text):
-    """Pieces as `cut` gives them, if no part is loose."""
-    parts = text.split(" ")
-    if len(parts) > 1 and loose(parts[0]):
-        return cut(text)
-    parts[0] = (parts[0],)
-    return parts
-
-
 def cut(text):
     """The text in pieces, each from a single space between characters that are no white space to the next.
 
@@ -179,9 +194,10 @@ def tokenized(rows, tokenizer, width):
 
     def run(batches):
         own = encoder(tokenizer, width)
-        for batch in batches:
-            ids = pa.array(own(batch["text"].to_pylist()), pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), ids], [*kept, "ids"])
+        for whole in batches:
+            for at in range(0, len(whole), 2000):
+                batch = whole.slice(at, 2000)
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), own(batch["text"])], [*kept, "ids"])
 
     types = dict(rows.dtypes)
     return rows.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in kept), "ids binary"]))
@@ -249,7 +265,8 @@ def write_token_files(docs, path, tokenizer, width=2, end_id=END_ID, id_col="doc
         raise ValueError(f"end id {end_id} needs another width than {width} bytes")
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    ranges = IdRanges(rows.select("doc_id"), shuffle_partitions(spark))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = IdRanges(rows.select("doc_id"), max(shuffle_partitions(spark), -(-size // RANGE_BYTES)))
     dealt = tokenized(rows.withColumn("range", ranges.of(F.col("doc_id")).cast("int")).withColumn("tie", F.xxhash64("text")), tokenizer, width)
     dealt = dealt.repartitionById(len(ranges), F.col("range")).sortWithinPartitions("range", "doc_id", "tie")
     flat = _flat_rows(dealt, width).sortWithinPartitions("kind", "range", "seq")

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -33,7 +34,9 @@ def test_pieces_give_the_ids_of_the_whole_text(plain):
         pieces = T.cut(text)
         assert "".join(p[0] if type(p) is tuple else " " + p for p in pieces) == text
     texts = AWKWARD + mixed + words
-    for text, ids in zip(texts * 2, own(texts) + own(texts[::-1])[::-1], strict=True):
+    encode = lambda given: own(pa.array(given, pa.string())).to_pylist()
+    assert encode([]) == [] and own(pa.array(["x", *texts], pa.string()).slice(1)).to_pylist() == encode(texts)
+    for text, ids in zip(texts * 2, encode(texts) + encode(texts[::-1])[::-1], strict=True):
         assert np.frombuffer(ids, "<u2").tolist() == plain(text), repr(text)
 
 
