@@ -1,15 +1,19 @@
-"""Benchmark decontamination: SimHash of item-sized windows, then exact similarity of weighted shingles.
+"""Benchmark decontamination: windows of an item's size, exact similarity of weighted shingles.
 
 Words are runs of letters and digits in lower case; shingles are five words (an item of fewer words is one shingle of all
 of them; an item without words matches nothing). For each item, windows of the item's own number of shingles slide over a
-document by one word. A window's SimHash (64 bits, every shingle counting as often as it occurs) has to be within `RADIUS`
-bits of the item's. Candidates come from a multi-index: fingerprints are cut into four blocks of 16 bits; two within 15
-bits of each other are within 3 bits in some block, and the index lists every item under all block values within 3 bits of
-its own, so no fingerprint within the radius is missed. A candidate counts if the weighted Jaccard similarity of the two
-bags of shingles, shingles weighing more the fewer items have them, is at least 0.8.
+document by one word. A window counts if the weighted Jaccard similarity of the two bags of shingles, shingles weighing more
+the fewer items have them, is at least 0.8. A document shorter than an item is one window.
+
+No window of that similarity is passed over: it shares at least 0.8 of the item's weight, so first an item's shingles in the
+document have to weigh as much, and then running sums bound each window's similarity from above; windows are compared from
+the greatest bound down, as long as a bound reaches the threshold and the best similarity so far. The distance of the
+SimHashes (64 bits, every shingle counting as often as it occurs) is reported as `bits`.
 
-Windows without any shingle of an item have similarity 0; they are left out before fingerprints are taken, which changes
-no result. A document shorter than an item is one window.
+With `radius=` only windows count whose SimHash is within so many bits of the item's; this loses similar windows that lie
+further apart. Candidates then come from a multi-index: fingerprints are cut into four blocks of 16 bits; two within 15
+bits of each other are within 3 bits in some block, and the index lists every item under all block values within 3 bits of
+its own, so no fingerprint within the radius is missed.
 
 Items are processed in blocks of `BLOCK` items and bounded size, each an index that goes to all tasks; all documents are
 read for each block. Documents are not shuffled.
@@ -28,10 +32,11 @@ from pyspark.sql import functions as F
 
 from kilowatch.llm.common import NOT_WORD, SHINGLE_WORDS, SIMILARITY, emit, majority, shingle_hashes, texts, word_hashes
 
-RADIUS = 15
+RADIUS = 15  # bits, for those who ask for a radius
 BLOCK = 2000
 BLOCK_BYTES = 32 << 20
 _STRETCH = 4096
+_SLACK = 1e-6  # far above what sums of doubles lose
 
 
 def words_of(text):
@@ -47,7 +52,7 @@ def _near_blocks(bits):
 
 
 class Items:
-    """Items of one shingle size: their bags, fingerprints and multi-index."""
+    """Items of one shingle size: their bags, weights and fingerprints, and the multi-index of a radius."""
 
     def __init__(self, size, rows, radius, threshold):
         self.size, self.radius, self.threshold = size, radius, threshold
@@ -56,18 +61,25 @@ class Items:
         self.lengths = np.array([len(h) for h in hashes])
         self.bags = [Counter(h.tolist()) for h in hashes]
         having = Counter(itertools.chain.from_iterable(self.bags))
-        self.weights = {h: 1 + math.log(len(rows) / n) for h, n in having.items()}
-        self.rare = 1 + math.log(len(rows))
+        total, shared = len(rows), {h: n for h, n in having.items() if n > 1}
+        self.rare = 1 + math.log(total)
+        self.weights = dict.fromkeys(having, self.rare) | {h: 1 + math.log(total / n) for h, n in shared.items()}
+        self.shared = np.array(sorted(shared), np.uint64)
+        self.shared_weights = np.array([self.weights[h] for h in self.shared.tolist()])
         self.prints = np.array([majority(h) for h in hashes], np.uint64)
         self.shingles = np.array(sorted(having), np.uint64)
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.shingles & np.uint64(0xFFFF)).astype(np.int64)] = True
-        owners = defaultdict(set)
-        for bag, length in zip(self.bags, self.lengths.tolist()):
-            for h in bag:
-                owners[h].add(length)
-        self.sizes_of = [sorted(owners[h]) for h in self.shingles.tolist()]
-        self.tables = [self._table(k) for k in range(4)]
+        place = np.searchsorted(self.shingles, np.array([h for bag in self.bags for h in bag], np.uint64))
+        times = np.array([n for bag in self.bags for n in bag.values()], np.int64)
+        owner = np.repeat(np.arange(len(rows)), [len(bag) for bag in self.bags])
+        order = np.argsort(place, kind="stable")
+        self.owners, self.times = owner[order], times[order]
+        self.begins = np.searchsorted(place[order], np.arange(len(self.shingles) + 1))
+        self.own = np.split(place, np.cumsum([len(bag) for bag in self.bags])[:-1])
+        self.shingle_weights = np.array([self.weights[h] for h in self.shingles.tolist()])
+        self.masses = np.bincount(owner, self.shingle_weights[place] * times, len(rows))
+        self.tables = [] if radius is None else [self._table(k) for k in range(4)]
 
     def _table(self, k):
         """Block value to items: where a value's items begin, and the items."""
@@ -106,21 +118,23 @@ class Items:
         either = sum(self.weights[h] * n for h, n in own.items()) + sum(self.weights.get(h, self.rare) * n for h, n in other.items()) - both
         return both / either
 
-    def windows(self, hashes):
-        """(length, starts): the windows that hold a shingle of an item of that length."""
-        at, which = self.hits(hashes)
-        if not len(at):
-            return
-        by = defaultdict(list)
-        for place, shingle in zip(at.tolist(), which.tolist()):
-            for length in self.sizes_of[shingle]:
-                by[length].append(place)
-        for length, places in sorted(by.items()):
-            count = max(1, len(hashes) - length + 1)
-            change = np.zeros(count + 1, np.int64)
-            np.add.at(change, np.maximum(0, np.array(places) - length + 1), 1)
-            np.add.at(change, np.minimum(count, np.array(places) + 1), -1)
-            yield length, np.flatnonzero(np.cumsum(change[:-1]) > 0)
+    def _within_reach(self, which):
+        """Items of which the shingles in a document, each at most as often as the item has it, weigh enough."""
+        found, often = np.unique(which, return_counts=True)
+        counts = self.begins[found + 1] - self.begins[found]
+        entry = np.repeat(self.begins[found] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        weight = np.repeat(self.shingle_weights[found], counts) * np.minimum(np.repeat(often, counts), self.times[entry])
+        return np.flatnonzero(np.bincount(self.owners[entry], weight, len(self.ids)) >= self.threshold * self.masses * (1 - _SLACK))
+
+    def _document_weights(self, hashes):
+        """Running sum of the weights of a document's shingles."""
+        sums = np.full(len(hashes) + 1, self.rare)
+        sums[0] = 0
+        if len(self.shared):
+            place = np.minimum(np.searchsorted(self.shared, hashes), len(self.shared) - 1)
+            known = self.shared[place] == hashes
+            sums[1:][known] = self.shared_weights[place[known]]
+        return np.cumsum(sums)
 
     def matches(self, words):
         """item -> (similarity, -start, words, bits): the best window of each item found in a document."""
@@ -128,22 +142,52 @@ class Items:
         if len(words) < self.size:
             return best
         hashes = shingle_hashes(words, self.size)
-        for length, starts in self.windows(hashes):
-            for k in range(0, len(starts), _STRETCH):
-                self._compare(hashes, length, starts[k : k + _STRETCH], best)
+        at, which = self.hits(hashes)
+        if not len(at):
+            return best
+        items, sums = self._within_reach(which).tolist(), None
+        for item in items:
+            sums = self._document_weights(hashes) if sums is None else sums
+            mine = np.isin(which, self.own[item])
+            self._compare(hashes, sums, item, at[mine], self.shingle_weights[which[mine]], best)
         return best
 
-    def _compare(self, hashes, length, starts, best):
+    def _compare(self, hashes, sums, item, places, weights, best):
+        """The best of the item's windows; `places` are those of its shingles."""
+        length = int(self.lengths[item])
+        count = max(1, len(hashes) - length + 1)
+        change = np.zeros(count + 1, np.int64)
+        np.add.at(change, np.maximum(0, places - length + 1), 1)
+        np.add.at(change, np.minimum(count, places + 1), -1)
+        starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
         ends = np.minimum(starts + length, len(hashes))
-        prints = _prints(hashes, starts, ends)
-        for w, item in zip(*(x.tolist() for x in self.candidates(prints))):
-            if self.lengths[item] != length:
-                continue
+        running = np.concatenate(([0.0], np.cumsum(weights)))
+        both = np.minimum(running[np.searchsorted(places, ends)] - running[np.searchsorted(places, starts)], self.masses[item])
+        bound = both / np.maximum(both, self.masses[item] + sums[ends] - sums[starts] - both) + _SLACK
+        near = np.flatnonzero(bound >= self.threshold)
+        near = near[np.argsort(-bound[near], kind="stable")]
+        if self.radius is not None:
+            near = self._within_radius(hashes, starts, ends, near, item)
+        top = None
+        for w in near.tolist():
+            if top and bound[w] < top[0]:
+                break
             start, end = int(starts[w]), int(ends[w])
             similarity = self.similarity(item, hashes[start:end].tolist())
-            if similarity >= self.threshold:
-                bits = int(np.bitwise_count(prints[w] ^ self.prints[item]))
-                best[item] = max(best.get(item, (0.0,)), (similarity, -start, end - start + self.size - 1, bits))
+            if similarity >= self.threshold and (top is None or (similarity, -start) > top[:2]):
+                top = similarity, -start, end - start + self.size - 1
+        if top:
+            seen = majority(hashes[-top[1] : -top[1] + top[2] - self.size + 1])
+            best[item] = (*top, (seen ^ int(self.prints[item])).bit_count())
+
+    def _within_radius(self, hashes, starts, ends, near, item):
+        """Those of the windows whose fingerprint the multi-index lists with the item."""
+        order, kept = np.sort(near), []
+        for k in range(0, len(order), _STRETCH):
+            some = order[k : k + _STRETCH]
+            window, items = self.candidates(_prints(hashes, starts[some], ends[some]))
+            kept.append(some[window[items == item]])
+        return near[np.isin(near, np.concatenate(kept))] if kept else near
 
 
 def _prints(hashes, starts, ends):
@@ -164,7 +208,7 @@ def _prints(hashes, starts, ends):
 class Index:
     """A block of items, by shingle size."""
 
-    def __init__(self, rows, radius=RADIUS, threshold=SIMILARITY):
+    def __init__(self, rows, radius=None, threshold=SIMILARITY):
         by = defaultdict(list)
         for item_id, text in rows:
             words = words_of(text or "")
@@ -185,7 +229,7 @@ class Index:
 # ---- tables ---------------------------------------------------------------------------------------------------------
 
 
-def indexes(benchmark, radius=RADIUS, threshold=SIMILARITY, id_col="item_id", text_col="text", block=BLOCK, block_bytes=BLOCK_BYTES):
+def indexes(benchmark, radius=None, threshold=SIMILARITY, id_col="item_id", text_col="text", block=BLOCK, block_bytes=BLOCK_BYTES):
     """Indexes over all items, each of about `block` items and `block_bytes` bytes at most, one at a time."""
     items = texts(benchmark, id_col, text_col)
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -199,7 +243,7 @@ def indexes(benchmark, radius=RADIUS, threshold=SIMILARITY, id_col="item_id", te
 MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("bits", pa.int32())])
 
 
-def contaminated(docs, benchmark, radius=RADIUS, threshold=SIMILARITY, id_col="doc_id", text_col="text", **options):
+def contaminated(docs, benchmark, radius=None, threshold=SIMILARITY, id_col="doc_id", text_col="text", **options):
     """One row per document and item found in it: doc_id, item_id, similarity, start_word, n_words, bits."""
     rows = texts(docs, id_col, text_col)
 
@@ -218,7 +262,7 @@ def contaminated(docs, benchmark, radius=RADIUS, threshold=SIMILARITY, id_col="d
     return whole
 
 
-def clean(docs, benchmark, radius=RADIUS, threshold=SIMILARITY, text_col="text", **options):
+def clean(docs, benchmark, radius=None, threshold=SIMILARITY, text_col="text", **options):
     """The documents in which no item was found, all columns as they are."""
     for index in indexes(benchmark, radius, threshold, **options):
         docs = _without(docs, index, text_col)

@@ -74,3 +74,46 @@ def test_index_misses_no_fingerprint_within_the_radius():
     near = np.bitwise_count(prints[:, None] ^ items.prints[None, :]) <= D.RADIUS
     assert {tuple(p) for p in np.argwhere(near).tolist()} == set(zip(*(x.tolist() for x in items.candidates(prints))))
     assert len(shingle_hashes(rows[0][1], 5)) == 8
+
+
+def test_inner_edits_and_a_shared_preamble_are_found_as_by_comparing_all_windows():
+    r = random.Random(15)
+    own = lambda k, n: [f"i{k}x{r.randrange(10**9)}" for _ in range(n)]
+    preamble = own("p", 12)
+    items = [(k, preamble + own(k, 90)) for k in range(60)] + [(100 + k, own(k, 49)) for k in range(60)]
+    docs = []
+    for i, words in items:
+        for _ in range(4):
+            copy = list(words)
+            if i < 100:
+                copy[:12] = own("d", 12)
+            else:
+                copy[r.randrange(5, 44)] = "edited"
+            docs.append((len(docs), own("d", 5) + copy + own("d", 5)))
+    want = brute_of_own(docs, items)
+    rows = [(i, " ".join(w)) for i, w in items]
+    whole, narrow = D.Index(rows), D.Index(rows, D.RADIUS)
+    found = {(d, m[0]): round(m[1], 9) for d, w in docs for m in whole(" ".join(w))}
+    assert found == want and len(want) > 300
+    assert {(d, m[0]) for d, w in docs for m in narrow(" ".join(w))} < want.keys()
+
+
+def brute_of_own(docs, items):
+    """As `brute`, for documents that can only hold the item of their own number."""
+    having = Counter(tuple(w[k : k + 5]) for _, w in items for k in range(len(w) - 4))
+    weight = lambda x: 1 + np.log(len(items) / max(1, having[x]))
+    bag = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    found = {}
+    for d, words in docs:
+        i, w = items[d // 4]
+        for k in range(len(words) - len(w) + 1):
+            a, b = bag(w), bag(words[k : k + len(w)])
+            s = sum(weight(x) * n for x, n in (a & b).items()) / sum(weight(x) * n for x, n in (a | b).items())
+            if s >= 0.8:
+                found[d, i] = max(found.get((d, i), 0), round(s, 9))
+    return found
+
+
+def test_repeated_words_are_compared_too():
+    index = D.Index([(1, "a " * 30), (2, "b c " * 12)])
+    assert [m[:4] for m in index("x " * 9 + "a " * 500 + "b c " * 40)] == [(1, 1.0, 9, 30), (2, 1.0, 509, 24)]
