@@ -3,7 +3,7 @@
 Words are runs of letters and digits in lower case; shingles are five words (an item of fewer words is one shingle of all
 of them; an item without words matches nothing). For each item, windows of the item's own number of shingles slide over a
 document by one word. A window counts if the weighted Jaccard similarity of the two bags of shingles, shingles weighing more
-the fewer items have them, is at least 0.8. A document shorter than an item is one window.
+the fewer items of the whole benchmark have them, is at least 0.8. A document shorter than an item is one window.
 
 No window of that similarity is passed over: it shares at least 0.8 of the item's weight, so first an item's shingles in the
 document have to weigh as much, and then running sums bound each window's similarity from above; windows are compared from
@@ -16,7 +16,8 @@ bits of each other are within 3 bits in some block, and the index lists every it
 its own, so no fingerprint within the radius is missed.
 
 Items are processed in blocks of `BLOCK` items and bounded size, each an index that goes to all tasks; all documents are
-read for each block. Documents are not shuffled.
+read for each block. Weights are those of the whole benchmark, whatever the blocks: with several blocks, items per shingle
+are counted by Spark, and each index has the counts of all shingles that more than one item has. Documents are not shuffled.
 
 Null texts are empty. Null ids come back as they are, repeated rows once each. Without items or documents the result is
 empty. Texts are scanned whole, whatever their length.
@@ -28,6 +29,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from kilowatch.llm.common import NOT_WORD, SHINGLE_WORDS, SIMILARITY, emit, majority, shingle_hashes, texts, word_hashes
@@ -52,16 +54,20 @@ def _near_blocks(bits):
 
 
 class Items:
-    """Items of one shingle size: their bags, weights and fingerprints, and the multi-index of a radius."""
+    """Items of one shingle size: their bags, weights and fingerprints, and the multi-index of a radius.
 
-    def __init__(self, size, rows, radius, threshold):
+    `counts` has the number of items of this size in the whole benchmark, the shingles that several of them have, and how
+    many have each; without it, the rows are the whole benchmark.
+    """
+
+    def __init__(self, size, rows, radius, threshold, counts=None):
         self.size, self.radius, self.threshold = size, radius, threshold
         self.ids = [i for i, _ in rows]
         hashes = [shingle_hashes(w, size) for _, w in rows]
         self.lengths = np.array([len(h) for h in hashes])
         self.bags = [Counter(h.tolist()) for h in hashes]
         having = Counter(itertools.chain.from_iterable(self.bags))
-        total, shared = len(rows), {h: n for h, n in having.items() if n > 1}
+        total, shared = (len(rows), {h: n for h, n in having.items() if n > 1}) if counts is None else (counts[0], dict(zip(counts[1].tolist(), counts[2].tolist())))
         self.rare = 1 + math.log(total)
         self.weights = dict.fromkeys(having, self.rare) | {h: 1 + math.log(total / n) for h, n in shared.items()}
         self.shared = np.array(sorted(shared), np.uint64)
@@ -208,13 +214,13 @@ def _prints(hashes, starts, ends):
 class Index:
     """A block of items, by shingle size."""
 
-    def __init__(self, rows, radius=None, threshold=SIMILARITY):
+    def __init__(self, rows, radius=None, threshold=SIMILARITY, counts=None):
         by = defaultdict(list)
         for item_id, text in rows:
             words = words_of(text or "")
             if len(words):
                 by[min(SHINGLE_WORDS, len(words))].append((item_id, words))
-        self.groups = [Items(size, group, radius, threshold) for size, group in sorted(by.items())]
+        self.groups = [Items(size, group, radius, threshold, counts and counts[size]) for size, group in sorted(by.items())]
 
     def __call__(self, text):
         """(item_id, similarity, start_word, n_words, bits) of the items found in a text, the best window of each."""
@@ -229,15 +235,41 @@ class Index:
 # ---- tables ---------------------------------------------------------------------------------------------------------
 
 
+def _counts(items):
+    """By shingle size: number of items, shingles that several of them have, and how many have each."""
+
+    def run(batches):
+        schema = pa.schema([("size", pa.int32()), ("shingle", pa.int64())])
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                words = words_of(text)
+                if len(words):
+                    size = min(SHINGLE_WORDS, len(words))
+                    found = np.unique(shingle_hashes(words, size)).view(np.int64)
+                    places = pa.array(np.append(found, 0), mask=np.append(np.zeros(len(found), bool), True))  # null is the item
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(places), size, np.int32)), places], schema=schema)
+
+    having = items.mapInArrow(run, "size int, shingle bigint").groupBy("size", "shingle").agg(F.count("*").alias("n"))
+    held = having.filter(F.col("shingle").isNull() | (F.col("n") > 1)).toArrow()
+    out = {}
+    for size in held["size"].unique().to_pylist():
+        own = held.filter(pc.equal(held["size"], size))
+        rest = own.filter(pc.is_valid(own["shingle"]))
+        total = own.filter(pc.is_null(own["shingle"]))["n"][0].as_py()
+        out[size] = total, rest["shingle"].to_numpy().view(np.uint64), rest["n"].to_numpy()
+    return out
+
+
 def indexes(benchmark, radius=None, threshold=SIMILARITY, id_col="item_id", text_col="text", block=BLOCK, block_bytes=BLOCK_BYTES):
     """Indexes over all items, each of about `block` items and `block_bytes` bytes at most, one at a time."""
     items = texts(benchmark, id_col, text_col)
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // block), -(-size // block_bytes))
     numbered = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    counts = _counts(items) if blocks > 1 else None
     for k in range(blocks):
         rows = sorted(((r["doc_id"], r["text"]) for r in numbered.filter(F.col("block") == k).toLocalIterator()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        yield Index(rows, radius, threshold)
+        yield Index(rows, radius, threshold, counts)
 
 
 MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("bits", pa.int32())])

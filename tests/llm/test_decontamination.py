@@ -117,3 +117,19 @@ def brute_of_own(docs, items):
 def test_repeated_words_are_compared_too():
     index = D.Index([(1, "a " * 30), (2, "b c " * 12)])
     assert [m[:4] for m in index("x " * 9 + "a " * 500 + "b c " * 40)] == [(1, 1.0, 9, 30), (2, 1.0, 509, 24)]
+
+
+def test_blocks_change_no_result(spark, documents):
+    r = random.Random(3)
+    shared = [f"s{k}" for k in range(14)]
+    items = [(k, shared[: r.choice((0, 8, 14))] + [f"w{r.randrange(500)}" for _ in range(r.randrange(6, 40))]) for k in range(40)] + [(50, ["two", "words"]), (51, ["two", "more"])]
+    docs = []
+    for d in range(80):
+        passage = list(r.choice(items)[1])
+        if len(passage) > 12:
+            passage[r.choice((0, 1, 2, 3, -1, -2, -3))] = "edited"
+            passage[: r.randrange(4)] = shared[:2]
+        docs.append((d, " ".join(["x", *passage, "y"] + shared * r.randrange(2))))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    whole, *others = ([tuple(x) for x in sorted(D.contaminated(documents(docs), frame, block=b).collect())] for b in (2000, 8, 20))
+    assert len(whole) > 30 and all(o == whole for o in others)
