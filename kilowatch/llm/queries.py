@@ -62,7 +62,7 @@ def op9_token_files(spark, sf_dir):
     import public_tokenizers
 
     path = shared_folder(spark, "token-files")
-    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
     return token_files.read_documents(spark, path)
 
 

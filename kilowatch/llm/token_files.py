@@ -55,12 +55,13 @@ class Encoder:
     white space, and no merge crosses its splits. So texts are cut there, and the new pieces of many texts are split into
     words in one go, with a white space character between them that none of them has. The tokenizer's model encodes each
     new word. Pieces with white space inside are left to the tokenizer as they are. The result is the tokenizer's own on
-    the whole texts.
+    the whole texts. With `added`, strings of added tokens in a text get the ids of those tokens, as the tokenizer's file has
+    it, and texts that hold one go to the tokenizer whole; else such strings are ordinary text.
     """
 
     MARK = "\x0b"
 
-    def __init__(self, path, width):
+    def __init__(self, path, width, added=False):
         import regex
         from tokenizers import Tokenizer
 
@@ -68,6 +69,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         parts = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in parts["added_tokens"]] if added else []
         splitter = parts["pre_tokenizer"] or {}
         if parts["normalizer"] or splitter.get("type") != "ByteLevel" or not splitter.get("use_regex") or splitter.get("add_prefix_space"):
             raise ValueError("not a plain byte-level BPE")
@@ -122,6 +124,11 @@ class Encoder:
         return ids
 
     def _whole(self, text):
+        if any(a in text for a in self.added):
+            self.tokenizer.encode_special_tokens = False
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            self.tokenizer.encode_special_tokens = True
+            return self._bytes(ids)
         return b"".join(self._pieces(cut(text)))
 
     def __call__(self, texts):
@@ -129,7 +136,7 @@ class Encoder:
 
         Texts are cut at all spaces; each different part is looked up once, and the ids of all texts are gathered from
         those. A text's first part has no space before it, and a text with a part that belongs to a run of white space
-        is cut again on its own: both are entries of their own in place of the first part.
+        is cut again on its own: both are entries of their own in place of the first part. So are texts with added tokens.
         """
         parts = pc.split_pattern(texts, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
@@ -138,6 +145,8 @@ class Encoder:
         index, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
         slack = np.array([loose(p) for p in different], bool)
         torn = (np.add.reduceat(slack[index], at) > 0) & (count > 1) if len(at) else np.zeros(0, bool)
+        for added in self.added:
+            torn |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
         first = [self._whole(t.as_py()) if bad else (different[k],) for t, bad, k in zip(texts, torn.tolist(), index[at].tolist())]
         own = iter(self._pieces([f for f in first if type(f) is tuple]))
         entries = self._pieces([p for p, bad in zip(different, slack.tolist()) if not bad])
@@ -181,19 +190,19 @@ def cut(text):
 _encoders = {}
 
 
-def encoder(path, width):
+def encoder(path, width, added=False):
     """One per Python worker and tokenizer."""
-    if (path, width) not in _encoders:
-        _encoders[path, width] = Encoder(path, width)
-    return _encoders[path, width]
+    if (path, width, added) not in _encoders:
+        _encoders[path, width, added] = Encoder(path, width, added)
+    return _encoders[path, width, added]
 
 
-def tokenized(rows, tokenizer, width):
+def tokenized(rows, tokenizer, width, added=False):
     """Add `ids` to (doc_id, text, ...) rows in place of the text."""
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches):
-        own = encoder(tokenizer, width)
+        own = encoder(tokenizer, width, added)
         for whole in batches:
             for at in range(0, len(whole), 2000):
                 batch = whole.slice(at, 2000)
@@ -256,10 +265,11 @@ def _lengths(content, width):
     return pairs[:, 0], pairs[:, 1] & ((1 << 8 * (8 - width)) - 1)
 
 
-def write_token_files(docs, path, tokenizer, width=2, end_id=END_ID, id_col="doc_id", text_col="text"):
+def write_token_files(docs, path, tokenizer, width=2, end_id=END_ID, id_col="doc_id", text_col="text", added_tokens=False):
     """Tokenize every text and write the folder described above; gives the table of its ranges.
 
-    Ids are shuffled once, into ranges of doc_id; the rest works on lengths, 16 bytes a document.
+    Ids are shuffled once, into ranges of doc_id; the rest works on lengths, 16 bytes a document. With `added_tokens`, ids
+    are those of the tokenizer's plain call, also of texts that hold the string of an added token.
     """
     if width not in (2, 4) or not 0 <= end_id < 1 << 8 * width:
         raise ValueError(f"end id {end_id} needs another width than {width} bytes")
@@ -267,7 +277,7 @@ def write_token_files(docs, path, tokenizer, width=2, end_id=END_ID, id_col="doc
     rows = texts(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = IdRanges(rows.select("doc_id"), max(shuffle_partitions(spark), -(-size // RANGE_BYTES)))
-    dealt = tokenized(rows.withColumn("range", ranges.of(F.col("doc_id")).cast("int")).withColumn("tie", F.xxhash64("text")), tokenizer, width)
+    dealt = tokenized(rows.withColumn("range", ranges.of(F.col("doc_id")).cast("int")).withColumn("tie", F.xxhash64("text")), tokenizer, width, added_tokens)
     dealt = dealt.repartitionById(len(ranges), F.col("range")).sortWithinPartitions("range", "doc_id", "tie")
     flat = _flat_rows(dealt, width).sortWithinPartitions("kind", "range", "seq")
     _write_rows(flat.select("kind", "range", _raw(F.col("value"))), f"{path}/flat", _separator(end_id, width), "kind", "range")

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from kilowatch.llm import queries
 from kilowatch.llm import token_files as T
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,3 +63,19 @@ def test_files_hold_all_documents_in_order(spark, documents, plain, tmp_path):
 def test_an_end_id_has_to_fit(documents, tmp_path):
     with pytest.raises(ValueError):
         T.write_token_files(documents([]), str(tmp_path / "x"), PATH, 2, 70_000)
+
+
+ADDED = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b  c", "<|endoftext|><|endoftext|> ", " x\n<|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|> a"]
+
+
+def test_added_tokens_get_the_ids_of_the_plain_call(spark, documents, tmp_path):
+    whole = Tokenizer.from_file(PATH)
+    own = T.Encoder(PATH, 2, True)
+    texts = [*ADDED, *AWKWARD, *ADDED[::-1], "one <|endoftext|> three"]
+    for text, ids in zip(texts, own(pa.array(texts, pa.string())).to_pylist(), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert own(pa.array([], pa.string())).to_pylist() == []
+    documents(list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    found = sorted(tuple(r) for r in queries.op9_token_files(spark, str(tmp_path)).collect())
+    ids = [[*whole.encode(t, add_special_tokens=False).ids, T.END_ID] for t in texts]
+    assert found == [(k, sum(map(len, ids[:k])), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)]
