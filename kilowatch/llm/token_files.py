@@ -10,7 +10,8 @@ Layout of a folder, written by Spark's own writers so that any file system it kn
     ranges/                       Parquet: range, its first id's place (`base`), number of documents and ids
 
 A range's base is the prefix sum of the ranges before it. Ranges go by ascending doc_id and hold about equally many
-documents. Files can be memory-mapped (`Tokens`) where the folder is mounted, and read by Spark anywhere
+documents; those with more than `RANGE_BYTES` of text are cut further, down to the documents of one id (those without an id
+stay with the least one). Files can be memory-mapped (`Tokens`) where the folder is mounted, and read by Spark anywhere
 (`read_documents`).
 
 The text writer ends each row with a separator of at least one byte: in `flat` it is the end id, in `docs` the upper
@@ -36,7 +37,7 @@ from kilowatch.llm.common import IdRanges, emit, shuffle_partitions, texts
 END_ID = 0
 NO_ID = -(1 << 63)
 LIMIT = 1 << 48
-RANGE_BYTES = 128 << 20  # of text, on average; a range's file is read as a whole
+RANGE_BYTES = 128 << 20  # of text; a range's file is read as a whole
 # Pieces and words a task remembers, twice.
 PIECES, WORDS = 350_000, 400_000
 
@@ -265,6 +266,26 @@ def _lengths(content, width):
     return pairs[:, 0], pairs[:, 1] & ((1 << 8 * (8 - width)) - 1)
 
 
+def _ranges(rows, count, limit):
+    """Ranges of doc_id of about equally many rows, none of more than `limit` bytes of text if it has several ids.
+
+    Ranges over the limit are cut at quantiles of their ids until none is left, all of them in one job each time.
+    """
+    ranges = IdRanges(rows.select("doc_id"), count)
+    cuts = F.percentile_approx("doc_id", [k / 16 for k in range(1, 16)], 1000)
+    while True:
+        held = rows.groupBy(ranges.of(F.col("doc_id")).alias("range"))
+        held = held.agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), cuts.alias("cuts"))
+        large = held.filter((F.col("bytes") > limit) & (F.col("least") < F.col("most"))).collect()
+        if not large:
+            return ranges
+        for r in large:
+            parts = min(16, -(-r["bytes"] // limit))
+            own = {r["cuts"][16 * k // parts - 1] for k in range(1, parts)} - {r["least"]}
+            ranges.bounds += own or {r["most"]}
+        ranges.bounds.sort()
+
+
 def write_token_files(docs, path, tokenizer, width=2, end_id=END_ID, id_col="doc_id", text_col="text", added_tokens=False):
     """Tokenize every text and write the folder described above; gives the table of its ranges.
 
@@ -275,8 +296,7 @@ def write_token_files(docs, path, tokenizer, width=2, end_id=END_ID, id_col="doc
         raise ValueError(f"end id {end_id} needs another width than {width} bytes")
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = IdRanges(rows.select("doc_id"), max(shuffle_partitions(spark), -(-size // RANGE_BYTES)))
+    ranges = _ranges(rows, shuffle_partitions(spark), RANGE_BYTES)
     dealt = tokenized(rows.withColumn("range", ranges.of(F.col("doc_id")).cast("int")).withColumn("tie", F.xxhash64("text")), tokenizer, width, added_tokens)
     dealt = dealt.repartitionById(len(ranges), F.col("range")).sortWithinPartitions("range", "doc_id", "tie")
     flat = _flat_rows(dealt, width).sortWithinPartitions("kind", "range", "seq")

@@ -79,3 +79,19 @@ def test_added_tokens_get_the_ids_of_the_plain_call(spark, documents, tmp_path):
     found = sorted(tuple(r) for r in queries.op9_token_files(spark, str(tmp_path)).collect())
     ids = [[*whole.encode(t, add_special_tokens=False).ids, T.END_ID] for t in texts]
     assert found == [(k, sum(map(len, ids[:k])), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, x in enumerate(ids)]
+
+
+def test_ranges_are_bounded_by_bytes(spark, documents, plain, tmp_path, monkeypatch):
+    rows = [(k, "a " * (500 if 300 <= k < 320 else 3)) for k in range(400)] + [(310, "b " * 3000), (500, "")] + [(500, "c " * 700)] * 3 + [(None, "d")]
+    monkeypatch.setattr(T, "RANGE_BYTES", 2500)
+    path = str(tmp_path / "files")
+    known = T.write_token_files(documents(rows), path, PATH).collect()
+    bounds = T._ranges(documents(rows).select("doc_id", "text"), 4, 2500).bounds
+    held = {}
+    for i, t in rows:
+        held.setdefault(sum(b <= (i or 0) for b in bounds), []).append((i, len(t)))
+    assert all(sum(n for _, n in r) <= 2500 or len({i for i, _ in r}) == 1 for r in held.values()) and {310, 500} <= {r[0][0] for r in held.values()}
+    assert max(r["n_ids"] for r in known) == max(sum(len(plain(t)) + 1 for i, t in rows if i == k) for k in (310, 500))
+    found = sorted(T.read_documents(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == [None, *sorted(i for i, _ in rows if i is not None)]
+    assert sum(r["n_tokens"] for r in found) == sum(len(plain(t)) + 1 for _, t in rows)
