@@ -17,6 +17,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from kilowatch.llm.common import bound
+
 # The marks of the template.
 START, BLOCK, BODY, MORE, CLOSE, END = "<s>", "[INST]", "[/INST]", "[+]", "</s>", "<<END>>"
 # Control strings of other templates, escaped as well.
@@ -40,15 +42,20 @@ def unescaped(text):
 
 def _blocks(turns):
     """Array of (role, texts): adjacent turns of one role together."""
-    numbered = F.transform(turns, lambda t, k: F.struct(k.alias("at"), ((k == 0) | (F.get(turns, k - 1)["role"] != t["role"])).alias("new")))
-    firsts = F.transform(F.filter(numbered, lambda n: n["new"]), lambda n: n["at"])
+    others = lambda all_: F.concat(F.array(F.lit(None).cast("string")), F.transform(all_, lambda t: t["role"]))
+    first = lambda t, role: F.struct(t["role"].alias("role"), (~t["role"].eqNullSafe(role)).alias("new"))
+    marked = lambda all_: F.zip_with(all_, F.slice(others(all_), 1, F.size(all_)), first)
+    places = lambda all_: F.filter(F.transform(marked(all_), lambda t, k: F.when(t["new"], k)), lambda k: k.isNotNull())
+
+    def block(all_, start, stop):
+        own = F.slice(all_, start + 1, stop - start)
+        return F.struct(F.get(all_, start)["role"].alias("role"), F.transform(own, lambda t: t["text"]).alias("texts"))
 
-    def block(first, k):
-        size = F.coalesce(F.get(firsts, k + 1), F.size(turns)) - first
-        own = F.slice(turns, first + 1, size)
-        return F.struct(F.get(turns, first)["role"].alias("role"), F.transform(own, lambda t: t["text"]).alias("texts"))
+    def cut(all_):
+        ends = lambda starts: F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size(all_)))
+        return bound(places(all_), lambda starts: F.zip_with(starts, ends(starts), lambda start, stop: block(all_, start, stop)))
 
-    return F.transform(firsts, block)
+    return bound(turns, cut)
 
 
 def _segments(blocks, loss_roles):
@@ -89,8 +96,8 @@ def turns_of(text):
 
     def turns(part):
         halves = F.split(F.substring(part, len(BLOCK) + 1, F.length(part)), r"\[/INST\]", -1)
-        role = unescaped(F.get(halves, F.lit(0)))
-        return F.transform(F.split(F.get(halves, F.lit(1)), r"\[\+\]", -1), lambda t: F.struct(role.alias("role"), unescaped(t).alias("text")))
+        said = lambda role, texts: F.transform(F.split(texts, r"\[\+\]", -1), lambda t: F.struct(role.alias("role"), unescaped(t).alias("text")))
+        return bound(halves, lambda h: bound(unescaped(F.get(h, F.lit(0))), lambda role: said(role, F.get(h, F.lit(1)))))
 
     return F.flatten(F.transform(parts, turns))
 

@@ -24,6 +24,11 @@ def written(frame, purpose):
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def bound(value, use):
+    """use(value) with the value worked out once: an expression named inside a lambda is evaluated each time the lambda is."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shuffle_partitions(spark):
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

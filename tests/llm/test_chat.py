@@ -33,3 +33,20 @@ def test_reads_back_what_was_formatted(spark):
         inside = [s["text"] for s in row["segments"] if s["text"] not in C.CONTROL and not s["text"].startswith(C.BLOCK)]
         assert not any(c in t for c in C.CONTROL for t in inside)
     assert C.formatted(frame.limit(0)).collect() == []
+
+
+def test_long_conversations_are_linear(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def seconds(turns, role):
+        rows = spark.range(turns).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.concat(F.lit("text "), "id").alias("text"))
+        start = time.perf_counter()
+        (found,) = C.digests(C.formatted(rows)).collect()
+        assert found["n_turns"] == turns
+        return time.perf_counter() - start
+
+    changing, one = F.when(F.col("id") % 2 == 0, "user").otherwise("assistant"), F.lit("user")
+    seconds(100, changing)
+    assert seconds(100_000, changing) < 30 and seconds(100_000, one) < 30

@@ -72,3 +72,17 @@ def test_redacted_documents_lose_all_spans_and_keep_their_columns(documents):
     assert frame.columns == documents(rows).columns
     want = [(i, t if t is None else masked(t, plain(t)[1])) for i, t in rows]
     assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in frame.collect()), key=str) == sorted(((i, t, None if t is None else len(t)) for i, t in want), key=str)
+
+
+def test_long_runs_and_many_secrets_take_linear_time(documents):
+    """Runs of a megabyte of every class, and 10,000 secrets in one text."""
+    r = random.Random(7)
+    run = "".join(r.choice(S.TEXT_CLASS) for _ in range(1 << 20))
+    many = "".join(f"word password=abcdefgh{k} rest\n" for k in range(10_000))
+    texts = [run, "ab-" * 350_000 + "ab1!", "Ab" * 500_000 + "12", "12-" * 350_000, "-" * 1_000_000 + "1", "a1b2" * 250_000, many, "AKIA" * 250_000, "A" * 1_000_000 + "1"]
+    rows = {row["doc_id"]: row for row in S.scan(documents(list(enumerate(texts)))).collect()}
+    kinds = [[span.split(":")[0] for span in rows[k]["spans"].split(",") if span] for k in range(len(texts))]
+    assert kinds[0] == ["entropy_text"] and kinds[1] == kinds[2] == kinds[3] == kinds[4] == [] and kinds[5] == ["hex"]
+    assert kinds[6] == ["assign"] * 10_000 and kinds[7] == ["access"] and kinds[8] == []
+    masked_many = {row["doc_id"]: row["text"] for row in S.redacted(documents(list(enumerate(texts)))).collect()}[6]
+    assert masked_many == f"word {S.MASK} rest\n" * 10_000
