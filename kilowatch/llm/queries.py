@@ -1,6 +1,6 @@
 """The registered query of every operator, and SQL where SQL can express it."""
 
-from kilowatch.llm import chat, decontamination, fingerprints, licences, quality, secrets, sentencepiece_lattice, simhash_dedup, token_files, warc
+from kilowatch.llm import chat, decontamination, fingerprints, licences, prefix_trie, quality, secrets, sentencepiece_lattice, simhash_dedup, token_files, warc
 from kilowatch.session import shared_folder
 
 
@@ -71,6 +71,11 @@ def op10_secret_scans(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    """All nodes of the trie of rebuilt conversations."""
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries():
     found = (
         op1_chat_formatting,
@@ -83,6 +88,7 @@ def queries():
         op8_licence_scans,
         op9_token_files,
         op10_secret_scans,
+        op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 

@@ -1,0 +1,141 @@
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from kilowatch.llm import prefix_trie as P
+
+COLUMNS = "conv_id bigint, turn bigint, role string, text string, depth int, digest string, path string, shard int"
+RESULT = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def turn_key(row):
+    """Ties go by the digest of role and text."""
+    role, text = row[2] or "", row[3] or ""
+    said = f"{len(role.encode())}:{role}{text}".encode()
+    return (row[1] is not None, row[1] or 0, hashlib.sha256(said).digest()[:16])
+
+
+def plain(rows):
+    own = {}
+    for row in sorted((r for r in rows if r[0] is not None), key=turn_key):
+        own.setdefault(row[0], []).append((row[2] or "", row[3] or ""))
+    rebuilt = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        rebuilt[c] = own.get(c - c % 20, [])[:h] + turns[h:]
+    members, children = {}, {}
+    for c, turns in rebuilt.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    for node in members:
+        if node:
+            children.setdefault(node[:-1], []).append(node)
+    out, below = [], {}
+    for node in sorted(members, key=len, reverse=True):
+        kids = children.get(node, [])
+        words = len(re.findall(P.WORD, node[-1][1])) if node else 0
+        leaves = sum(below[k][0] for k in kids) or 1
+        saved = sum(below[k][1] for k in kids) + (len(members[node]) - 1) * words
+        below[node] = leaves, saved
+        ends = sorted(c for c in members[node] if len(rebuilt[c]) == len(node))
+        sha = hashlib.sha256(",".join(map(str, ends)).encode()).hexdigest()
+        above = min(members[node[:-1]]) if node else None
+        out.append((min(members[node]), len(node), above, len(members[node]), len(kids), leaves, saved, sha))
+    return sorted(out, key=str)
+
+
+def corpus(seed, convs):
+    r = random.Random(seed)
+    rows = []
+    for c in convs:
+        kind = r.random()
+        if kind < 0.3:  # copies of one conversation
+            turns = [("user", "hello there"), ("assistant", "same answer for all"), ("user", "bye")]
+        elif kind < 0.6:  # a common first turn
+            turns = [("user", "hello there"), *((r.choice(["user", "assistant"]), f"w{r.randrange(4)} é x") for _ in range(r.randrange(0, 6)))]
+        else:
+            turns = [(r.choice(["user", "", "assistant"]), " ".join(r.choice("ab c d\n") for _ in range(r.randrange(0, 5)))) for _ in range(r.randrange(1, 7))]
+        rows += [(c, k, role, text) for k, (role, text) in enumerate(turns)]
+    return rows
+
+
+ODD = [
+    (5, None, None, None), (5, None, "user", ""), (5, 1, None, "x y"), (5, 1, "user", "x y"), (5, 1, "user", "x y"), (None, 0, "user", "nobody"), (-3, 0, "user", "minus"), (0, 0, "user", "minus"),
+    (40, 0, "a", "bc"), (41, 0, "ab", "c"), (41, 1, "ab", "c"), *((63, k, "user", f"long {k}") for k in range(3000)),
+]
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 7, "x", "y", 1) for r in rows], COLUMNS)
+
+
+def found(nodes):
+    assert nodes.columns == RESULT
+    return sorted(map(tuple, nodes.collect()), key=str)
+
+
+@pytest.mark.parametrize("room", [P.ROOM, 3])
+def test_equals_brute_force(spark, monkeypatch, room):
+    monkeypatch.setattr(P, "BLOCK", 5)
+    rows = corpus(1, range(60, 460)) + [r for r in ODD if r[0] is None or abs(r[0]) < 64]
+    random.Random(2).shuffle(rows)
+    # Negative ids: the last multiple of 20 towards zero, as SQL's remainder has it.
+    want = plain([r for r in rows if r[0] is None or r[0] >= 0] + [(1000 + r[0], *r[1:]) for r in rows if r[0] and r[0] < 0])
+    got = found(P.trie(frame(spark, [r if r[0] is None or r[0] >= 0 else (1000 + r[0], *r[1:]) for r in rows]).repartition(7), room=room))
+    assert got == want
+
+
+def test_negative_ids_belong_to_the_base_towards_zero(spark):
+    rows = [(0, 0, "user", "base"), (0, 1, "user", "two"), *((-c, k, "user", f"own {k}") for c in range(1, 20) for k in range(3))]
+    got = {r["conv_id"]: r["path"] for r in P.paths(frame(spark, rows)).collect()}
+    heads = {c: P.heads_of(c) for c in range(-19, 0)}
+    for c, h in heads.items():
+        assert got[c][: min(h, 2) * P.UNIT] == got[0][: min(h, 2) * P.UNIT] and len(got[c]) // P.UNIT == min(h, 2) + 3 - h
+
+
+def test_ends_of_a_hot_node_are_hashed_over_many_pieces_and_shards(spark, monkeypatch):
+    monkeypatch.setattr(P, "ENDS_BYTES", 50)
+    rows = [(c, k, "user", f"t{k}") for c in range(900, 2100) for k in range(4)] + [(3000 + c, 0, "user", f"other {c}") for c in range(50)]
+    assert found(P.trie(frame(spark, rows).repartition(5))) == plain(rows)
+
+
+def test_empty_table_and_single_turnless_conversation(spark):
+    assert found(P.trie(frame(spark, []))) == []
+    alone = next(c for c in range(1, 20) if P.heads_of(c) >= 1)
+    rows = [(alone, 0, "user", "gone")]
+    assert found(P.trie(frame(spark, rows))) == plain(rows) == [(alone, 0, None, 1, 0, 1, 0, hashlib.sha256(str(alone).encode()).hexdigest())]
+
+
+def test_texts_are_not_shuffled(spark):
+    plan = P.paths(frame(spark, ODD))._jdf.queryExecution().executedPlan().toString()
+    exchange = next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    assert "family" in exchange
+    assert P.paths(frame(spark, ODD)).schema.simpleString() == "struct<conv_id:bigint,path:binary>"
+
+
+def test_queue_spills_and_keeps_order():
+    r = random.Random(3)
+    queue, want = P.SpillingQueue(room=10), []
+    for step in range(20_000):
+        if want and r.random() < 0.3:
+            assert queue.least() == want[0]
+            assert queue.pop() == want.pop(0)
+        else:
+            import bisect
+
+            message = (r.randrange(50), step)
+            queue.push(message)
+            bisect.insort(want, message)
+        assert len(queue.runs) <= P.RUNS + 1
+    assert [queue.pop() for _ in want] == want and queue.least() is None
+
+
+def test_registered_query_equals_brute_force(spark):
+    from kilowatch.llm import queries
+
+    rows = [tuple(r) for r in queries.table(spark, "/root/testdata/sf0.001", "conversations").select("conv_id", "turn", "role", "text").collect()]
+    assert found(queries.op13_prefix_trie(spark, "/root/testdata/sf0.001").select(*map(F.col, RESULT))) == plain(rows)
