@@ -1,6 +1,6 @@
 """The registered query of every operator, and SQL where SQL can express it."""
 
-from kilowatch.llm import chat, decontamination, fingerprints, licences, prefix_trie, quality, secrets, sentencepiece_lattice, simhash_dedup, token_files, warc
+from kilowatch.llm import chat, decontamination, fingerprints, licences, prefix_trie, quality, secrets, sentencepiece_lattice, simhash_dedup, spelling, token_files, warc
 from kilowatch.session import shared_folder
 
 
@@ -71,6 +71,12 @@ def op10_secret_scans(spark, sf_dir):
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    """Words of all documents with their spelling variants, forms and roots."""
+    found = spelling.variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_prefix_trie(spark, sf_dir):
     """All nodes of the trie of rebuilt conversations."""
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
@@ -88,6 +94,7 @@ def queries():
         op8_licence_scans,
         op9_token_files,
         op10_secret_scans,
+        op11_spelling_variants,
         op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
