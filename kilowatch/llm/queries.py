@@ -1,6 +1,6 @@
 """The registered query of every operator, and SQL where SQL can express it."""
 
-from kilowatch.llm import chat, decontamination, fingerprints, licences, prefix_trie, quality, secrets, sentencepiece_lattice, simhash_dedup, spelling, token_files, warc
+from kilowatch.llm import chat, decontamination, fingerprints, licences, prefix_trie, quality, quality_rules, secrets, sentencepiece_lattice, simhash_dedup, spelling, token_files, warc
 from kilowatch.session import shared_folder
 
 
@@ -77,6 +77,11 @@ def op11_spelling_variants(spark, sf_dir):
     return found.select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op12_quality_rules(spark, sf_dir):
+    """All documents judged by fixed limits and by robust distances within their language and source."""
+    return quality_rules.judged(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark, sf_dir):
     """All nodes of the trie of rebuilt conversations."""
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
@@ -95,6 +100,7 @@ def queries():
         op9_token_files,
         op10_secret_scans,
         op11_spelling_variants,
+        op12_quality_rules,
         op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
