@@ -1,0 +1,110 @@
+import io
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from kilowatch.sources import lines as L
+from kilowatch.streaming import jobs
+
+
+@pytest.fixture
+def feed(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+
+    def append(name, text):
+        with open(folder / name, "ab") as file:
+            file.write(text.encode())
+
+    def run(checkpoint="positions", starting="latest", **options):
+        stream = L.line_messages(spark, str(folder), starting, **options)
+        out = tmp_path / f"out-{checkpoint}"
+
+        def write(batch, writer, batch_id):
+            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+        assert jobs.wait(jobs.per_batch(stream, str(tmp_path / checkpoint), write, None, True), 120)
+        if not out.exists():
+            return []
+        rows = spark.read.schema(L.SCHEMA).parquet(str(out)).select("file", "offset", "value").collect()
+        return sorted(map(tuple, rows))
+
+    append.run, append.folder, append.checkpoint = run, folder, tmp_path / "positions"
+    return append
+
+
+def placed(name, text):
+    """(file, offset, line) of all ended lines."""
+    found, at = [], 0
+    for line in text.encode().split(b"\n")[:-1]:
+        found.append((name, at, line.decode()))
+        at += len(line) + 1
+    return found
+
+
+def test_lines_before_the_start_never_come_and_a_restart_repeats_nothing(feed):
+    feed("a.log", "old 1\nold 2\nhalf")
+    assert feed.run() == []
+    feed("a.log", " of a line\nnew 1\n")
+    feed("b.log", "é new 2\nunended")
+    want = [("a.log", 12, "half of a line"), ("a.log", 27, "new 1"), ("b.log", 0, "é new 2")]
+    assert feed.run() == want
+    assert feed.run() == want
+    feed("b.log", "\n\nlast\n")
+    assert feed.run() == [*want, ("b.log", 9, "unended"), ("b.log", 17, ""), ("b.log", 18, "last")]
+    # Another stream has positions of its own.
+    assert len(feed.run("others", "earliest")) == 8
+
+
+def test_a_batch_that_is_run_again_reads_the_same_lines(feed):
+    feed("a.log", "1\n2\n")
+    assert [row[2] for row in feed.run(starting="earliest")] == ["1", "2"]
+    feed("a.log", "3\n4\n")
+    before = feed.run()
+    commits = sorted((feed.checkpoint / "commits").glob("[0-9]*"), key=lambda name: int(name.name))
+    for name in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        name.unlink(missing_ok=True)
+    feed("a.log", "5\n")
+    feed.run()  # the unfinished batch, with the bytes it had
+    assert feed.run() == [*before, ("a.log", 8, "5")]
+
+
+def test_small_stretches_give_each_line_once(feed):
+    r = random.Random(1)
+    texts = {f"{k}.log": "".join("x" * r.randrange(0, 40) + r.choice(["", "é", "\r"]) + "\n" for _ in range(200)) for k in range(3)}
+    for name, text in texts.items():
+        feed(name, text)
+    want = sorted((f, o, v.removesuffix("\r")) for name, text in texts.items() for f, o, v in placed(name, text))
+    assert feed.run(starting="earliest", bytesPerPartition="17") == want
+    os.remove(feed.folder / "1.log")
+    feed("0.log", "more\n")
+    assert len(feed.run()) == len(want) + 1
+
+
+def test_stretches_of_any_cut_hold_every_line_once(monkeypatch):
+    text = b"a\n\nbcd\nlonger line here\n\n\nz\nunended"
+    for piece in (1, 3, 1000):
+        monkeypatch.setattr(L, "PIECE", piece)
+        for size in range(1, 12):
+            found = [row for low in range(0, 28, size) for row in L._lines(io.BytesIO(text), low, min(low + size, 28))]
+            assert found == [(o, v.encode()) for _, o, v in placed("", text.decode())]
+
+
+def test_messages_have_the_columns_of_a_topic(spark, feed):
+    feed("a.log", '{"ts": "2024-01-20 12:00:00", "params": {"c/b/f/s/l/11/volt1/EM": 1.5}}\n')
+    from kilowatch.operators import ingest
+    from kilowatch.schema import RAW_MESSAGE
+
+    stream = L.line_messages(spark, str(feed.folder), "earliest", topic="meters")
+    assert [f.name for f in stream.schema][:5] == RAW_MESSAGE.fieldNames()
+    query = ingest.flatten(stream).writeStream.format("memory").queryName("flat_lines").trigger(availableNow=True).start()
+    assert jobs.wait(query, 120)
+    assert spark.table("flat_lines").select("owner_name", "value").collect() == [("11", 1.5)]
+
+
+def test_missing_folder_waits_for_its_first_file(feed, tmp_path, spark):
+    stream = L.line_messages(spark, str(tmp_path / "later"), "earliest")
+    query = stream.select(F.col("value")).writeStream.format("memory").queryName("later").trigger(availableNow=True).start()
+    assert jobs.wait(query, 120) and spark.table("later").count() == 0
