@@ -341,6 +341,60 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, CAST(7 + user_id % 14 AS VARCH
 FROM events"""
 
 
+def lag_stream(interval, profile, name):
+    return f"""
+WITH {profile},
+steps AS (
+  SELECT owner_name, {label(interval)} AS time,
+         cents - lag(cents) OVER (PARTITION BY owner_name ORDER BY event_time, cents) AS step
+  FROM {name} WHERE value_name = 'energy_consumption')
+SELECT owner_name, time, coalesce(sum(step), 0) / 100.0 AS energy FROM steps GROUP BY ALL"""
+
+
+ISLANDS = f"""
+WITH {MONTHLY},
+marked AS (
+  SELECT owner_name, event_time,
+         CASE WHEN event_time - lag(event_time) OVER (PARTITION BY owner_name ORDER BY event_time) <= INTERVAL 1 HOUR
+              THEN 0 ELSE 1 END AS new
+  FROM monthly),
+numbered AS (
+  SELECT *, sum(new) OVER (PARTITION BY owner_name ORDER BY event_time ROWS UNBOUNDED PRECEDING) AS island FROM marked),
+runs AS (
+  SELECT owner_name, min(event_time) AS started, max(event_time) AS ended, count(*) AS readings
+  FROM numbered GROUP BY owner_name, island)"""
+CLOCK = "'%Y-%m-%d %H:%M:%S'"
+RUNS = f"""{ISLANDS}
+SELECT owner_name, strftime(started, {CLOCK}) AS started, strftime(ended, {CLOCK}) AS ended, readings FROM runs"""
+OUTAGES = f"""{ISLANDS},
+following AS (SELECT owner_name, ended, lead(started) OVER (PARTITION BY owner_name ORDER BY started) AS until FROM runs)
+SELECT owner_name, strftime(ended, {CLOCK}) AS since, strftime(until, {CLOCK}) AS until
+FROM following WHERE until IS NOT NULL"""
+CLOSED_RUNS = f"""{RUNS} WHERE ended + INTERVAL 1 HOUR < (SELECT max(event_time) - INTERVAL 2 DAY FROM monthly)"""
+
+# Deliveries of ten days, one reading in ten a delivery late; refused is what lies two days behind all earlier ones.
+DELIVERED = f"""
+WITH delivered AS (
+  SELECT date_trunc('second', ts) AS event_time, CAST(7 + user_id % 14 AS VARCHAR) AS owner_name,
+         {NAMES}[event_id % 9 + 1] AS value_name,
+         CASE WHEN event_id % 9 = 8 THEN event_id * 2 + value ELSE value END AS value,
+         least((day(ts) - 1) // 10, 2) + CAST(event_id % 10 = 0 AS INTEGER) AS delivery
+  FROM events),
+newest AS (SELECT delivery, max(event_time) AS newest FROM delivered GROUP BY delivery),
+marks AS (
+  SELECT delivery, max(newest) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                   - INTERVAL 2 DAY AS mark
+  FROM newest),
+judged AS (SELECT *, coalesce(event_time < mark, false) AS late FROM delivered JOIN marks USING (delivery))"""
+REFUSED = f"""{DELIVERED}
+SELECT strftime(event_time, {CLOCK}) AS time, owner_name, value_name, value, strftime(mark, {CLOCK}) AS watermark
+FROM judged WHERE late"""
+LATE_COUNTS = f"""{DELIVERED}
+SELECT owner_name, count(*) FILTER (WHERE NOT late) AS in_time, count(*) FILTER (WHERE late) AS refused,
+       CAST(max(epoch(mark) - epoch(event_time)) FILTER (WHERE late) AS BIGINT) AS most_behind
+FROM judged GROUP BY owner_name"""
+
+
 def oracle_sql():
     found = {
         "owners_ordered": OWNERS,
@@ -387,6 +441,21 @@ FROM (SELECT DISTINCT owner_name FROM monthly) LEFT JOIN held USING (owner_name)
         "flatten_readings": FLATTEN,
         "flatten_readings_stream": FLATTEN,
         "redelivered_readings": REDELIVERED,
+        "redelivered_readings_stream": REDELIVERED,
+        "flatten_lines_stream": FLATTEN,
+        "flatten_lines_from_latest": FLATTEN.replace("FROM events WHERE", "FROM events WHERE event_id // 4 % 2 = 1 AND"),
+        "owner_runs_stream": RUNS,
+        "owner_outages_stream": OUTAGES,
+        "closed_runs_stream": CLOSED_RUNS,
+        "refused_readings_stream": REFUSED,
+        "late_counts_stream": LATE_COUNTS,
+        "energy_day_lag_stream": lag_stream("day", MONTHLY, "monthly"),
+        "energy_month_lag_stream": lag_stream("month", YEARLY, "yearly"),
+        "energy_year_lag_stream": lag_stream("year", YEARLY, "yearly"),
+        "range_consumption_rollup": RANGE_CONSUMPTION,
+        "energy_stats_rollup": ENERGY_STATS_MARCH,
+        "energy_year_rollup": energy("year"),
+        "ghg_year_rollup": ghg("year"),
         "energy_day_stream": energy_stream("day"),
         "energy_month_stream": energy_stream("month"),
         "energy_year_stream": energy_stream("year"),

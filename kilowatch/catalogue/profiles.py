@@ -77,8 +77,12 @@ def daily(spark, sf_dir, day_start=DAY_START):
 
 def yearly(spark, sf_dir):
     """Years of readings of 14 owners from orders; many share a time."""
+    return yearly_of(table(spark, sf_dir, "orders"))
+
+
+def yearly_of(orders):
     return _readings(
-        table(spark, sf_dir, "orders"),
+        orders,
         event_time="CAST(o_orderdate AS TIMESTAMP)",
         owner="7 + o_custkey % 14",
         number="o_orderkey",

@@ -11,8 +11,8 @@ from kilowatch.functions import timeaxis as X
 from kilowatch.plans import queries as Q
 from kilowatch.schema import READINGS
 from kilowatch.session import prepare, shared_folder
-from kilowatch.sources import tables
-from kilowatch.streaming import buckets, jobs
+from kilowatch.sources import lines, tables
+from kilowatch.streaming import buckets, distinct, jobs, rollups, runs
 from kilowatch.vocabulary import DISPLAY_TZ, FREQUENCY, PATH_PARTS, PHASE_VOLTAGES
 
 EXACT = {"scale": 2}
@@ -209,10 +209,13 @@ def energy_day_stored(spark, sf_dir):
     return Q.energy_consumption(tables.read_readings(spark, path), P.AS_OF, "day", owners=owners, **EXACT)
 
 
+def _stream_of(spark, sf_dir, name):
+    reader = spark.readStream.schema(P.table(spark, sf_dir, name).schema).option("maxFilesPerTrigger", 1000)
+    return reader.parquet(f"{sf_dir}/{name}.parquet*")
+
+
 def _event_stream(spark, sf_dir):
-    events = P.table(spark, sf_dir, "events")
-    reader = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1000)
-    return reader.parquet(f"{sf_dir}/events.parquet*")
+    return _stream_of(spark, sf_dir, "events")
 
 
 def flatten_readings_stream(spark, sf_dir):
@@ -241,12 +244,26 @@ def frequency_stream(interval):
     return query
 
 
-def energy_stream(interval):
+def energy_stream(interval, **options):
     """Consumption per bucket kept by a stream."""
 
     def query(spark, sf_dir):
         parts = _parts_stream(spark, sf_dir, lambda r: buckets.consumption_parts(r, interval, scale=EXACT["scale"]))
-        return buckets.consumption(parts, interval, **EXACT)
+        return buckets.consumption(parts, interval, **EXACT, **options)
+
+    return query
+
+
+def energy_years_stream(interval):
+    """Consumption with the steps between buckets, kept by a stream of years of readings."""
+
+    def query(spark, sf_dir):
+        path, checkpoint = shared_folder(spark, "buckets"), shared_folder(spark, "positions")
+        parts = lambda r: buckets.consumption_parts(r, interval, scale=EXACT["scale"])
+        readings = P.yearly_of(_stream_of(spark, sf_dir, "orders"))
+        jobs.wait(buckets.store_parts(readings, parts, path, checkpoint, available_now=True))
+        found = buckets.read_parts(spark, path, parts(P.yearly(spark, sf_dir)).schema)
+        return buckets.consumption(found, interval, **EXACT, method="lag")
 
     return query
 
@@ -266,6 +283,140 @@ def redelivered_readings(spark, sf_dir):
     return _shown(left)
 
 
+def _each_delivered(spark, deliveries, job):
+    """Write one delivery after the other into a folder and run the streaming job after each, on the positions it left."""
+    folder = shared_folder(spark, "deliveries")
+    for delivery in deliveries:
+        delivery.write.mode("append").parquet(folder)
+        reader = spark.readStream.schema(delivery.schema).option("maxFilesPerTrigger", 1000)
+        jobs.wait(job(reader.parquet(folder)))
+
+
+def redelivered_readings_stream(spark, sf_dir):
+    """Readings of a stream whose deliveries all reach back over the whole month, and are then all sent again."""
+    path, checkpoint = shared_folder(spark, "readings"), shared_folder(spark, "positions")
+    raw = P.raw_messages(spark, sf_dir)
+    deliveries = [*(raw.filter(F.col("offset") % 3 == part) for part in (2, 0, 1)), raw]
+
+    def job(stream):
+        return distinct.store_distinct(ingest.flatten(stream), path, checkpoint, available_now=True)
+
+    _each_delivered(spark, deliveries, job)
+    return _shown(tables.read_readings(spark, path))
+
+
+def _text_lines(spark, messages, folder):
+    messages.select("value").write.mode("append").text(folder)
+
+
+def flatten_lines_stream(spark, sf_dir):
+    """Messages as lines of text files, read with positions and stored."""
+    folder, path, checkpoint = (shared_folder(spark, name) for name in ("lines", "readings", "positions"))
+    _text_lines(spark, P.raw_messages(spark, sf_dir), folder)
+    raw = lines.line_messages(spark, folder, "earliest")
+    jobs.wait(jobs.store_readings(raw, path, checkpoint, available_now=True))
+    return _shown(tables.read_readings(spark, path))
+
+
+def flatten_lines_from_latest(spark, sf_dir):
+    """Of messages as lines, those written after the stream had started at the latest position."""
+    folder, path, checkpoint = (shared_folder(spark, name) for name in ("lines", "readings", "positions"))
+    raw = P.raw_messages(spark, sf_dir)
+    for part in (0, 1):
+        _text_lines(spark, raw.filter(F.col("offset") % 2 == part), folder)
+        jobs.wait(jobs.store_readings(lines.line_messages(spark, folder), path, checkpoint, available_now=True))
+    return _shown(tables.read_readings(spark, path))
+
+
+RUN_GAP = "1 hour"
+TEXT_TIME = "yyyy-MM-dd HH:mm:ss"
+
+
+def _in_text(found, *names):
+    return found.withColumns({name: F.date_format(name, TEXT_TIME) for name in names})
+
+
+def _run_parts(spark, sf_dir):
+    return _parts_stream(spark, sf_dir, lambda r: runs.run_parts(r, RUN_GAP))
+
+
+def owner_runs_stream(spark, sf_dir):
+    """Runs of every owner's readings without a gap of more than an hour, from parts a stream left."""
+    return _in_text(runs.runs(_run_parts(spark, sf_dir), RUN_GAP), "first", "last").withColumnsRenamed({"first": "started", "last": "ended"})
+
+
+def owner_outages_stream(spark, sf_dir):
+    return _in_text(runs.outages(_run_parts(spark, sf_dir), RUN_GAP), "since", "until")
+
+
+def _by_day(events):
+    """Events in three deliveries of about ten days."""
+    return [events.filter(F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) == part) for part in range(3)]
+
+
+def closed_runs_stream(spark, sf_dir):
+    """Runs the watermark has passed, from sessions in state; events come in order of days."""
+    path, checkpoint = shared_folder(spark, "runs"), shared_folder(spark, "positions")
+    live = lambda stream: runs.live_runs(P.monthly_of(stream), RUN_GAP, "2 days")
+
+    def write(batch, writer, batch_id):
+        batch.write.mode("overwrite").parquet(tables.batch_folder(path, writer, batch_id))
+
+    _each_delivered(spark, _by_day(P.table(spark, sf_dir, "events")), lambda s: jobs.per_batch(live(s), checkpoint, write, None, True))
+    found = spark.read.schema("owner_name STRING, first TIMESTAMP, last TIMESTAMP, readings BIGINT").parquet(path)
+    return _in_text(found.select("owner_name", "first", "last", "readings"), "first", "last").withColumnsRenamed({"first": "started", "last": "ended"})
+
+
+def _with_late(spark, sf_dir):
+    """Events in deliveries of ten days, one in ten a delivery too late; (readings in time, refused readings)."""
+    path, late, checkpoint = (shared_folder(spark, name) for name in ("readings", "late", "positions"))
+    events = P.table(spark, sf_dir, "events")
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)) + (F.col("event_id") % 10 == 0).cast("int")
+    deliveries = [events.filter(part == k) for k in range(4)]
+    dated = lambda stream: P.monthly_of(stream).withColumn("reading_date", F.to_date("event_time"))
+    _each_delivered(spark, deliveries, lambda s: runs.split_late(dated(s), path, late, checkpoint, "2 days", available_now=True))
+    return tables.read_readings(spark, path), runs.read_late(spark, late, dated(events).schema)
+
+
+def refused_readings_stream(spark, sf_dir):
+    refused = _with_late(spark, sf_dir)[1].select("time", "owner_name", "value_name", "value", "watermark")
+    return _in_text(refused, "watermark")
+
+
+def late_counts_stream(spark, sf_dir):
+    """Per owner, readings in time and refused, and the seconds the worst was behind."""
+    kept, refused = _with_late(spark, sf_dir)
+    kept = kept.groupBy("owner_name").agg(F.count("*").alias("in_time"))
+    return kept.join(runs.late_counts(refused), "owner_name", "full").fillna(0, ["in_time", "refused"])
+
+
+def _rollup(spark, readings, wall):
+    """Rollups of a table, written in three batches."""
+    path = shared_folder(spark, "rollups")
+    spread = F.pmod(F.xxhash64("time", "value"), F.lit(3))
+    for part in range(3):
+        rollups.write_rollups(readings.filter(spread == part), path, "catalogue", part, EXACT["scale"], wall)
+    return rollups.Rollup(spark, path, readings, EXACT["scale"], wall)
+
+
+def range_consumption_rollup(spark, sf_dir):
+    readings = P.monthly(spark, sf_dir)
+    return rollups.range_consumption(_rollup(spark, readings, True), *RANGE, readings)
+
+
+def energy_stats_rollup(spark, sf_dir):
+    readings = P.yearly(spark, sf_dir)
+    return rollups.energy_stats(_rollup(spark, readings, True), "2001-03-15 12:00:00", readings)
+
+
+def energy_year_rollup(spark, sf_dir):
+    return rollups.energy_by_year(_rollup(spark, P.yearly(spark, sf_dir), False), P.ORDERS_AS_OF)
+
+
+def ghg_year_rollup(spark, sf_dir):
+    return rollups.emission_by_year(_rollup(spark, P.yearly(spark, sf_dir), True), P.ORDERS_AS_OF)
+
+
 def queries():
     found = {
         "owners_ordered": owners_ordered,
@@ -308,6 +459,21 @@ def queries():
         "energy_year_stream": energy_stream("year"),
         "energy_day_watermark": energy_day_watermark,
         "redelivered_readings": redelivered_readings,
+        "redelivered_readings_stream": redelivered_readings_stream,
+        "flatten_lines_stream": flatten_lines_stream,
+        "flatten_lines_from_latest": flatten_lines_from_latest,
+        "owner_runs_stream": owner_runs_stream,
+        "owner_outages_stream": owner_outages_stream,
+        "closed_runs_stream": closed_runs_stream,
+        "refused_readings_stream": refused_readings_stream,
+        "late_counts_stream": late_counts_stream,
+        "energy_day_lag_stream": energy_stream("day", method="lag"),
+        "energy_month_lag_stream": energy_years_stream("month"),
+        "energy_year_lag_stream": energy_years_stream("year"),
+        "range_consumption_rollup": range_consumption_rollup,
+        "energy_stats_rollup": energy_stats_rollup,
+        "energy_year_rollup": energy_year_rollup,
+        "ghg_year_rollup": ghg_year_rollup,
     }
     for interval in X.INTERVALS:
         found[f"voltage_{interval}"] = bucketed(Q.voltage_stats, interval)

@@ -49,11 +49,11 @@ def range_consumption(readings, start, stop, owner=None, owners=None, scale=None
     rows = rows.select("owner_name", "time", "value")
     shown = O.roster(readings, owner, owners)
     totals = S.first_last(rows.unionByName(shown, allowMissingColumns=True), ["owner_name"], clock="time")
-    used = _energy_if_two(F.col("n"), F.col("tail.reading"), F.col("head.reading"), scale, rounding)
+    used = energy_if_two(F.col("n"), F.col("tail.reading"), F.col("head.reading"), scale, rounding)
     return totals.select("owner_name", used.alias("energy"))
 
 
-def _energy_if_two(count, last, first, scale, rounding):
+def energy_if_two(count, last, first, scale, rounding):
     energy = R.rounded(R.difference(last, first, scale), 2, rounding)
     return F.when(count >= 2, energy).otherwise(F.lit(0.0))
 
@@ -92,10 +92,14 @@ def energy_stats(
             hashed(F.min(F.when(inside, F.col("head")))).alias(f"{name}_head"),
             F.max(F.when(inside, F.col("tail"))).alias(f"{name}_tail"),
         ]
-    totals = rings.groupBy("owner_name").agg(*merged)
+    return stats_of(rings.groupBy("owner_name").agg(*merged), starts, unit_cost, scale, rounding)
+
+
+def stats_of(totals, names, unit_cost, scale, rounding):
+    """Energy and cost of ranges from their number of readings (`_n`), first (`_head`) and last (`_tail`)."""
     shown = []
-    for name in starts:
-        energy = _energy_if_two(
+    for name in names:
+        energy = energy_if_two(
             F.col(f"{name}_n"), F.col(f"{name}_tail.reading"), F.col(f"{name}_head.reading"), scale, rounding
         )
         cost = R.rounded(energy.cast("decimal(24,2)") * F.lit(unit_cost), 2, rounding)

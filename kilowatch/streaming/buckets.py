@@ -95,12 +95,18 @@ def merge_consumption(parts):
     return parts.groupBy("owner_name", "bucket").agg(hashed(F.min("head")).alias("head"), F.max("tail").alias("tail"))
 
 
-def consumption(parts, interval, scale=None, rounding="half_up"):
-    """Consumption per owner and bucket of merged parts."""
-    used = R.difference(F.col("tail.reading"), F.col("head.reading"), scale)
+def consumption(parts, interval, scale=None, rounding="half_up", method="within"):
+    """Consumption per owner and bucket of merged parts.
+
+    With `method="lag"` a bucket also has the step from the last reading before it. A part's steps are its last reading less
+    its first, which merges like these do, whatever order parts come in; what lies between two buckets is added by one pass
+    over an owner's merged buckets, so a late part also changes the bucket after it.
+    """
     label = X.label_of(F.col("bucket"), X.resolve_interval(interval))
     merged = merge_consumption(parts)
-    return merged.select("owner_name", label.alias("time"), R.rounded(used, 6, rounding).alias("energy"))
+    ends = merged.select("owner_name", "bucket", F.col("head.reading").alias("first_value"), F.col("tail.reading").alias("last_value"))
+    used = registers.bucket_consumption(ends, scale, method=method)
+    return used.select("owner_name", label.alias("time"), R.rounded(F.col("used"), 6, rounding).alias("energy"))
 
 
 def mean_parts(readings, interval, columns, display_tz=DISPLAY_TZ, scale=None):

@@ -10,8 +10,6 @@ A batch that is run again doesn't see its own earlier folders, finds the same re
 into one table keep their readings apart only if no meter is in both, as neither sees what the other is about to write.
 """
 
-from datetime import timedelta
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
@@ -21,34 +19,48 @@ from kilowatch.vocabulary import PATH_PARTS
 
 #: What makes two deliveries one reading: path, time as written and value.
 KEYS = [*PATH_PARTS[:-1], "time", "value"]
-STRETCHES = 1000  # of time a scan is bounded by one by one; more become one a date
-DATES = 4000  # folders named one by one; more, and all are listed
+HOURS = 10_000  # of a batch that are told apart; with more, each date is one stretch
+STRETCHES = 64  # bounds a scan is given one by one; with more, each date is one stretch
+DATES = 4000  # folders named one by one; with more, all are listed
 NO_DATE = "__HIVE_DEFAULT_PARTITION__"
+HOUR = 3600 * 10**6
+
+
+def _by_date(found):
+    """Stretches (date, low, high) in microseconds, one a date."""
+    dates = {}
+    for date, low, high in found:
+        before = dates.get(date)
+        dates[date] = (low, high) if before is None else (min(low, before[0]), max(high, before[1]))
+    return [(date, *bounds) for date, bounds in dates.items()]
 
 
 def stretches(readings):
-    """Rows (reading_date, low, high): the hours of event time the readings touch; a malformed time has neither."""
-    bounds = [F.min("event_time").alias("low"), F.max("event_time").alias("high")]
-    hours = readings.groupBy("reading_date", F.date_trunc("hour", "event_time").alias("hour")).agg(*bounds)
-    found = hours.limit(STRETCHES + 1).collect()
-    if len(found) > STRETCHES:
-        found = readings.groupBy("reading_date").agg(*bounds).limit(DATES + 1).collect()
-    return found
+    """Rows (reading_date, low, high) of event time the readings touch, in microseconds; a malformed time has none of them.
+
+    Neighbouring hours of a date are one stretch.
+    """
+    bounds = [F.unix_micros(F.min("event_time")).alias("low"), F.unix_micros(F.max("event_time")).alias("high")]
+    hours = readings.groupBy("reading_date", F.date_trunc("hour", "event_time").alias("hour")).agg(*bounds).drop("hour")
+    found = [tuple(row) for row in hours.limit(HOURS + 1).collect()]
+    if len(found) > HOURS:
+        found = [tuple(row) for row in readings.groupBy("reading_date").agg(*bounds).limit(DATES + 1).collect()]
+    merged, none = [], [row for row in found if row[1] is None][:1]
+    for date, low, high in sorted(row for row in found if row[1] is not None):
+        if merged and merged[-1][0] == date and low - merged[-1][2] < HOUR:
+            merged[-1] = (date, merged[-1][1], max(merged[-1][2], high))
+        else:
+            merged.append((date, low, high))
+    return (merged if len(merged) <= STRETCHES else _by_date(merged)) + none
 
 
 def _within(found):
-    """Whether a stored reading lies in one of the stretches; neighbouring hours of a date are one."""
-    kept, merged = F.lit(False), []
-    for row in sorted((r for r in found if r["low"] is not None), key=lambda r: (r["reading_date"], r["low"])):
-        if merged and merged[-1][0] == row["reading_date"] and row["low"] - merged[-1][2] < timedelta(hours=1):
-            merged[-1][2] = max(merged[-1][2], row["high"])
-        else:
-            merged.append([row["reading_date"], row["low"], row["high"]])
-    for date, low, high in merged:
-        kept |= (F.col("reading_date") == F.lit(date)) & F.col("event_time").between(F.lit(low), F.lit(high))
-    if any(r["low"] is None for r in found):
-        kept |= F.col("event_time").isNull()
-    return kept
+    """Whether a stored reading lies in one of the stretches."""
+    said = [
+        "event_time IS NULL" if low is None else f"(reading_date = DATE'{date}' AND event_time BETWEEN timestamp_micros({low}) AND timestamp_micros({high}))"
+        for date, low, high in found
+    ]
+    return F.expr(" OR ".join(said))
 
 
 def stored(spark, path, found, writer=None, batch_id=None):
@@ -58,7 +70,7 @@ def stored(spark, path, found, writer=None, batch_id=None):
         return None
     reader, names = spark.read.schema(tables.LAYOUT).option("basePath", where), where
     if len(found) <= DATES:
-        dates = {NO_DATE if r["reading_date"] is None else r["reading_date"].isoformat() for r in found}
+        dates = {NO_DATE if date is None else date.isoformat() for date, _, _ in found}
         names = f"{where}/reading_date={{{','.join(sorted(dates))}}}"
     try:
         rows = reader.parquet(names)

@@ -73,8 +73,9 @@ def test_very_many_hours_are_bounded_by_date(spark, readings, tmp_path, monkeypa
     path = str(tmp_path / "t")
     rows = [(f"2024-{month:02d}-01 {hour:02d}:10:00", "11", "volt1", 1.0) for month in range(1, 13) for hour in range(24)]
     tables.write_batch(readings(rows[::2]), path, "w", 0)
-    for most, dates in ((5, 4000), (5, 6)):
+    for most, hours, dates in ((5, 10_000, 4000), (5, 20, 4000), (5, 20, 6)):
         monkeypatch.setattr(distinct, "STRETCHES", most)
+        monkeypatch.setattr(distinct, "HOURS", hours)
         monkeypatch.setattr(distinct, "DATES", dates)
         batch = readings(rows)
         new = distinct.unseen(batch, distinct.stored(spark, path, distinct.stretches(batch)))
