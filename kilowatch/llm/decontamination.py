@@ -5,15 +5,15 @@ of them; an item without words matches nothing). For each item, windows of the i
 document by one word. A window counts if the weighted Jaccard similarity of the two bags of shingles, shingles weighing more
 the fewer items of the whole benchmark have them, is at least 0.8. A document shorter than an item is one window.
 
-No window of that similarity is passed over: it shares at least 0.8 of the item's weight, so first an item's shingles in the
-document have to weigh as much, and then running sums bound each window's similarity from above; windows are compared from
-the greatest bound down, as long as a bound reaches the threshold and the best similarity so far. The distance of the
-SimHashes (64 bits, every shingle counting as often as it occurs) is reported as `bits`.
+Candidates come from SimHashes of windows and items, 64 bits in which every shingle votes with the weight it has in the exact
+check. Only windows that hold enough of an item's weight are fingerprinted: running sums bound each window's similarity from
+above, so none that could reach the threshold is left out. A multi-index then finds the items within `RADIUS` bits of a
+window: fingerprints are cut into five blocks; two within 19 bits of each other are within 3 bits in some block, and the
+index lists every item under all block values within 3 bits of its own, so no fingerprint within the radius is missed.
+Candidates are compared exactly, from the greatest bound down, as long as a bound reaches the best similarity so far.
 
-With `radius=` only windows count whose SimHash is within so many bits of the item's; this loses similar windows that lie
-further apart. Candidates then come from a multi-index: fingerprints are cut into four blocks of 16 bits; two within 15
-bits of each other are within 3 bits in some block, and the index lists every item under all block values within 3 bits of
-its own, so no fingerprint within the radius is missed.
+A window of similarity 0.8 can lie further apart than the radius; README has the share found, measured against all windows.
+With `radius=None` no window is passed over: all that the bounds allow are compared.
 
 Items are processed in blocks of `BLOCK` items and bounded size, each an index that goes to all tasks; all documents are
 read for each block. Weights are those of the whole benchmark, whatever the blocks: with several blocks, items per shingle
@@ -32,9 +32,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from kilowatch.llm.common import NOT_WORD, SHINGLE_WORDS, SIMILARITY, emit, majority, shingle_hashes, texts, word_hashes
+from kilowatch.llm.common import NOT_WORD, SHINGLE_WORDS, SIMILARITY, emit, shingle_hashes, texts, word_hashes
 
-RADIUS = 15  # bits, for those who ask for a radius
+RADIUS = 19  # bits
+CUTS = (0, 13, 26, 39, 52, 64)  # of a fingerprint into blocks
+UNITS = 1024  # weights vote as whole numbers, so that equal windows have equal fingerprints
 BLOCK = 2000
 BLOCK_BYTES = 32 << 20
 _STRETCH = 4096
@@ -48,9 +50,13 @@ def words_of(text):
 # ---- index of a block of items --------------------------------------------------------------------------------------
 
 
-def _near_blocks(bits):
-    """All flips of at most `bits` of 16 bits."""
-    return np.array([sum(1 << b for b in flips) for n in range(bits + 1) for flips in itertools.combinations(range(16), n)], np.uint16)
+def _flips(width, bits):
+    """All flips of at most `bits` bits of a block."""
+    return np.array([sum(1 << b for b in flips) for n in range(bits + 1) for flips in itertools.combinations(range(width), n)], np.int64)
+
+
+def _block(prints, k):
+    return ((prints >> np.uint64(CUTS[k])) & np.uint64((1 << (CUTS[k + 1] - CUTS[k])) - 1)).astype(np.int64)
 
 
 class Items:
@@ -72,7 +78,7 @@ class Items:
         self.weights = dict.fromkeys(having, self.rare) | {h: 1 + math.log(total / n) for h, n in shared.items()}
         self.shared = np.array(sorted(shared), np.uint64)
         self.shared_weights = np.array([self.weights[h] for h in self.shared.tolist()])
-        self.prints = np.array([majority(h) for h in hashes], np.uint64)
+        self.prints = np.array([self._prints(h, np.array([0]), np.array([len(h)]))[0] for h in hashes], np.uint64)
         self.shingles = np.array(sorted(having), np.uint64)
         self.sieve = np.zeros(1 << 16, bool)
         self.sieve[(self.shingles & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -85,16 +91,20 @@ class Items:
         self.own = np.split(place, np.cumsum([len(bag) for bag in self.bags])[:-1])
         self.shingle_weights = np.array([self.weights[h] for h in self.shingles.tolist()])
         self.masses = np.bincount(owner, self.shingle_weights[place] * times, len(rows))
-        self.tables = [] if radius is None else [self._table(k) for k in range(4)]
+        self.tables = None
+
+    def __getstate__(self):
+        """Tasks build the multi-index for themselves, if they need it."""
+        return self.__dict__ | {"tables": None}
 
     def _table(self, k):
         """Block value to items: where a value's items begin, and the items."""
-        near = _near_blocks(self.radius // 4)
-        own = ((self.prints >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.uint16)
-        values = (own[:, None] ^ near[None, :]).ravel()
-        items = np.repeat(np.arange(len(own), dtype=np.int32), len(near))
+        width = CUTS[k + 1] - CUTS[k]
+        near = _flips(width, self.radius // (len(CUTS) - 1))
+        values = (_block(self.prints, k)[:, None] ^ near[None, :]).ravel()
+        items = np.repeat(np.arange(len(self.prints), dtype=np.int32), len(near))
         order = np.argsort(values, kind="stable")
-        return np.searchsorted(values[order], np.arange((1 << 16) + 1)), items[order]
+        return np.searchsorted(values[order], np.arange((1 << width) + 1)), items[order]
 
     def hits(self, hashes):
         """Places of shingles that some item has, and their places in `shingles`."""
@@ -106,8 +116,10 @@ class Items:
     def candidates(self, prints):
         """(window, item) of all pairs of fingerprints within the radius, by the multi-index."""
         pairs = []
+        if self.tables is None:
+            self.tables = [self._table(k) for k in range(len(CUTS) - 1)]
         for k, (begins, items) in enumerate(self.tables):
-            value = ((prints >> np.uint64(16 * k)) & np.uint64(0xFFFF)).astype(np.int64)
+            value = _block(prints, k)
             counts = begins[value + 1] - begins[value]
             window = np.repeat(np.arange(len(prints)), counts)
             within = np.arange(len(window)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -132,15 +144,33 @@ class Items:
         weight = np.repeat(self.shingle_weights[found], counts) * np.minimum(np.repeat(often, counts), self.times[entry])
         return np.flatnonzero(np.bincount(self.owners[entry], weight, len(self.ids)) >= self.threshold * self.masses * (1 - _SLACK))
 
-    def _document_weights(self, hashes):
-        """Running sum of the weights of a document's shingles."""
-        sums = np.full(len(hashes) + 1, self.rare)
-        sums[0] = 0
+    def _weights_of(self, hashes):
+        weights = np.full(len(hashes), self.rare)
         if len(self.shared):
             place = np.minimum(np.searchsorted(self.shared, hashes), len(self.shared) - 1)
             known = self.shared[place] == hashes
-            sums[1:][known] = self.shared_weights[place[known]]
-        return np.cumsum(sums)
+            weights[known] = self.shared_weights[place[known]]
+        return weights
+
+    def _document_weights(self, hashes):
+        """Running sum of the weights of a document's shingles."""
+        return np.concatenate(([0.0], np.cumsum(self._weights_of(hashes))))
+
+    def _prints(self, hashes, starts, ends):
+        """SimHash of windows in ascending order, from running sums of the weighted bits; stretches without a window are
+        skipped."""
+        groups = np.concatenate(([0], np.flatnonzero(starts[1:] > np.maximum.accumulate(ends)[:-1]) + 1, [len(starts)]))
+        out = np.zeros(len(starts), np.uint64)
+        for a, b in zip(groups[:-1].tolist(), groups[1:].tolist()):
+            base, stop = int(starts[a]), int(ends[a:b].max())
+            units = np.rint(self._weights_of(hashes[base:stop]) * UNITS).astype(np.int64)
+            block = np.ascontiguousarray(hashes[base:stop], "<u8").view(np.uint8).reshape(-1, 8)
+            sums = np.zeros((stop - base + 1, 65), np.int64)
+            np.cumsum(np.unpackbits(block, axis=1, bitorder="little") * units[:, None], axis=0, out=sums[1:, :64])
+            np.cumsum(units, out=sums[1:, 64])
+            votes = sums[ends[a:b] - base] - sums[starts[a:b] - base]
+            out[a:b] = np.packbits(2 * votes[:, :64] > votes[:, 64:], axis=1, bitorder="little").view("<u8")[:, 0]
+        return out
 
     def matches(self, words):
         """item -> (similarity, -start, words, bits): the best window of each item found in a document."""
@@ -151,15 +181,24 @@ class Items:
         at, which = self.hits(hashes)
         if not len(at):
             return best
-        items, sums = self._within_reach(which).tolist(), None
-        for item in items:
-            sums = self._document_weights(hashes) if sums is None else sums
-            mine = np.isin(which, self.own[item])
-            self._compare(hashes, sums, item, at[mine], self.shingle_weights[which[mine]], best)
+        reach = self._within_reach(which)
+        if not len(reach):
+            return best
+        sums, lengths = self._document_weights(hashes), self.lengths[reach]
+        for length in np.unique(lengths).tolist():
+            near = {}
+            for item in reach[lengths == length].tolist():
+                mine = np.isin(which, self.own[item])
+                near[item] = self._bounded(hashes, sums, item, at[mine], self.shingle_weights[which[mine]])
+            if self.radius is not None:
+                near = self._within_radius(hashes, length, near)
+            for item, (starts, bounds) in near.items():
+                self._compare(hashes, item, starts, bounds, best)
         return best
 
-    def _compare(self, hashes, sums, item, places, weights, best):
-        """The best of the item's windows; `places` are those of its shingles."""
+    def _bounded(self, hashes, sums, item, places, weights):
+        """Starts of the item's windows whose similarity can reach the threshold, ascending, and their bounds; `places` are
+        those of the item's shingles."""
         length = int(self.lengths[item])
         count = max(1, len(hashes) - length + 1)
         change = np.zeros(count + 1, np.int64)
@@ -169,46 +208,38 @@ class Items:
         ends = np.minimum(starts + length, len(hashes))
         running = np.concatenate(([0.0], np.cumsum(weights)))
         both = np.minimum(running[np.searchsorted(places, ends)] - running[np.searchsorted(places, starts)], self.masses[item])
-        bound = both / np.maximum(both, self.masses[item] + sums[ends] - sums[starts] - both) + _SLACK
-        near = np.flatnonzero(bound >= self.threshold)
-        near = near[np.argsort(-bound[near], kind="stable")]
-        if self.radius is not None:
-            near = self._within_radius(hashes, starts, ends, near, item)
-        top = None
-        for w in near.tolist():
-            if top and bound[w] < top[0]:
+        bounds = both / np.maximum(both, self.masses[item] + sums[ends] - sums[starts] - both) + _SLACK
+        near = bounds >= self.threshold
+        return starts[near], bounds[near]
+
+    def _within_radius(self, hashes, length, near):
+        """Of each item's windows those whose fingerprint the multi-index finds with it; items are of one length."""
+        windows, found = np.unique(np.concatenate([starts for starts, _ in near.values()])), []
+        for k in range(0, len(windows), _STRETCH):
+            some = windows[k : k + _STRETCH]
+            window, item = self.candidates(self._prints(hashes, some, np.minimum(some + length, len(hashes))))
+            found.append(np.stack([some[window], item]))
+        window, item = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        kept = {}
+        for one, (starts, bounds) in near.items():
+            some = np.isin(starts, window[item == one])
+            kept[one] = starts[some], bounds[some]
+        return kept
+
+    def _compare(self, hashes, item, starts, bounds, best):
+        """The best of the item's candidates."""
+        top, length = None, int(self.lengths[item])
+        for w in np.argsort(-bounds, kind="stable").tolist():
+            if top and bounds[w] < top[0]:
                 break
-            start, end = int(starts[w]), int(ends[w])
+            start, end = int(starts[w]), min(int(starts[w]) + length, len(hashes))
             similarity = self.similarity(item, hashes[start:end].tolist())
             if similarity >= self.threshold and (top is None or (similarity, -start) > top[:2]):
                 top = similarity, -start, end - start + self.size - 1
         if top:
-            seen = majority(hashes[-top[1] : -top[1] + top[2] - self.size + 1])
-            best[item] = (*top, (seen ^ int(self.prints[item])).bit_count())
-
-    def _within_radius(self, hashes, starts, ends, near, item):
-        """Those of the windows whose fingerprint the multi-index lists with the item."""
-        order, kept = np.sort(near), []
-        for k in range(0, len(order), _STRETCH):
-            some = order[k : k + _STRETCH]
-            window, items = self.candidates(_prints(hashes, starts[some], ends[some]))
-            kept.append(some[window[items == item]])
-        return near[np.isin(near, np.concatenate(kept))] if kept else near
-
-
-def _prints(hashes, starts, ends):
-    """SimHash of the windows, from running sums of the bits; stretches without a window are skipped."""
-    groups = np.concatenate(([0], np.flatnonzero(starts[1:] > np.maximum.accumulate(ends)[:-1]) + 1, [len(starts)]))
-    out = np.zeros(len(starts), np.uint64)
-    for a, b in zip(groups[:-1].tolist(), groups[1:].tolist()):
-        base, stop = int(starts[a]), int(ends[b - 1])
-        block = np.ascontiguousarray(hashes[base:stop], "<u8").view(np.uint8).reshape(-1, 8)
-        sums = np.zeros((stop - base + 1, 64), np.int32)
-        np.cumsum(np.unpackbits(block, axis=1, bitorder="little"), axis=0, dtype=np.int32, out=sums[1:])
-        size = (ends[a:b] - starts[a:b])[:, None]
-        over = 2 * (sums[ends[a:b] - base] - sums[starts[a:b] - base]) > size
-        out[a:b] = np.packbits(over, axis=1, bitorder="little").view("<u8")[:, 0]
-    return out
+            start, end = -top[1], -top[1] + top[2] - self.size + 1
+            seen = self._prints(hashes, np.array([start]), np.array([end]))[0]
+            best[item] = (*top, (int(seen) ^ int(self.prints[item])).bit_count())
 
 
 class Index:
@@ -260,7 +291,7 @@ def _counts(items):
     return out
 
 
-def indexes(benchmark, radius=None, threshold=SIMILARITY, id_col="item_id", text_col="text", block=BLOCK, block_bytes=BLOCK_BYTES):
+def indexes(benchmark, radius=RADIUS, threshold=SIMILARITY, id_col="item_id", text_col="text", block=BLOCK, block_bytes=BLOCK_BYTES):
     """Indexes over all items, each of about `block` items and `block_bytes` bytes at most, one at a time."""
     items = texts(benchmark, id_col, text_col)
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -275,7 +306,7 @@ def indexes(benchmark, radius=None, threshold=SIMILARITY, id_col="item_id", text
 MATCH = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("bits", pa.int32())])
 
 
-def contaminated(docs, benchmark, radius=None, threshold=SIMILARITY, id_col="doc_id", text_col="text", **options):
+def contaminated(docs, benchmark, radius=RADIUS, threshold=SIMILARITY, id_col="doc_id", text_col="text", **options):
     """One row per document and item found in it: doc_id, item_id, similarity, start_word, n_words, bits."""
     rows = texts(docs, id_col, text_col)
 
@@ -294,7 +325,7 @@ def contaminated(docs, benchmark, radius=None, threshold=SIMILARITY, id_col="doc
     return whole
 
 
-def clean(docs, benchmark, radius=None, threshold=SIMILARITY, text_col="text", **options):
+def clean(docs, benchmark, radius=RADIUS, threshold=SIMILARITY, text_col="text", **options):
     """The documents in which no item was found, all columns as they are."""
     for index in indexes(benchmark, radius, threshold, **options):
         docs = _without(docs, index, text_col)
