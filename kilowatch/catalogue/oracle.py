@@ -341,6 +341,18 @@ SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS time, CAST(7 + user_id % 14 AS VARCH
 FROM events"""
 
 
+# Minutes and hours that time has passed: it moves on with every message, and with the newest reading of a register.
+MINUTE_LATEST_PASSED = f"""
+SELECT * FROM ({MINUTE_LATEST})
+WHERE strptime(arrival, '%Y-%m-%d %H:%M') + INTERVAL 1 MINUTE
+      <= (SELECT max(TIMESTAMP '{UTC_DAY}' + to_seconds((event_id + 37800) % 86400)) FROM events)"""
+ENERGY_HR_PASSED = f"""
+WITH {daily(UTC_DAY)}, held AS (SELECT DISTINCT {label('hr')} AS time FROM daily WHERE value_name = 'energy_consumption'),
+named AS (SELECT DISTINCT owner_name FROM daily WHERE value_name = 'energy_consumption')
+SELECT e.* FROM ({energy('hr')}) AS e JOIN named USING (owner_name)
+WHERE time >= (SELECT min(time) FROM held) AND time < (SELECT max(time) FROM held)"""
+
+
 def lag_stream(interval, profile, name):
     return f"""
 WITH {profile},
@@ -452,6 +464,15 @@ FROM (SELECT DISTINCT owner_name FROM monthly) LEFT JOIN held USING (owner_name)
         "energy_day_lag_stream": lag_stream("day", MONTHLY, "monthly"),
         "energy_month_lag_stream": lag_stream("month", YEARLY, "yearly"),
         "energy_year_lag_stream": lag_stream("year", YEARLY, "yearly"),
+        "frequency_day_default": means("day", {"frequency": "frequency"}, 2, in_period("day")),
+        "voltage_hr_default": voltage("hr"),
+        "frequency_day_default_stream": means("day", {"frequency": "frequency"}, 2, "true"),
+        "minute_latest_stream": MINUTE_LATEST_PASSED,
+        "energy_hr_slots_stream": ENERGY_HR_PASSED,
+        "response_documents": f"""
+SELECT CAST(to_json(struct_pack(owner_name := owner_name, "interval" := 'day',
+                                data := list(struct_pack("time" := time, energy := energy) ORDER BY time))) AS VARCHAR) AS value
+FROM ({energy('day')}) GROUP BY owner_name""",
         "range_consumption_rollup": RANGE_CONSUMPTION,
         "energy_stats_rollup": ENERGY_STATS_MARCH,
         "energy_year_rollup": energy("year"),

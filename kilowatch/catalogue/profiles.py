@@ -64,8 +64,12 @@ def daily(spark, sf_dir, day_start=DAY_START):
 
     The more events there are, the more readings share a second.
     """
+    return daily_of(table(spark, sf_dir, "events"), day_start)
+
+
+def daily_of(events, day_start=DAY_START):
     return _readings(
-        table(spark, sf_dir, "events"),
+        events,
         event_time=_folded(day_start),
         owner=f"7 + event_id div {len(MEASURES)} % 2",
         number="event_id",

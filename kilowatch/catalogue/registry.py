@@ -12,7 +12,7 @@ from kilowatch.plans import queries as Q
 from kilowatch.schema import READINGS
 from kilowatch.session import prepare, shared_folder
 from kilowatch.sources import lines, tables
-from kilowatch.streaming import buckets, distinct, jobs, rollups, runs
+from kilowatch.streaming import buckets, distinct, jobs, rollups, runs, slots
 from kilowatch.vocabulary import DISPLAY_TZ, FREQUENCY, PATH_PARTS, PHASE_VOLTAGES
 
 EXACT = {"scale": 2}
@@ -417,6 +417,52 @@ def ghg_year_rollup(spark, sf_dir):
     return rollups.emission_by_year(_rollup(spark, P.yearly(spark, sf_dir), True), P.ORDERS_AS_OF)
 
 
+def frequency_day_default(spark, sf_dir):
+    """Means without the number of decimals: the digits as they are, in any order."""
+    return Q.frequency(P.monthly(spark, sf_dir), P.AS_OF, "day")
+
+
+def voltage_hr_default(spark, sf_dir):
+    return Q.voltage_stats(P.daily(spark, sf_dir), P.AS_OF, "hr")
+
+
+def frequency_day_default_stream(spark, sf_dir):
+    parts = _parts_stream(spark, sf_dir, lambda r: buckets.mean_parts(r, "day", {FREQUENCY: "frequency"}))
+    return buckets.means(parts, "day")
+
+
+def minute_latest_stream(spark, sf_dir):
+    """The newest accepted message of every minute that has passed, from a slot in state; messages come in three batches."""
+    path, checkpoint = shared_folder(spark, "sampled"), shared_folder(spark, "positions")
+    raw = P.raw_messages(spark, sf_dir, folded=True)
+    part = F.floor((F.unix_seconds("timestamp") - F.unix_seconds(F.lit(P.DAY_START).cast("timestamp")) - P.DENSE_FIRST_SECOND) / 3000)
+    part = F.least(F.greatest(part, F.lit(0)), F.lit(2))
+    before = F.unix_seconds("timestamp") < F.unix_seconds(F.lit(P.DAY_START).cast("timestamp")) + P.DENSE_FIRST_SECOND
+    # Seconds before the first dense one hold messages only once events fill the day.
+    deliveries = [raw.filter(before), *(raw.filter(~before & (part == k)) for k in range(3))]
+
+    def write(batch, writer, batch_id):
+        batch.write.mode("overwrite").parquet(tables.batch_folder(path, writer, batch_id))
+
+    _each_delivered(spark, deliveries, lambda s: jobs.per_batch(ingest.latest_by_slot(s), checkpoint, write, None, True))
+    kinds = "arrival TIMESTAMP, value STRING, topic STRING, partition INT, offset BIGINT, timestamp TIMESTAMP"
+    sampled = spark.read.schema(kinds).parquet(path)
+    return sampled.select(
+        F.date_format("arrival", "yyyy-MM-dd HH:mm").alias("arrival"), "topic", "partition", "offset", F.get_json_object("value", "$.ts").alias("time")
+    )
+
+
+def energy_hr_slots_stream(spark, sf_dir):
+    """Energy of every owner and hour that has passed, empty ones included, kept by a stream with late readings."""
+    path, checkpoint = shared_folder(spark, "slots"), shared_folder(spark, "positions")
+    events = P.table(spark, sf_dir, "events")
+    second = F.pmod(F.col("event_id") + P.DENSE_FIRST_SECOND, F.lit(P.DAY_SECONDS))
+    part = F.when(F.col("event_id") % 20 == 0, 3).otherwise(F.floor(second / 28800))
+    deliveries = [events.filter(part == k) for k in range(4)]
+    _each_delivered(spark, deliveries, lambda s: slots.store_slots(P.daily_of(s), path, checkpoint, "hr", **EXACT, available_now=True))
+    return slots.read_slots(spark, path)
+
+
 def queries():
     found = {
         "owners_ordered": owners_ordered,
@@ -470,6 +516,11 @@ def queries():
         "energy_day_lag_stream": energy_stream("day", method="lag"),
         "energy_month_lag_stream": energy_years_stream("month"),
         "energy_year_lag_stream": energy_years_stream("year"),
+        "frequency_day_default": frequency_day_default,
+        "voltage_hr_default": voltage_hr_default,
+        "frequency_day_default_stream": frequency_day_default_stream,
+        "minute_latest_stream": minute_latest_stream,
+        "energy_hr_slots_stream": energy_hr_slots_stream,
         "range_consumption_rollup": range_consumption_rollup,
         "energy_stats_rollup": energy_stats_rollup,
         "energy_year_rollup": energy_year_rollup,

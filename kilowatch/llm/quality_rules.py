@@ -138,7 +138,8 @@ def _with_pools(rows):
         F.when(enough | pooled, F.col("_lang")).alias("pool_lang"),
         F.when(enough, F.col("_source")).when(pooled, F.lit("*")).alias("pool_source"),
     )
-    return keyed.join(pools, ["_lang", "_source"], "left").drop("_lang", "_source")
+    # Written tables have a size Spark knows: it hands small ones to all tasks and splits large groups beside greater ones.
+    return keyed.join(written(pools, "pools"), ["_lang", "_source"], "left").drop("_lang", "_source")
 
 
 def _pairs():
@@ -174,6 +175,7 @@ def _distance():
 def _first(vectors):
     """The two starts: (pool, start, n, centre, scatter)."""
     middle = vectors.groupBy(*POOL).agg(F.count("*").alias("n"), *(F.percentile(name, F.lit(0.5)).alias(f"c_{i}") for i, name in enumerate(LEAST_SCALE)))
+    middle = written(middle, "medians")
     apart = [F.percentile(F.abs(F.col(name) - F.col(f"c_{i}")), F.lit(0.5)).alias(f"apart_{i}") for i, name in enumerate(LEAST_SCALE)]
     centres = [F.first(f"c_{i}").alias(f"c_{i}") for i in range(DIMENSIONS)]
     robust = vectors.join(middle, POOL).groupBy(*POOL).agg(F.first("n").alias("n"), *centres, *apart)

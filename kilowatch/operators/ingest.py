@@ -84,6 +84,14 @@ def sample_latest(raw, seconds=SAMPLE_SECONDS):
     return newest(arrived, "arrival")
 
 
+def latest_by_slot(raw, seconds=SAMPLE_SECONDS, delay="0 seconds"):
+    """`sample_latest` of a stream, kept in state: a slot holds the newest accepted message of its stretch of arrival time,
+    over batches, restarts and failed sends, and is handed on once, when arrivals have passed its end by `delay`. Messages
+    that are not accepted move time on as well. For output mode `append`."""
+    arrived = accepted(raw.withWatermark("timestamp", delay)).withColumn("arrival", F.window("timestamp", f"{seconds} seconds"))
+    return newest(arrived, "arrival").withColumn("arrival", F.col("arrival.start"))
+
+
 def dead_letters(raw, salvage=False, drop_nan=False, meter_class=ENERGY_METER, keep_malformed=True):
     """Messages that yield no reading, with the reason. As a generator the reason is worked out once per message."""
     reason = M.unusable(M.message_text(), salvage, drop_nan, keep_malformed, meter_class)

@@ -110,7 +110,7 @@ def consumption(parts, interval, scale=None, rounding="half_up", method="within"
 
 
 def mean_parts(readings, interval, columns, display_tz=DISPLAY_TZ, scale=None):
-    """Count and sum per owner and bucket of the measures in `columns` (measure -> output name)."""
+    """What means are made of, per owner and bucket, of the measures in `columns` (measure -> output name): count and sum."""
     interval = X.resolve_interval(interval)
     X.require_utc(readings)
     bucket = X.bucket_of(X.local_seconds(display_tz), interval)
@@ -118,13 +118,16 @@ def mean_parts(readings, interval, columns, display_tz=DISPLAY_TZ, scale=None):
     found = []
     for measure, name in columns.items():
         value = F.when(F.col("value_name") == measure, F.col("value") if scale is None else R.units(F.col("value"), scale))
-        found += [F.count(value).alias(f"{name}_n"), F.sum(value).alias(f"{name}_sum")]
+        sums = R.exact_sums(value) if scale is None else {"n": F.count(value), "sum": F.sum(value)}
+        found += [part.alias(f"{name}_{kind}") for kind, part in sums.items()]
     return rows.groupBy("owner_name", bucket.alias("bucket")).agg(*found)
 
 
 def merge_means(parts):
-    names = [name for name in parts.columns if name not in ("owner_name", "bucket")]
-    return parts.groupBy("owner_name", "bucket").agg(*(F.sum(name).alias(name) for name in names))
+    kinds = dict(parts.dtypes)
+    names = [name for name in parts.columns if name not in ("owner_name", "bucket", "writer", "batch_id")]
+    # Sums keep their type, so that merged parts merge again.
+    return parts.groupBy("owner_name", "bucket").agg(*(F.sum(name).cast(kinds[name]).alias(name) for name in names))
 
 
 def means(parts, interval, digits=2, scale=None, rounding="half_up"):
@@ -132,9 +135,11 @@ def means(parts, interval, digits=2, scale=None, rounding="half_up"):
     merged = merge_means(parts)
     shown = []
     for name in (c.removesuffix("_n") for c in merged.columns if c.endswith("_n")):
-        total, count = F.col(f"{name}_sum"), F.col(f"{name}_n")
-        if scale is not None:
-            total, count = total.cast("decimal(20,0)"), (count * F.lit(10**scale)).cast("decimal(20,0)")
+        if scale is None:
+            sums = {kind: F.col(f"{name}_{kind}") for kind in ("n", "sum", "odd", "doubles")}
+            shown.append(R.mean_of(sums, digits, rounding).alias(name))
+            continue
+        total, count = F.col(f"{name}_sum").cast("decimal(20,0)"), (F.col(f"{name}_n") * F.lit(10**scale)).cast("decimal(20,0)")
         shown.append(R.rounded(F.try_divide(total, count), digits, rounding).alias(name))
     label = X.label_of(F.col("bucket"), X.resolve_interval(interval))
     return merged.select("owner_name", label.alias("time"), *shown)

@@ -96,6 +96,21 @@ def forward_latest(raw, target, checkpoint, servers=None, every=f"{SAMPLE_SECOND
     return per_batch(ingest.accepted(raw), checkpoint, write, every, available_now)
 
 
+def forward_slots(
+    raw, target, checkpoint, servers=None, seconds=SAMPLE_SECONDS, delay="0 seconds", every=None, available_now=False
+):
+    """Publish the newest accepted message of each stretch of arrival time, once, however batches fall.
+
+    The slot is state: it outlives a batch that brings nothing for it, a restart, and a send that fails, after which the
+    same slots are sent again. It is emptied by time, when later messages have arrived.
+    """
+
+    def write(batch, writer, batch_id):
+        publish(batch.drop("arrival"), target if servers else batch_folder(target, writer, batch_id), servers)
+
+    return per_batch(ingest.latest_by_slot(raw, seconds, delay), checkpoint, write, every, available_now)
+
+
 def lines_to_topic(lines, target, checkpoint, servers=None, every=None, available_now=False):
     """Publish each line as a message."""
 

@@ -1,0 +1,124 @@
+import pytest
+from pyspark.sql import functions as F
+
+from kilowatch.operators import ingest
+from kilowatch.schema import READINGS
+from kilowatch.sources import streams
+from kilowatch.streaming import jobs, slots
+
+NAME = "energy_consumption"
+
+
+@pytest.fixture
+def deliver(spark, readings, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+
+    def run(*rows):
+        if rows:
+            made = readings([(f"2024-01-20 {time}", owner, NAME, value) for time, owner, value in rows])
+            made.select(*READINGS.fieldNames()).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(READINGS).option("maxFilesPerTrigger", 1).parquet(folder)
+        assert jobs.wait(slots.store_slots(source, out, checkpoint, "hr", "UTC", scale=2, available_now=True), 120)
+        try:
+            found = slots.read_slots(spark, out)
+        except Exception:
+            return {}
+        return {(r["owner_name"], r["time"][-5:]): r["energy"] for r in found.collect()}
+
+    run.checkpoint = tmp_path / "checkpoint"
+    return run
+
+
+def test_slots_that_pass_are_filled_and_corrected(deliver):
+    deliver(("10:05:00", "11", 5.0), ("10:50:00", "11", 7.5))
+    # Time moves on: the hours that have passed are there, the open one is not.
+    assert deliver(("13:10:00", "11", 9.0)) == {("11", "10:00"): 2.5, ("11", "11:00"): 0.0, ("11", "12:00"): 0.0}
+    # A late reading corrects its slot; a new owner gets all slots so far.
+    want = {("11", "10:00"): 2.5, ("11", "11:00"): 0.0, ("11", "12:00"): 0.0, ("12", "10:00"): 0.0, ("12", "11:00"): 3.0, ("12", "12:00"): 0.0}
+    assert deliver(("11:10:00", "12", 1.0), ("11:20:00", "12", 4.0)) == want
+    want |= {("11", "10:00"): 4.5, ("11", "13:00"): 0.0, ("12", "13:00"): 0.0}
+    assert deliver(("10:59:00", "11", 9.5), ("14:00:00", "12", 9.0)) == want
+    # Readings before the first slot move it back, for all owners.
+    want |= {("11", "09:00"): 0.0, ("12", "09:00"): 1.0}
+    assert deliver(("09:00:00", "12", 1.0), ("09:30:00", "12", 2.0)) == want
+    # The last batch, run again, writes the same.
+    commits = sorted((deliver.checkpoint / "commits").glob("[0-9]*"), key=lambda name: int(name.name))
+    for name in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        name.unlink(missing_ok=True)
+    assert deliver() == want
+
+
+def test_slots_need_equal_lengths(spark, readings):
+    with pytest.raises(ValueError):
+        slots.store_slots(readings([]), "p", "c", "month")
+    with pytest.raises(ValueError):
+        slots.store_slots(readings([]), "p", "c", "hr", "Europe/Berlin")
+
+
+def message(minute, second=0):
+    return f'{{"ts":"2024-01-20 12:{minute:02d}:{second:02d}","params":{{}}}}'
+
+
+def test_a_slot_outlives_batches_restarts_and_failed_sends(spark, tmp_path, monkeypatch):
+    folder, out, checkpoint = (str(tmp_path / name) for name in ("in", "out", "checkpoint"))
+    sent = []
+
+    def deliver(*rows, fail=False):
+        """Messages (second of arrival, text) as one batch; what has been published so far, in order."""
+        full = [(text, "t", 0, at, 1705750020 + at) for at, text in rows]
+        frame = spark.createDataFrame(full, "value string, topic string, partition int, offset bigint, s bigint")
+        frame.selectExpr("* except (s)", "timestamp_seconds(s) AS timestamp").coalesce(1).write.mode("append").parquet(folder)
+        raw = streams.stored_messages(spark, folder, files_per_trigger=1)
+
+        def publish(rows, target, servers=None):
+            if fail:
+                raise OSError("broker away")
+            sent.extend(r["value"] for r in rows.orderBy("offset").collect())
+
+        monkeypatch.setattr(jobs, "publish", publish)
+        query = jobs.forward_slots(raw, out, checkpoint, available_now=True)
+        if fail:
+            with pytest.raises(Exception, match="broker away"):
+                query.awaitTermination(120)
+        else:
+            assert jobs.wait(query, 120)
+        return sent
+
+    # Arrival 1705750020 is a full minute. Two accepted messages in the first slot, in different batches.
+    assert deliver((5, message(0)), (50, message(1, 30))) == []
+    assert deliver((40, message(1))) == []
+    # A later message, not accepted itself, lets time pass. The send fails; the slot is kept.
+    assert deliver((65, message(2, 30)), fail=True) == []
+    assert deliver((70, message(2))) == [message(1)]
+    # Nothing arrives for minutes; each slot is sent once.
+    assert deliver((400, message(3)), (401, "broken")) == [message(1), message(2)]
+    assert deliver((470, message(9))) == [message(1), message(2), message(3)]
+
+
+def test_latest_by_slot_equals_the_batch_form(spark, messages):
+    raw = messages([message(n % 60, 0 if n % 3 else 5) for n in range(500)])
+    batch = ingest.sample_latest(raw).select("arrival", "value")
+    held = ingest.latest_by_slot(raw).select("arrival", "value")
+    assert sorted(map(tuple, batch.collect())) == sorted(map(tuple, held.collect()))
+
+
+def test_means_of_doubles_do_not_depend_on_order(readings):
+    from kilowatch.operators import gauges
+    from kilowatch.streaming import buckets
+
+    values = [0.1, 0.2, 0.3, 1e9, -1e9, 0.005, 1e-7] * 40 + [2.675, 2.675]
+    rows = [(f"2024-01-20 12:{k % 60:02d}:00", "11", "frequency", v) for k, v in enumerate(values)]
+    found = set()
+    for n in (1, 3, 7):
+        for order in (rows, rows[::-1], sorted(rows, key=lambda r: r[3])):
+            frame = readings(order).repartition(n).withColumn("bucket", F.lit(0))
+            mean = gauges.bucket_means(frame, {"frequency": "frequency"}, 9).first()["frequency"]
+            part = buckets.means(buckets.mean_parts(frame, "day", {"frequency": "frequency"}), "day", digits=9).first()["frequency"]
+            found |= {mean, part}
+    from fractions import Fraction
+
+    assert found == {round(float(sum(Fraction(str(v)) for v in values) / len(values)), 9)}
+    odd = readings([*rows, ("2024-01-20 12:00:00", "11", "frequency", float("nan"))]).withColumn("bucket", F.lit(0))
+    assert gauges.bucket_means(odd, {"frequency": "frequency"}, 2).first()["frequency"] != found.pop()
+    none = readings([("2024-01-20 12:00:00", "11", "frequency", None)]).withColumn("bucket", F.lit(0))
+    assert gauges.bucket_means(none, {"frequency": "frequency"}, 2).first()["frequency"] is None
