@@ -407,6 +407,21 @@ SELECT owner_name, count(*) FILTER (WHERE NOT late) AS in_time, count(*) FILTER
 FROM judged GROUP BY owner_name"""
 
 
+def parse_facts(kinds, odd):
+    """Messages of the given kinds, `odd` the first of their two values by kind; a time that is a number is no date."""
+    return f"""
+WITH kept AS (SELECT *, event_id % 8 AS kind FROM events WHERE event_id % 8 IN ({kinds})),
+entries AS (
+  SELECT *, 'volt1' AS value_name, {odd} AS reading FROM kept
+  UNION ALL
+  SELECT *, 'volt2' AS value_name, event_id % 100 + 0.5 AS reading FROM kept)
+SELECT CASE WHEN kind = 7 THEN '5' ELSE strftime(ts, {CLOCK}) END AS time,
+       CASE WHEN kind <> 7 THEN strftime(ts, '%Y-%m-%d') END AS reading_date,
+       concat('b', user_id % 3) AS building_name, CAST(7 + user_id % 14 AS VARCHAR) AS owner_name, value_name,
+       CAST(reading AS DOUBLE) AS value, kind = 4 AND value_name = 'volt1' AS no_number
+FROM entries"""
+
+
 def oracle_sql():
     found = {
         "owners_ordered": OWNERS,
@@ -464,6 +479,10 @@ FROM (SELECT DISTINCT owner_name FROM monthly) LEFT JOIN held USING (owner_name)
         "energy_day_lag_stream": lag_stream("day", MONTHLY, "monthly"),
         "energy_month_lag_stream": lag_stream("month", YEARLY, "yearly"),
         "energy_year_lag_stream": lag_stream("year", YEARLY, "yearly"),
+        "parse_facts": parse_facts("0, 4, 7", "CASE kind WHEN 0 THEN 1.25 WHEN 7 THEN 4.5 END"),
+        "parse_facts_salvaged": parse_facts(
+            "0, 1, 2, 3, 4, 7", "CASE kind WHEN 0 THEN 1.25 WHEN 2 THEN 1.5 WHEN 7 THEN 4.5 END"
+        ),
         "frequency_day_default": means("day", {"frequency": "frequency"}, 2, in_period("day")),
         "voltage_hr_default": voltage("hr"),
         "frequency_day_default_stream": means("day", {"frequency": "frequency"}, 2, "true"),

@@ -122,6 +122,21 @@ def raw_messages_of(events, folded=False):
     )
 
 
+def faulty_messages(spark, sf_dir):
+    """One message per event with two readings, in eight forms: whole, one value that is no number, quoted, true or NaN, plain
+    text, an array, and a number for a time."""
+    time = f"date_format(ts, '{TIME_PATTERN}')"
+    place = "concat('c1/b', user_id % 3, '/f0/s/l/', 7 + user_id % 14)"
+    odd = "element_at(array('1.25', '\"x\"', '\"1.5\"', 'true', 'NaN', '2.5', '3.5', '4.5'), CAST(event_id % 8 + 1 AS INT))"
+    sent = f"CASE WHEN event_id % 8 = 7 THEN '5' ELSE concat('\"', {time}, '\"') END"
+    message = (
+        f"concat('{{\"ts\":', {sent}, ',\"params\":{{\"', {place}, '/volt1/EM\":', {odd}, "
+        f"',\"', {place}, '/volt2/EM\":', event_id % 100, '.5}}}}')"
+    )
+    value = f"CASE event_id % 8 WHEN 5 THEN concat('error at ', {time}) WHEN 6 THEN concat('[', {message}, ']') ELSE {message} END"
+    return table(spark, sf_dir, "events").selectExpr(f"{value} AS value", "event_id")
+
+
 def wide_messages(spark, sf_dir):
     """One message per event with the three live parameters; some lack the current."""
     voltage, factor = "CAST(value AS STRING)", "CAST(event_id % 100 AS STRING)"

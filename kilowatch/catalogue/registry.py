@@ -417,6 +417,18 @@ def ghg_year_rollup(spark, sf_dir):
     return rollups.emission_by_year(_rollup(spark, P.yearly(spark, sf_dir), True), P.ORDERS_AS_OF)
 
 
+def parse_facts(salvage):
+    """What becomes of messages in eight forms, whole or with what can be salvaged."""
+
+    def query(spark, sf_dir):
+        found = ingest.flatten(P.faulty_messages(spark, sf_dir), salvage=salvage)
+        odd = F.coalesce(F.isnan("value"), F.lit(False))
+        shown = F.when(~odd, F.col("value")).alias("value")
+        return found.select("time", F.date_format("reading_date", "yyyy-MM-dd").alias("reading_date"), "building_name", "owner_name", "value_name", shown, odd.alias("no_number"))
+
+    return query
+
+
 def frequency_day_default(spark, sf_dir):
     """Means without the number of decimals: the digits as they are, in any order."""
     return Q.frequency(P.monthly(spark, sf_dir), P.AS_OF, "day")
@@ -516,6 +528,8 @@ def queries():
         "energy_day_lag_stream": energy_stream("day", method="lag"),
         "energy_month_lag_stream": energy_years_stream("month"),
         "energy_year_lag_stream": energy_years_stream("year"),
+        "parse_facts": parse_facts(False),
+        "parse_facts_salvaged": parse_facts(True),
         "frequency_day_default": frequency_day_default,
         "voltage_hr_default": voltage_hr_default,
         "frequency_day_default_stream": frequency_day_default_stream,

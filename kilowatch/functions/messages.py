@@ -24,7 +24,8 @@ def parsed(text, salvage=False):
         F.from_json(text, TEXT_MESSAGE),
         lambda message: F.struct(
             message["ts"].alias("ts"),
-            F.transform_values(message["params"], lambda _, number: number.try_cast("double")).alias("params"),
+            # A bare NaN or Infinity comes as text in quotes.
+            F.transform_values(message["params"], lambda _, number: F.btrim(number, F.lit('"')).try_cast("double")).alias("params"),
         ),
     )
 
