@@ -1,5 +1,8 @@
 """Helpers the operators share: narrow inputs, written intermediate tables, word and shingle hashes, id ranges."""
 
+import pickle
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -39,6 +42,28 @@ def emit(rows, schema):
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+def spilled(rows, block=2000):
+    """Rows written to a file of the task that has no name, read back a block at a time."""
+    file, held = tempfile.TemporaryFile(), []
+    for row in rows:
+        held.append(row)
+        if len(held) == block:
+            pickle.dump(held, file, pickle.HIGHEST_PROTOCOL)
+            held = []
+    pickle.dump(held, file, pickle.HIGHEST_PROTOCOL)
+    file.seek(0)
+
+    def read():
+        with file:
+            while True:
+                try:
+                    yield from pickle.load(file)
+                except EOFError:
+                    return
+
+    return read()
+
+
 class Memory:
     """Results by key, of bounded size: what was used lately stays, the rest is forgotten in halves."""
 

@@ -7,9 +7,11 @@ shorter than `min_bytes` are all responses). Payloads that occur more than once
 digest; pages are joined with those only, in a join Spark can split where one payload has very many pages.
 
 Reading goes file by file, record by record by Content-Length, so payloads may hold anything. What a file says in its
-headers becomes index entries, sorted in the task: a run. Runs are dealt out by ranges of (URL key, timestamp, page_id),
-so even one URL's captures spread over tasks, and each task merges its pieces of the runs with a tree of losers into
-ranges of the capture history, ordered within and between partitions.
+headers becomes index entries, sorted in the task: a run, written to the shared folder, so archives are read once. Runs are
+dealt out by ranges of (URL key, timestamp, page_id), whose bounds are sampled from the written runs, so even one URL's
+captures spread over tasks. Each task merges its pieces of the runs with a tree of losers into ranges of the capture history,
+ordered within and between partitions. It holds `ROOM` rows at most: what is more is merged into runs on disk, and these are
+merged in the end, a block of each in memory.
 
 Null html is an empty payload, a null URL the empty one. Rows with a null page_id revisit a row that has one; without any
 such row, and for repeated rows with the greatest page_id, all are responses. Without a time column a capture's time is
@@ -24,13 +26,15 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
-from kilowatch.llm.common import emit, shuffle_partitions, written
+from kilowatch.llm.common import emit, shuffle_partitions, spilled, written
 
 MIN_BYTES = 0
 EPOCH = 1_704_067_200
 MONTHS = 10 * 365 * 86400  # page_id is taken modulo ten years for its time
 RECORD_END = "\r\n\r\n"
 RECORDS, FILE_BYTES = 2000, 256 << 20
+ROOM = 200_000  # rows a merging task holds
+WAYS = 64  # runs on disk before they are merged into one
 
 
 # ---- writing --------------------------------------------------------------------------------------------------------
@@ -77,7 +81,11 @@ def records(found):
     more = F.when(F.col("is_response"), "").otherwise(
         F.concat(F.lit("WARC-Refers-To: "), _uri(F.col("response_id")), F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest\r\n"))
     )
-    when = F.coalesce(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("1970-01-01T00:00:00Z"))
+    # From the instant by arithmetic, whatever the session's zone.
+    second = F.coalesce(F.unix_seconds("at"), F.lit(0))
+    day, rest = F.floor(second / 86400).cast("int"), F.pmod(second, F.lit(86400))
+    date = F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string")
+    when = F.concat(date, F.format_string("T%02d:%02d:%02dZ", F.floor(rest / 3600), F.floor(rest / 60) % 60, rest % 60))
     parts = [
         F.lit("WARC/1.0\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Record-ID: "), _uri(F.col("page_id")), F.lit("\r\nWARC-Date: "), when,
         F.lit("\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-Payload-Digest: sha1:"), _base32(F.col("digest")), F.lit("\r\n"), more,
@@ -218,18 +226,28 @@ def merged(sequences, key):
 def merge_runs(entries, partitions=None):
     """The index in order: partitions are ranges of (urlkey, captured_at, page_id), each the merge of its runs' pieces.
 
-    A piece keeps the order of its run, so a task sorts nothing: it tells the runs apart and merges them.
+    A piece keeps the order of its run, so a task sorts nothing: it tells the runs apart and merges them, on disk beyond
+    `ROOM` rows.
     """
     spark = entries.sparkSession
     dealt = entries.repartitionByRange(partitions or shuffle_partitions(spark), "urlkey", "captured_at", "page_id", "file", "offset")
 
-    def run(batches):
-        pieces = {}
+    def rows(batches):
+        pieces, held, far = {}, 0, []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 pieces.setdefault(row[7], []).append(row)
+            held += len(batch)
+            if held >= ROOM:
+                far.append(spilled(merged([_ascending(p) for p in pieces.values()], _place)))
+                pieces, held = {}, 0
+                if len(far) == WAYS:
+                    far = [spilled(merged(far, _place))]
+        yield from merged([*far, *(_ascending(p) for p in pieces.values())], _place)
+
+    def run(batches):
         out = []
-        for row in merged([_ascending(p) for p in pieces.values()], _place):
+        for row in rows(batches):
             out.append(row)
             if len(out) == 10_000:
                 yield emit(out, ENTRY)
@@ -247,7 +265,7 @@ def _ascending(piece):
 
 def capture_index(spark, path, partitions=None):
     """The globally ordered index of the archives below the path."""
-    return merge_runs(runs(spark, path), partitions)
+    return merge_runs(written(runs(spark, path), "capture-runs"), partitions)
 
 
 def histories(index):

@@ -48,3 +48,46 @@ def test_pages_come_back_from_their_archives(spark, tmp_path):
     assert W.capture_index(spark, path + "0").collect() == []
     W.write_archives(frame, path + "5", min_bytes=10**6)
     assert {x["record_type"] for x in W.capture_index(spark, path + "5").collect()} == {"response"}
+
+
+def test_merging_holds_a_bounded_number_of_rows(monkeypatch):
+    """Runs of many archives, handed over in pieces: never more rows in lists than the room and one batch."""
+    r = random.Random(4)
+    names = [f"f{k}" for k in range(9)]
+    entries = [(f"org,h{r.randrange(30)})/", f"2024-01-01T00:00:{r.randrange(60):02d}Z", r.choice([None, k]), 1, "d", "response", None, r.choice(names), k, 5) for k in range(3000)]
+    pieces = [sorted((e for e in entries if e[7] == name), key=W._place) for name in names]
+    batches = [p[at : at + 50] for at in range(0, 400, 50) for p in pieces if p[at : at + 50]]
+    most = []
+    ascending = W._ascending
+    monkeypatch.setattr(W, "ROOM", 200)
+    monkeypatch.setattr(W, "WAYS", 3)
+    monkeypatch.setattr(W, "_ascending", lambda piece: most.append(len(piece)) or ascending(piece))
+
+    class Frame:
+        """Stands for the dealt frame: hands the task's function its batches."""
+
+        sparkSession = None
+
+        def repartitionByRange(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run(iter(W.emit(b, W.ENTRY) for b in batches))
+
+    found = [row for batch in W.merge_runs(Frame(), 1) for row in zip(*(c.to_pylist() for c in batch.columns))]
+    assert found == sorted(entries, key=W._place)
+    assert max(most) <= 250 and len(most) > 20
+
+
+def test_dates_are_utc_in_any_session(spark, tmp_path):
+    frame = spark.createDataFrame([(k, f"http://h.org/{k}", "x") for k in range(3)], "page_id bigint, url string, html string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    found = []
+    try:
+        for k, name in enumerate(("UTC", "Asia/Kolkata", "America/New_York")):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            W.write_archives(frame, str(tmp_path / str(k)))
+            found.append(sorted((x["page_id"], x["captured_at"]) for x in W.capture_index(spark, str(tmp_path / str(k))).collect()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found[0] == [(k, f"2024-01-01T00:00:0{k}Z") for k in range(3)] and found[1] == found[2] == found[0]
