@@ -78,3 +78,62 @@ def test_single_lines_stay_sentences_of_their_own():
     assert names("Licensed under the GNU General Public License, version\n2. Else.") == [("GPL-2", "Licensed under the GNU General Public License, version\n2.")]
     assert names("Licensed under a Creative Commons thing\nReleased under the MIT license.") == [("unknown", "Licensed under a Creative Commons thing"), ("MIT", "Released under the MIT license.")]
     assert names("Keep this\ncopyright notice and its licence.") == [("unknown", "copyright notice and its licence.")]
+
+
+# Sentences of public licences as they are written, and what each is known as.
+SENTENCES = {
+    "mit_short": "Released under the MIT license.", "apache2_short": "Licensed under the Apache License, Version 2.0.", "cc": "Licensed under CC BY-NC 4.0.", "gpl_work": "This work is licensed under the GNU General Public License, version 3.",
+    "lgpl_work": "Licensed under the GNU Lesser General Public License, version 2.1.", "mpl2": "Licensed under the Mozilla Public License, version 2.0.", "unlicense": "This is free and unencumbered software released into the public domain.",
+    "bsd_grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "bsd_source": "Redistributions of source code must retain the above copyright notice.",
+    "bsd_binary": "Redistributions in binary form must reproduce the above copyright notice.", "mit_notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "as_is": 'The software is provided "as is", without warranty of any kind, express or implied.', "apache2_use": "You may not use this file except in compliance with the License.", "gpl_see": "See the GNU General Public License for more details.",
+    "unknown": "Licensed under the terms of nobody.",
+}
+VERSIONS = {"cc": "BY-NC-4.0", "gpl_work": "3", "lgpl_work": "2.1"}
+PROSE = ["The quick fox walks by the river.", "Nothing was said, and nobody asked.", "Words of no concern stand here."]
+
+
+def plain_scan(names):
+    """Licences of a sequence of sentences (None is prose), sentence by sentence and rule by rule."""
+    runs, run = [], []
+    for name in [*names, None]:
+        if name is None:
+            runs, run = (runs + [run] if run else runs), []
+        else:
+            run.append(name)
+    found = []
+    for run in runs:
+        while run:
+            used, licence = 1, "unknown"
+            for title, sequence in L.RULES:
+                at, version = 0, ""
+                for step in sequence:
+                    name = step.rstrip("?")
+                    if at < len(run) and run[at] == name:
+                        version = version or VERSIONS.get(name, "")
+                        at += 1
+                    elif not step.endswith("?"):
+                        at = 0
+                        break
+                if at:
+                    used, licence = at, title.replace("{}", version)
+                    break
+            found.append((licence, ",".join(run[:used])))
+            run = run[used:]
+    return found
+
+
+def test_random_mixtures_equal_a_plain_scan(documents):
+    import random
+
+    r = random.Random(17)
+    rows, want = [], []
+    for k in range(400):
+        names = [r.choice([None, *SENTENCES, "bsd_grant", "as_is"]) for _ in range(r.randrange(0, 9))]
+        if r.random() < 0.3:
+            names += ["bsd_grant", "bsd_source", "bsd_binary", *r.choice([[], ["as_is"], [None]])]
+        text = "\n\n".join(SENTENCES[n] if n else r.choice(PROSE) for n in names)
+        rows.append((k, text))
+        want += [(k, *found) for found in plain_scan(names)]
+    got = [(x["doc_id"], x["licence"], x["sentences"]) for x in L.scan(documents(rows)).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 600

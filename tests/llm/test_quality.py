@@ -47,3 +47,98 @@ def test_pairs_learn_what_single_tables_can_not():
     y = (X[:, 3] > 0.5) == (X[:, 8] > 0.5)
     model = Q.Additive(X[:3000], y[:3000])
     assert (3, 8) in model.pairs and ((model.score(X[3000:]) > 0.5) == y[3000:]).mean() > 0.9
+
+
+def tree(bins, g, h, size, leaves):
+    """Values of a greedy tree over ordered bins, from rows one by one."""
+    G, H = [0.0] * size, [0.0] * size
+    for b, x, y in zip(bins, g, h):
+        G[b] += x
+        H[b] += y
+    worth = lambda a, b: sum(G[a:b]) ** 2 / (sum(H[a:b]) + Q.REGULAR)
+    parts = [(0, size)]
+    while len(parts) < leaves:
+        found = [(worth(a, c) + worth(c, b) - worth(a, b), (a, b), c) for a, b in parts for c in range(a + 1, b)]
+        gain, part, cut = max(found, key=lambda f: f[0], default=(0, None, None))
+        if gain <= 1e-9:
+            break
+        parts.remove(part)
+        parts += [(part[0], cut), (cut, part[1])]
+    out = [0.0] * size
+    for a, b in parts:
+        for k in range(a, b):
+            out[k] = sum(G[a:b]) / (sum(H[a:b]) + Q.REGULAR)
+    return out
+
+
+def quarters(cells, g, h, size):
+    """Best split of a grid into quarters: (gain, values)."""
+    best = None
+    for i in range(1, size):
+        for j in range(1, size):
+            G, H = {}, {}
+            for (a, b), x, y in zip(cells, g, h):
+                corner = a >= i, b >= j
+                G[corner] = G.get(corner, 0) + x
+                H[corner] = H.get(corner, 0) + y
+            gain = sum(x * x / (H[c] + Q.REGULAR) for c, x in G.items())
+            if best is None or gain > best[0] + 1e-12:
+                leaf = {c: x / (H[c] + Q.REGULAR) for c, x in G.items()}
+                best = gain, [[leaf.get((a >= i, b >= j), 0.0) for b in range(size)] for a in range(size)]
+    return best[0] - sum(g) ** 2 / (sum(h) + Q.REGULAR), best[1]
+
+
+def test_fit_and_score_equal_plain_loops(monkeypatch):
+    """The model, fitted and scored row by row without arrays."""
+    import itertools
+    import math
+
+    monkeypatch.setattr(Q, "FEATURES", tuple("abcd"))
+    for name, value in {"ROUNDS": 6, "PAIR_ROUNDS": 4, "BINS": 7, "GRID": 4, "PAIRS": 2}.items():
+        monkeypatch.setattr(Q, name, value)
+    r = random.Random(5)
+    X = [[np.float32(r.random()), np.float32(r.randrange(4)), np.float32(r.gauss(0, 1)), np.float32(r.random())] for _ in range(90)]
+    y = [int((a > 0.5) == (d > 0.5) or b == 3) for a, b, _, d in X]
+    model = Q.Additive(X, y)
+
+    def cuts(f, n):
+        column = np.array([x[f] for x in X], np.float32)
+        return sorted({float(np.quantile(column, k / n)) for k in range(1, n)})
+
+    place = lambda x, f, n: sum(c < float(x[f]) for c in cuts(f, n))
+    share = (sum(y) + 1) / (len(y) + 2)
+    base = math.log(share / (1 - share))
+    total = [base] * len(X)
+    bins = [[place(x, f, Q.BINS) for x in X] for f in range(4)]
+    tables = [[0.0] * (len(cuts(f, Q.BINS)) + 1) for f in range(4)]
+
+    def slopes():
+        p = [1 / (1 + math.exp(-t)) for t in total]
+        return [a - b for a, b in zip(y, p)], [b * (1 - b) for b in p]
+
+    for _ in range(Q.ROUNDS):
+        for f in range(4):
+            step = tree(bins[f], *slopes(), len(tables[f]), 3)
+            for k, v in enumerate(step):
+                tables[f][k] += Q.RATE * v
+            for row, b in enumerate(bins[f]):
+                total[row] += Q.RATE * step[b]
+    coarse = [[place(x, f, Q.GRID) for x in X] for f in range(4)]
+    gains = {p: quarters(list(zip(coarse[p[0]], coarse[p[1]])), *slopes(), Q.GRID)[0] for p in itertools.combinations(range(4), 2)}
+    pairs = {p: [[0.0] * Q.GRID for _ in range(Q.GRID)] for p in sorted(gains, key=lambda p: (-gains[p], p))[: Q.PAIRS]}
+    for _ in range(Q.PAIR_ROUNDS):
+        for (f1, f2), table in pairs.items():
+            step = quarters(list(zip(coarse[f1], coarse[f2])), *slopes(), Q.GRID)[1]
+            for a, b in itertools.product(range(Q.GRID), repeat=2):
+                table[a][b] += Q.RATE * step[a][b]
+            for row in range(len(X)):
+                total[row] += Q.RATE * step[coarse[f1][row]][coarse[f2][row]]
+    assert list(model.pairs) == list(pairs)
+
+    def score(x):
+        value = base + sum(tables[f][place(x, f, Q.BINS)] for f in range(4))
+        value += sum(t[place(x, f1, Q.GRID)][place(x, f2, Q.GRID)] for (f1, f2), t in pairs.items())
+        return 1 / (1 + math.exp(-value))
+
+    new = X + [[np.float32(r.random() * 2 - 0.5) for _ in range(4)] for _ in range(50)]
+    assert np.allclose(model.score(np.array(new, np.float32)), [score(x) for x in new], atol=1e-9)
