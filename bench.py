@@ -1,7 +1,7 @@
 """Times the registered meter queries on $BENCH_SF_DIR with local[$BENCH_CPUS] and prints one JSON line.
 
-Every query runs once to warm up and is then timed from building its plan to its last row, in a session as `prepare` leaves
-it. `value` sums the headline queries, so that rounds compare; `queries` has all of them.
+Every query is timed from building its plan to its last row, in a session as `prepare` leaves it: once to warm up and then
+again, or only once if that took `LONG` seconds, as some streaming jobs do. `value` sums the headline queries, so that rounds compare; `queries` has all of them.
 """
 
 import json
@@ -23,6 +23,8 @@ HEADLINE = (
     "offset_ranges retention response_documents"
 ).split()
 
+LONG = 15
+
 
 def seconds(query, spark, sf_dir):
     start = time.perf_counter()
@@ -39,8 +41,8 @@ def main():
     )
     found, times = queries(), {}
     for name in [*HEADLINE, *sorted(set(found) - set(HEADLINE))]:
-        seconds(found[name], spark, sf_dir)
-        times[name] = round(seconds(found[name], spark, sf_dir), 4)
+        first = seconds(found[name], spark, sf_dir)
+        times[name] = round(first if first > LONG else seconds(found[name], spark, sf_dir), 4)
     total = round(sum(times[name] for name in HEADLINE), 4)
     scale = sf_dir.rsplit("sf", 1)[-1]
     print(json.dumps({"metric": "headline_queries_total", "value": total, "unit": "sec", "queries": times, "sf": scale}))

@@ -172,11 +172,16 @@ class Rollup:
         return found
 
 
+def _shown(owners, totals):
+    """Owners with what was found of them, if anything; an owner without a name is one as well."""
+    held = totals.withColumnRenamed("owner_name", "_owner")
+    return owners.join(held, F.col("owner_name").eqNullSafe(F.col("_owner")), "left").drop("_owner")
+
+
 def range_consumption(rollup, start, stop, owners, rounding="half_up"):
     """As `plans.queries.range_consumption`, of a rollup by the text as written; `owners` is the table of owners to show."""
     start, stop = (X.as_local(t, rollup.display_tz) for t in (start, stop))
-    totals = _ends(rollup.between(start, stop), "owner_name")
-    shown = owners.select("owner_name").distinct().join(totals, "owner_name", "left")
+    shown = _shown(owners.select("owner_name").distinct(), _ends(rollup.between(start, stop), "owner_name"))
     used = energy_if_two(F.coalesce("n", F.lit(0)), F.col("tail.reading"), F.col("head.reading"), rollup.scale, rounding)
     return shown.select("owner_name", used.alias("energy"))
 
@@ -188,7 +193,7 @@ def energy_stats(rollup, as_of, owners, unit_cost=UNIT_COST, rounding="half_up")
     shown = owners.select("owner_name").distinct()
     for name, interval in starts.items():
         total = _ends(rollup.between(X.period_start(now, X.INTERVALS[interval]), now), "owner_name")
-        shown = shown.join(total.select("owner_name", *(F.col(c).alias(f"{name}_{c}") for c in ("n", "head", "tail"))), "owner_name", "left")
+        shown = _shown(shown, total.select("owner_name", *(F.col(c).alias(f"{name}_{c}") for c in ("n", "head", "tail"))))
     return stats_of(shown.fillna(0, [f"{name}_n" for name in starts]), starts, unit_cost, rollup.scale, rounding)
 
 
