@@ -269,7 +269,8 @@ def energy_years_stream(interval):
 
 
 def energy_day_watermark(spark, sf_dir):
-    """Daily consumption kept by a stream with state and a watermark."""
+    """Daily consumption kept by a stream with state and a watermark, which refuses nothing here: the delay is a month.
+    `refused_readings_stream` has one that does."""
     path, checkpoint = shared_folder(spark, "buckets"), shared_folder(spark, "positions")
     live = buckets.live_consumption(P.monthly_of(_event_stream(spark, sf_dir)), "day", delay="31 days", **EXACT)
     jobs.wait(buckets.store_updates(live, path, checkpoint, available_now=True))

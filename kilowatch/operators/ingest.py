@@ -99,7 +99,8 @@ def dead_letters(raw, salvage=False, drop_nan=False, meter_class=ENERGY_METER, k
 
 
 def deduplicated(readings, delay="10 minutes"):
-    """Drop repeated deliveries of a reading, on a stream within the watermark.
+    """Drop repeated deliveries of a reading, on a stream within the watermark: there, readings later than `delay` are
+    dropped too. `streaming.distinct.store_distinct` keeps those.
 
     A reading is repeated if path, time as written and value are the same, so different values at one time all stay, and
     malformed times are told apart by their text.
