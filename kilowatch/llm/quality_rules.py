@@ -41,6 +41,7 @@ STEPS = 4
 LEAST_GROUP = 50
 CLASSES = 16  # of distances, for each doubling
 POOL = ["pool_lang", "pool_source"]
+FEW = 20_000  # rows of some 250 bytes
 
 
 def _chi_square(x, degrees):
@@ -123,6 +124,12 @@ def _vector():
     return [F.when(~F.col("base_failed"), F.round(values[name] * SCALE).cast("bigint")).alias(name) for name in LEAST_SCALE]
 
 
+def _beside(table):
+    """A written table with a row a group: handed to all tasks if it is known to have few rows, else joined as Spark sees fit,
+    which splits large groups."""
+    return F.broadcast(table) if table.limit(FEW + 1).count() <= FEW else table
+
+
 # ---- groups and their estimates -------------------------------------------------------------------------------------
 
 
@@ -138,8 +145,7 @@ def _with_pools(rows):
         F.when(enough | pooled, F.col("_lang")).alias("pool_lang"),
         F.when(enough, F.col("_source")).when(pooled, F.lit("*")).alias("pool_source"),
     )
-    # Written tables have a size Spark knows: it hands small ones to all tasks and splits large groups beside greater ones.
-    return keyed.join(written(pools, "pools"), ["_lang", "_source"], "left").drop("_lang", "_source")
+    return keyed.join(_beside(written(pools, "pools")), ["_lang", "_source"], "left").drop("_lang", "_source")
 
 
 def _pairs():
@@ -178,7 +184,7 @@ def _first(vectors):
     middle = written(middle, "medians")
     apart = [F.percentile(F.abs(F.col(name) - F.col(f"c_{i}")), F.lit(0.5)).alias(f"apart_{i}") for i, name in enumerate(LEAST_SCALE)]
     centres = [F.first(f"c_{i}").alias(f"c_{i}") for i in range(DIMENSIONS)]
-    robust = vectors.join(middle, POOL).groupBy(*POOL).agg(F.first("n").alias("n"), *centres, *apart)
+    robust = vectors.join(_beside(middle), POOL).groupBy(*POOL).agg(F.first("n").alias("n"), *centres, *apart)
     # An absolute deviation times 1.4826 is the standard deviation of normal values.
     scatter = [F.pow(1.4826 * F.col(f"apart_{i}"), F.lit(2.0)) + _ridge(i) if i == j else F.lit(0.0) for i, j in _pairs()]
     robust = robust.select(*POOL, F.lit(0).alias("start"), "n", *(f"c_{i}" for i in range(DIMENSIONS)), *(s.alias(f"s_{i}_{j}") for s, (i, j) in zip(scatter, _pairs(), strict=True)))
@@ -208,7 +214,7 @@ def _estimated(sums, n):
 def _concentrated(vectors, estimates):
     """Estimates from the documents nearest to the estimates before: at least the covered share of each group."""
     far = F.floor(CLASSES * F.log2(1 + _distance())).alias("class")
-    held = vectors.join(estimates, POOL).select(*POOL, "start", "n", far, *LEAST_SCALE)
+    held = vectors.join(_beside(estimates), POOL).select(*POOL, "start", "n", far, *LEAST_SCALE)
     classes = held.groupBy(*POOL, "start", "class").agg(F.first("n").alias("n"), *_moments())
     nearer = F.sum("held").over(Window.partitionBy(*POOL, "start").orderBy("class")) - F.col("held")
     near = classes.withColumn("nearer", nearer).filter(F.col("nearer") < F.ceil(COVERED * F.col("n")))
@@ -236,6 +242,6 @@ def judged(docs, **columns):
     rows = written(_with_pools(rows), "statistics")
     vectors = rows.filter("NOT base_failed AND pool_lang IS NOT NULL").select(*POOL, *LEAST_SCALE)
     against = written(estimates(vectors), "estimates")
-    found = rows.join(against, POOL, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / CONSISTENCY))
+    found = rows.join(_beside(against), POOL, "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / CONSISTENCY))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
