@@ -38,8 +38,9 @@ END_ID = 0
 NO_ID = -(1 << 63)
 LIMIT = 1 << 48
 RANGE_BYTES = 128 << 20  # of text; a range's file is read as a whole
-# Pieces and words a task remembers, twice.
-PIECES, WORDS = 350_000, 400_000
+WORDS = 500_000  # a task remembers, twice
+LONG = 64  # characters of a part that goes to the tokenizer as it is
+ROWS, BATCH_BYTES = 8000, 24 << 20  # of documents whose parts are encoded together
 
 
 # ---- tokens ---------------------------------------------------------------------------------------------------------
@@ -50,14 +51,15 @@ SPLITTER = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE of the tokenizers library, remembering pieces and words up to a bound.
+    """Ids of whole texts by a byte-level BPE of the tokenizers library, remembering words up to a bound.
 
     The splitter of such a BPE never joins what lies on both sides of a single space between two characters that are not
-    white space, and no merge crosses its splits. So texts are cut there, and the new pieces of many texts are split into
+    white space, and no merge crosses its splits. So texts are cut there, and the different parts of many texts are split into
     words in one go, with a white space character between them that none of them has. The tokenizer's model encodes each
-    new word. Pieces with white space inside are left to the tokenizer as they are. The result is the tokenizer's own on
-    the whole texts. With `added`, strings of added tokens in a text get the ids of those tokens, as the tokenizer's file has
-    it, and texts that hold one go to the tokenizer whole; else such strings are ordinary text.
+    new word; Arrow gathers the ids of words, parts and texts. Parts with white space inside are left to the tokenizer as
+    they are. The result is the tokenizer's own on the whole texts. With `added`, strings of added tokens in a text get the
+    ids of those tokens, as the tokenizer's file has it, and texts that hold one go to the tokenizer whole; else such strings
+    are ordinary text.
     """
 
     MARK = "\x0b"
@@ -77,7 +79,7 @@ class Encoder:
         self.model, self.split = self.tokenizer.model, regex.compile(SPLITTER).findall
         self.odd = regex.compile(r"[^\S\n]").search
         self.kind = {2: "H", 4: "I"}[width]  # the little-endian machines that Spark runs on
-        self.pieces, self.old_pieces, self.words, self.old_words = {}, {}, {}, {}
+        self.words, self.old_words = {}, {}
         # The model's characters for bytes: printable ones stand for themselves, the others are numbered from 256 on.
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(printable)]
@@ -89,82 +91,101 @@ class Encoder:
     def _word(self, word):
         return self._bytes([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.chars))])
 
-    def _learn(self, new):
-        again = new & self.old_pieces.keys()
-        self.pieces.update({p: self.old_pieces[p] for p in again})
-        fresh = [p for p in new - again if type(p) is str and len(p) < 64]
-        if self.odd("".join(fresh)):
-            fresh = [p for p in fresh if not self.odd(p)]
-        for piece in (new - again).difference(fresh):
-            whole = " " + piece if type(piece) is str else piece[0]
-            self.pieces[piece] = self._bytes(self.tokenizer.encode(whole, add_special_tokens=False).ids)
-        if not fresh:
-            return
-        words = self.split(self.MARK.join([" " + p for p in fresh]))
-        known, old = self.words, self.old_words
-        missing = set(words) - known.keys()
-        missing.discard(self.MARK)
-        known[self.MARK] = b""
-        for word in missing:
-            known[word] = old[word] if word in old else self._word(word)
-        ids = [known[w] for w in words]
-        ends = [k for k, w in enumerate(words) if w == self.MARK]
-        self.pieces.update(zip(fresh, [b"".join(ids[a:b]) for a, b in zip([0, *ends], [*ends, len(ids)], strict=True)], strict=True))
-
-    def _pieces(self, pieces):
-        """The ids of different pieces."""
-        known = self.pieces.get
-        ids = list(map(known, pieces))
-        if None in ids:
-            self._learn({p for p, i in zip(pieces, ids) if i is None})
-            ids = [self.pieces[p] if i is None else i for p, i in zip(pieces, ids)]
-        if len(self.pieces) > PIECES:
-            self.old_pieces, self.pieces = {p: v for p, v in self.pieces.items() if len(v) < 128}, {}
+    def _text(self, text):
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _known(self, words):
+        """The ids of different words."""
+        ids = list(map(self.words.get, words))
+        for k, found in enumerate(ids):
+            if found is None:
+                word = words[k]
+                found = self.old_words.get(word)
+                ids[k] = self.words[word] = self._word(word) if found is None else found
         if len(self.words) > WORDS:
             self.old_words, self.words = self.words, {}
         return ids
 
+    def _parts(self, parts, head):
+        """The ids of parts, each after the `head`, as an Arrow array. Parts are no part of a run of white space."""
+        strange = {k for k, p in enumerate(parts) if len(p) >= LONG}
+        if self.odd("".join(parts)):
+            strange |= {k for k, p in enumerate(parts) if self.odd(p)}
+        plain = [head + p for k, p in enumerate(parts) if k not in strange] if strange or head else parts
+        found = self._joined(plain)
+        if not strange:
+            return found
+        others = pa.array([self._text(head + parts[k]) for k in sorted(strange)], pa.large_binary())
+        mask = np.zeros(len(parts), bool)
+        mask[list(strange)] = True
+        place = np.where(mask, len(found) + np.cumsum(mask) - 1, np.cumsum(~mask) - 1)
+        return pa.concat_arrays([found, others]).take(pa.array(place))
+
+    def _joined(self, plain):
+        """The ids of strings that can be split side by side."""
+        if not plain:
+            return pa.array([], pa.large_binary())
+        words = pa.array(self.split(self.MARK.join(plain)), pa.string()).dictionary_encode()
+        different = words.dictionary.to_pylist()
+        try:
+            mark = different.index(self.MARK)
+            different[mark] = ""
+        except ValueError:
+            mark = -1  # one string alone
+        gathered = pa.array(self._known(different), pa.large_binary()).take(words.indices)
+        _, edges, ids = gathered.buffers()
+        edges = np.frombuffer(edges, np.int64, len(words) + 1)
+        marks = np.flatnonzero(words.indices.to_numpy() == mark)
+        bounds = np.concatenate(([0], edges[marks], edges[-1:]))
+        return pa.Array.from_buffers(pa.large_binary(), len(plain), [None, pa.py_buffer(bounds), ids])
+
     def _whole(self, text):
         if any(a in text for a in self.added):
             self.tokenizer.encode_special_tokens = False
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            self.tokenizer.encode_special_tokens = True
-            return self._bytes(ids)
-        return b"".join(self._pieces(cut(text)))
+            try:
+                return self._text(text)
+            finally:
+                self.tokenizer.encode_special_tokens = True
+        pieces = cut(text)
+        ids = iter(self._parts([p for p in pieces if type(p) is str], " ").to_pylist())
+        return b"".join(next(ids) if type(p) is str else self._text(p[0]) for p in pieces)
 
     def __call__(self, texts):
         """The ids of each text of an Arrow array as little-endian bytes, in an Arrow array.
 
-        Texts are cut at all spaces; each different part is looked up once, and the ids of all texts are gathered from
-        those. A text's first part has no space before it, and a text with a part that belongs to a run of white space
-        is cut again on its own: both are entries of their own in place of the first part. So are texts with added tokens.
+        Texts are cut at all spaces; each different part is encoded once, and the ids of all texts are gathered from those. A
+        text's first part has no space before it, and a text with a part that belongs to a run of white space is cut again
+        on its own: both are entries of their own in place of the first part. So are texts with added tokens.
         """
         parts = pc.split_pattern(texts, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         at, count = offsets[:-1] - offsets[0], np.diff(offsets)
         coded = parts.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        index, different = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        slack = np.array([loose(p) for p in different], bool)
-        torn = (np.add.reduceat(slack[index], at) > 0) & (count > 1) if len(at) else np.zeros(0, bool)
+        index, slack = coded.indices.to_numpy(), loose_parts(coded.dictionary)
+        # Texts that are one loose part are left to the tokenizer too, so that all parts are whole words.
+        torn = np.add.reduceat(slack[index], at) > 0 if len(at) else np.zeros(0, bool)
         for added in self.added:
             torn |= pc.match_substring(texts, added).to_numpy(zero_copy_only=False)
-        first = [self._whole(t.as_py()) if bad else (different[k],) for t, bad, k in zip(texts, torn.tolist(), index[at].tolist())]
-        own = iter(self._pieces([f for f in first if type(f) is tuple]))
-        entries = self._pieces([p for p, bad in zip(different, slack.tolist()) if not bad])
-        place = np.where(slack, len(entries), np.cumsum(~slack) - 1)  # loose parts stand for nothing by themselves
-        entries.append(b"")
-        index = place[index]
-        index[np.repeat(torn, count)] = len(entries) - 1
-        index[at] = len(entries) + np.arange(len(at))
-        entries += [next(own) if type(f) is tuple else f for f in first]
-
-        flat = np.frombuffer(b"".join(entries), np.dtype(self.kind))
-        sizes = np.fromiter(map(len, entries), np.int64, len(entries)) // flat.itemsize
-        starts, lengths = (np.cumsum(sizes) - sizes)[index], sizes[index]
-        ends = np.cumsum(lengths)
-        ids = flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate(([0], ends))[np.append(at, len(index))] * flat.itemsize
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+        entries = self._parts(coded.dictionary.filter(pa.array(~slack)).to_pylist(), " ")
+        firsts = self._parts(coded.dictionary.take(pa.array(index[at[~torn]])).to_pylist(), "")
+        wholes = pa.array([self._whole(t) for t in texts.filter(pa.array(torn)).to_pylist()], pa.large_binary())
+        none = len(entries)  # loose parts, and parts of torn texts, stand for nothing by themselves
+        place = np.where(slack, none, np.cumsum(~slack) - 1)[index]
+        place[np.repeat(torn, count)] = none
+        place[at] = none + 1 + np.where(torn, len(firsts) + np.cumsum(torn) - 1, np.cumsum(~torn) - 1)
+        gathered = pa.concat_arrays([entries, pa.array([b""], pa.large_binary()), firsts, wholes]).take(pa.array(place))
+        _, edges, ids = gathered.buffers()
+        bounds = np.frombuffer(edges, np.int64, len(place) + 1)[np.append(at, len(place))]
+        if bounds[-1] >= 1 << 31:
+            raise ValueError("the ids of a batch pass two gigabytes")
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds.astype(np.int32)), ids])
+
+
+def loose_parts(parts):
+    """`loose` of the strings of an Arrow array."""
+    trimmed = pc.utf8_trim_whitespace(parts)
+    changed = pc.not_equal(pc.binary_length(trimmed), pc.binary_length(parts))
+    return pc.or_(changed, pc.equal(pc.binary_length(parts), 0)).to_numpy(zero_copy_only=False)
 
 
 def loose(part):
@@ -198,6 +219,17 @@ def encoder(path, width, added=False):
     return _encoders[path, width, added]
 
 
+def _stretches(texts):
+    """(start, stop) of rows of bounded number and bytes, a longer text alone."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = min(max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, "right"))), at + ROWS)
+        yield at, stop
+        at = stop
+
+
 def tokenized(rows, tokenizer, width, added=False):
     """Add `ids` to (doc_id, text, ...) rows in place of the text."""
     kept = [c for c in rows.columns if c != "text"]
@@ -205,8 +237,8 @@ def tokenized(rows, tokenizer, width, added=False):
     def run(batches):
         own = encoder(tokenizer, width, added)
         for whole in batches:
-            for at in range(0, len(whole), 2000):
-                batch = whole.slice(at, 2000)
+            for at, stop in _stretches(whole["text"]):
+                batch = whole.slice(at, stop - at)
                 yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), own(batch["text"])], [*kept, "ids"])
 
     types = dict(rows.dtypes)
