@@ -90,7 +90,13 @@ def store_slots(readings, path, checkpoint, interval="hr", display_tz=DISPLAY_TZ
 
 
 def read_slots(spark, path, interval="hr"):
-    """(owner_name, time, energy) of every owner and closed slot, as last written."""
-    rows = spark.read.schema(f"{SCHEMA}, writer STRING, batch_id BIGINT").parquet(f"{path.rstrip('/')}/slots")
+    """(owner_name, time, energy) of every owner and closed slot, as last written; none as long as no slot has closed."""
+    kinds = f"{SCHEMA}, writer STRING, batch_id BIGINT"
+    try:
+        rows = spark.read.schema(kinds).parquet(f"{path.rstrip('/')}/slots")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], kinds)
     last = rows.groupBy("owner_name", "bucket").agg(hashed(F.max_by("energy", F.struct("batch_id", "writer"))).alias("energy"))
     return last.select("owner_name", X.label_of(F.col("bucket"), X.resolve_interval(interval)).alias("time"), "energy")
