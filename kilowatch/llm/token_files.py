@@ -38,9 +38,9 @@ END_ID = 0
 NO_ID = -(1 << 63)
 LIMIT = 1 << 48
 RANGE_BYTES = 128 << 20  # of text; a range's file is read as a whole
-WORDS = 500_000  # a task remembers, twice
+WORDS = 300_000  # a task remembers, twice
 LONG = 64  # characters of a part that goes to the tokenizer as it is
-ROWS, BATCH_BYTES = 8000, 24 << 20  # of documents whose parts are encoded together
+ROWS, BATCH_BYTES = 4000, 8 << 20  # of documents whose parts are encoded together
 
 
 # ---- tokens ---------------------------------------------------------------------------------------------------------
